@@ -12,6 +12,13 @@ DataFrame transformations:
 * ``catalog``   - the tables on storage and the calls a library user makes
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from photarium.settings import ScanSettings
 
+# Python tasks get this package's functions by value: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["ScanSettings"]

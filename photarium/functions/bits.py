@@ -9,24 +9,15 @@ from pyspark.sql import functions as F
 SAME_PICTURE_BELOW = 10
 
 
-def pack(bits: list[Column]) -> Column:
-    """Bits as one signed 64-bit number, first bit lowest; missing high bits are 0.
+def pack(bits: Column) -> Column:
+    """An array of up to 64 booleans as one signed 64-bit number, first one lowest.
 
-    Written as a sum of constants so it compiles into one generated method instead of
-    running a lambda per cell.
+    Missing high bits are 0. Written with array functions: 64 unrolled terms would exceed
+    what the JVM compiles as one method and run slower.
     """
-    if len(bits) > 64:
-        raise ValueError("a fingerprint holds at most 64 bits")
-    terms = []
-    for i, bit in enumerate(bits):
-        weight = 1 << i if i < 63 else -(1 << 63)
-        terms.append(F.when(bit, F.lit(weight).cast("long")).otherwise(F.lit(0).cast("long")))
-    while len(terms) > 1:
-        terms = [
-            terms[i].bitwiseOR(terms[i + 1]) if i + 1 < len(terms) else terms[i]
-            for i in range(0, len(terms), 2)
-        ]
-    return terms[0]
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    weights = F.transform(bits, lambda bit, i: F.when(bit, F.call_function("shiftleft", one, i)).otherwise(zero))
+    return F.aggregate(weights, zero, lambda acc, weight: acc.bitwiseOR(weight))
 
 
 def hamming(left: Column, right: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Values are taken only where the JSON type is the expected one: a number where text
 belongs, or text where a number belongs, gives no entry. Plain JSON extraction would
-convert one into the other.
+convert one into the other, so the leaves are read as VARIANT, which keeps their type.
 """
 
 from __future__ import annotations
@@ -11,21 +11,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FORMAT_FIELDS = ("duration", "bit_rate", "format_name")
+STREAM_FIELDS = (
+    "codec_type", "codec_name", "width", "height", "r_frame_rate", "sample_rate", "channels",
+)
+
+_SCHEMA = "struct<format: struct<{}, tags: map<string, variant>>, streams: array<struct<{}>>>".format(
+    ", ".join(f"{name}: variant" for name in FORMAT_FIELDS),
+    ", ".join(f"{name}: variant" for name in STREAM_FIELDS),
+)
+_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def parse(document: Column) -> Column:
-    """Parsed document; NULL where the text is no JSON."""
-    return F.try_parse_json(document)
+    """The parts of a document that entries come from; NULL parts where it is no JSON object."""
+    return F.from_json(F.when(document.rlike(r"^\s*\{"), document), _SCHEMA, _STRICT_JSON)
 
 
-def _text(value: Column, path: str) -> Column:
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(F.schema_of_variant(found) == "STRING", found.cast("string"))
+def _text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
 
-def _integer(value: Column, path: str) -> Column:
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(F.schema_of_variant(found) == "BIGINT", found.cast("string"))
+def _integer(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "BIGINT", value.cast("string"))
 
 
 def _number_text(number: Column) -> Column:
@@ -37,7 +44,7 @@ def _number_text(number: Column) -> Column:
     return F.when((size == 0) | ((size >= 1e-5) & (size < 1e16)), plain).otherwise(scientific)
 
 
-def _any_text(value: Column) -> Column:
+def any_text(value: Column) -> Column:
     """Text values as they are, anything else as JSON text."""
     kind = F.schema_of_variant(value)
     is_fraction = (kind == "DOUBLE") | kind.startswith("DECIMAL")
@@ -52,51 +59,32 @@ def _entry(namespace: str, tag: Column, value: Column) -> Column:
     return F.struct(F.lit(namespace).alias("namespace"), tag.alias("tag"), value.alias("value"))
 
 
-def _present(entries: Column) -> Column:
-    return F.filter(entries, lambda e: e["value"].isNotNull())
-
-
-def format_entries(probe: Column) -> Column:
-    """Duration, bit rate and format name, where given as text."""
-    return _present(F.array(*[
-        _entry("video", F.lit(name), _text(probe, f"$.format.{name}")) for name in FORMAT_FIELDS
-    ]))
+def format_entries(fmt: Column) -> Column:
+    """Duration, bit rate and format name; value NULL where not given as text."""
+    return F.array(*[_entry("video", F.lit(name), _text(fmt[name])) for name in FORMAT_FIELDS])
 
 
-def tag_entries(probe: Column) -> Column:
+def tag_entries(fmt: Column) -> Column:
     """One entry per key of the format's tags object."""
-    tags = F.try_variant_get(probe, "$.format.tags", "map<string,variant>")
     return F.transform(
-        F.map_entries(tags), lambda t: _entry("video_tag", t["key"], _any_text(t["value"]))
+        F.map_entries(fmt["tags"]), lambda t: _entry("video_tag", t["key"], any_text(t["value"]))
     )
 
 
-def _one_stream(stream: Column, position: Column) -> Column:
-    def tag(name: str) -> Column:
-        return F.concat(F.lit("stream_"), position.cast("string"), F.lit(f"_{name}"))
+def stream_entries(stream: Column, position: Column) -> Column:
+    """Codec entries of one stream, and size or sound entries by its kind; absent ones NULL."""
 
-    codec_type = F.coalesce(_text(stream, "$.codec_type"), F.lit("unknown"))
+    def entry(name: str, value: Column) -> Column:
+        return _entry("video", F.concat(F.lit("stream_"), position.cast("string"), F.lit(f"_{name}")), value)
+
+    codec_type = F.coalesce(_text(stream["codec_type"]), F.lit("unknown"))
     video, audio = codec_type == "video", codec_type == "audio"
-    return _present(F.array(
-        _entry("video", tag("codec_type"), codec_type),
-        _entry("video", tag("codec_name"), _text(stream, "$.codec_name")),
-        _entry("video", tag("width"), F.when(video, _integer(stream, "$.width"))),
-        _entry("video", tag("height"), F.when(video, _integer(stream, "$.height"))),
-        _entry("video", tag("frame_rate"), F.when(video, _text(stream, "$.r_frame_rate"))),
-        _entry("video", tag("sample_rate"), F.when(audio, _text(stream, "$.sample_rate"))),
-        _entry("video", tag("channels"), F.when(audio, _integer(stream, "$.channels"))),
-    ))
-
-
-def stream_entries(probe: Column) -> Column:
-    """Codec entries of every stream, and size or sound entries by its kind."""
-    streams = F.try_variant_get(probe, "$.streams", "array<variant>")
-    return F.flatten(F.transform(streams, _one_stream))
-
-
-def all_entries(probe: Column) -> Column:
-    """Format fields, format tags and streams in one array."""
-    nothing = F.array().cast("array<struct<namespace:string,tag:string,value:string>>")
-    return F.concat(*[
-        F.coalesce(part(probe), nothing) for part in (format_entries, tag_entries, stream_entries)
-    ])
+    return F.array(
+        entry("codec_type", codec_type),
+        entry("codec_name", _text(stream["codec_name"])),
+        entry("width", F.when(video, _integer(stream["width"]))),
+        entry("height", F.when(video, _integer(stream["height"]))),
+        entry("frame_rate", F.when(video, _text(stream["r_frame_rate"]))),
+        entry("sample_rate", F.when(audio, _text(stream["sample_rate"]))),
+        entry("channels", F.when(audio, _integer(stream["channels"]))),
+    )

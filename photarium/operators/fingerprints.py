@@ -6,7 +6,7 @@ comparison, lowest bit first.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,32 +19,40 @@ def digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _cells(grid: Column, width: int, height: int) -> list[list[Column]]:
-    return [[F.get(grid, F.lit(y * width + x)) for x in range(width)] for y in range(height)]
-
-
 def _whole(grid: Column, width: int, height: int, value: Column) -> Column:
     """NULL unless the grid has every cell, so that a short grid is not read as dark."""
     return F.when(F.size(grid) == width * height, value)
 
 
+def _darker(grid: Column, cells: list[int], step: int) -> Column:
+    """For each cell number: is it darker than the cell ``step`` further on?"""
+    return F.transform(
+        F.array(*[F.lit(c) for c in cells]), lambda c: F.get(grid, c) < F.get(grid, c + step)
+    )
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean_hash(grid: Column, width: int, height: int) -> Column:
     """One bit per cell: at least as bright as the mean."""
-    cells = [c for row in _cells(grid, width, height) for c in row]
-    total = reduce(lambda a, b: a + b, cells)
-    return _whole(grid, width, height, pack([c * len(cells) >= total for c in cells]))
+    total = F.aggregate(grid, F.lit(0.0), lambda a, b: a + b)
+    bits = _with(total, lambda t: F.transform(grid, lambda cell: cell * (width * height) >= t))
+    return _whole(grid, width, height, pack(bits))
+
+
+def _across(grid: Column, width: int, height: int) -> Column:
+    return _darker(grid, [y * width + x for y in range(height) for x in range(width - 1)], 1)
 
 
 def gradient_hash(grid: Column, width: int, height: int) -> Column:
     """One bit per horizontal neighbour pair: left darker than right."""
-    rows = _cells(grid, width, height)
-    bits = [row[x] < row[x + 1] for row in rows for x in range(width - 1)]
-    return _whole(grid, width, height, pack(bits))
+    return _whole(grid, width, height, pack(_across(grid, width, height)))
 
 
 def double_gradient_hash(grid: Column, width: int, height: int) -> Column:
     """Horizontal comparisons row by row, then vertical ones."""
-    rows = _cells(grid, width, height)
-    across = [row[x] < row[x + 1] for row in rows for x in range(width - 1)]
-    down = [rows[y][x] < rows[y + 1][x] for y in range(height - 1) for x in range(width)]
-    return _whole(grid, width, height, pack(across + down))
+    down = _darker(grid, list(range(width * (height - 1))), width)
+    return _whole(grid, width, height, pack(F.concat(_across(grid, width, height), down)))

@@ -1,8 +1,11 @@
 """Metadata tags: from typed tags and probe documents to rows of the tag log.
 
-Tags stay one array per file until the file's observation id has been joined on, and are
-exploded after. The join is then one row per file on both sides, however many tags a
-file has.
+A file's tags or probe document is one row until everything that needs a join has been
+joined on, and is exploded last. Joins are then one row per file on both sides, however
+many tags a file has. The text of a tag is computed after the explode, where Spark
+compiles it; inside an array function it would be interpreted. The explodes are outer ones
+with a filter behind them: for an inner one Spark adds a size check in front, which would
+evaluate the exploded expression - here the parsed document - a second time.
 """
 
 from __future__ import annotations
@@ -13,42 +16,98 @@ from pyspark.sql import functions as F
 from photarium.functions import exif, probe
 from photarium.operators.latest import latest_stat_ids, of_type
 
+ENTRY = ["namespace", "tag", "value"]
 
-def exif_entries(tags: DataFrame) -> DataFrame:
-    """(file_id, entries) from (file_id, tags array of ``functions.exif.TAG_SCHEMA``)."""
-    return tags.select("file_id", F.transform(
-        "tags",
-        lambda t: F.struct(
-            exif.namespace(t["ifd"]).alias("namespace"),
-            t["tag"].alias("tag"),
-            exif.tag_text(t).alias("value"),
-        ),
-    ).alias("entries"))
 
+def _kept(df: DataFrame, *without: str) -> list[str]:
+    return [c for c in df.columns if c not in without]
 
-def probe_entries(probes: DataFrame, part=probe.all_entries) -> DataFrame:
-    """(file_id, entries) from (file_id, probe_json). Unreadable documents give none."""
-    parsed = probes.select("file_id", probe.parse(F.col("probe_json")).alias("_probe"))
-    return parsed.select("file_id", part(F.col("_probe")).alias("entries"))
 
+def exif_rows(tags: DataFrame) -> DataFrame:
+    """One row per typed tag of ``tags`` (array of ``functions.exif.TAG_SCHEMA``).
 
-def entry_rows(entries: DataFrame) -> DataFrame:
-    """One row per entry; files without entries give none."""
-    return entries.select(*[c for c in entries.columns if c != "entries"], F.inline("entries"))
+    Other columns are kept; files without tags give no row.
+    """
+    kept = _kept(tags, "tags")
+    one = tags.select(*kept, F.explode_outer("tags").alias("_tag"))
+    return one.filter(F.col("_tag").isNotNull()).select(
+        *kept,
+        exif.namespace(F.col("_tag.ifd")).alias("namespace"),
+        F.col("_tag.tag").alias("tag"),
+        exif.tag_text(F.col("_tag")).alias("value"),
+    )
 
 
-def dispatch(files: DataFrame, tags: DataFrame, probes: DataFrame) -> DataFrame:
-    """(file_id, entries) for files (id, file_type): images by tags, videos by probe, others none."""
-    images = of_type(files, "image").select(F.col("id").alias("file_id"))
-    videos = of_type(files, "video").select(F.col("id").alias("file_id"))
-    return exif_entries(images.join(tags, "file_id")).unionByName(
-        probe_entries(videos.join(probes, "file_id"))
-    )
+def _parsed(probes: DataFrame) -> tuple[DataFrame, list[str]]:
+    kept = _kept(probes, "probe_json")
+    return probes.select(*kept, probe.parse(F.col("probe_json")).alias("_probe")), kept
+
+
+def format_rows(probes: DataFrame) -> DataFrame:
+    """Format fields of each ``probe_json``; documents that are no JSON give none."""
+    parsed, kept = _parsed(probes)
+    rows = parsed.select(*kept, F.inline(probe.format_entries(F.col("_probe.format"))))
+    return rows.filter(F.col("value").isNotNull())
+
+
+def format_tag_rows(probes: DataFrame) -> DataFrame:
+    """Format tags of each ``probe_json``."""
+    parsed, kept = _parsed(probes)
+    tags = parsed.select(*kept, F.explode_outer("_probe.format.tags").alias("tag", "_value"))
+    return tags.filter(F.col("tag").isNotNull()).select(*kept, F.lit("video_tag").alias("namespace"), "tag", probe.any_text(F.col("_value")).alias("value"))
+
+
+def stream_rows(probes: DataFrame) -> DataFrame:
+    """Stream fields of each ``probe_json``."""
+    parsed, kept = _parsed(probes)
+    streams = parsed.select(*kept, F.posexplode_outer("_probe.streams").alias("_position", "_stream"))
+    rows = streams.filter(F.col("_position").isNotNull()).select(*kept, F.inline(probe.stream_entries(F.col("_stream"), F.col("_position"))))
+    return rows.filter(F.col("value").isNotNull())
+
 
+def probe_rows(probes: DataFrame) -> DataFrame:
+    """Format fields, format tags and stream fields, each document parsed once.
 
-def metadata_rows(entries: DataFrame, stats: DataFrame, extracted_at: Column) -> DataFrame:
-    """Rows for the tag log, stamped with each file's latest observation."""
-    found = entries.filter(F.size("entries") > 0)
-    return entry_rows(found.join(latest_stat_ids(stats), "file_id")).select(
-        "file_id", "stat_id", "namespace", "tag", "value", extracted_at.alias("extracted_at")
+    A document becomes one row for its format, in the place of an empty stream put in front,
+    and one per stream.
+    """
+    parsed, kept = _parsed(probes)
+    no_stream = F.array(F.lit(None))
+    parts = parsed.select(
+        *kept, F.col("_probe.format").alias("_format"),
+        F.posexplode_outer(F.concat(no_stream, F.coalesce("_probe.streams", F.array()))).alias("_part", "_stream"),
     )
+    is_format = F.col("_part") == 0
+    entries = F.when(
+        is_format,
+        F.concat(
+            probe.format_entries(F.col("_format")),
+            F.coalesce(probe.tag_entries(F.col("_format")), F.array()),
+        ),
+    ).otherwise(probe.stream_entries(F.col("_stream"), F.col("_part") - 1))
+    return parts.select(*kept, F.inline(entries)).filter(F.col("value").isNotNull())
+
+
+def dispatch(files: DataFrame, tags: DataFrame, probes: DataFrame) -> DataFrame:
+    """Tag rows of files (id, file_type, more): images by tags, videos by probe, others none.
+
+    ``tags`` and ``probes`` have one row per file_id.
+    """
+    def joined(kind: str, source: DataFrame) -> DataFrame:
+        chosen = of_type(files, kind).drop("file_type").withColumnRenamed("id", "file_id")
+        return chosen.join(source, "file_id")
+
+    return exif_rows(joined("image", tags)).unionByName(probe_rows(joined("video", probes)))
+
+
+def stamp(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Add each file's latest observation id; files never observed are dropped.
+
+    ``rows`` has one row per file, as results of reading a file do.
+    """
+    return rows.join(latest_stat_ids(stats), "file_id")
+
+
+def log_rows(rows: DataFrame, extracted_at: Column) -> DataFrame:
+    """Stamped tag rows in the shape of the tag log."""
+    return rows.select("file_id", "stat_id", *ENTRY, extracted_at.alias("extracted_at"))

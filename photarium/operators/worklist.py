@@ -71,10 +71,10 @@ def needing_hash_or_stale(
 
 
 def needing_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Present images and videos without any metadata row."""
+    """Present images and videos without any metadata row, as (id, path, file_type, stat_id)."""
     done = metadata.select(F.col("file_id").alias("id")).distinct()
     return of_type(active(files), "image", "video").join(done, "id", "left_anti").select(
-        "id", "path", "file_type"
+        "id", "path", "file_type", "stat_id"
     )
 
 

@@ -58,9 +58,13 @@ def library_scan(
 def metadata_scan(
     master: DataFrame, stats: DataFrame, log: DataFrame, tags: DataFrame, probes: DataFrame, extracted_at: Column
 ) -> DataFrame:
-    """Tag rows for present images and videos that have none yet."""
-    work = worklist.needing_metadata(files_view(master, stats), log)
-    return metadata.metadata_rows(metadata.dispatch(work, tags, probes), stats, extracted_at)
+    """Tag rows for present images and videos that have none yet.
+
+    The work-list already carries each file's latest observation id, so nothing more is
+    joined to stamp the rows.
+    """
+    work = worklist.needing_metadata(files_view(master, stats), log).select("id", "stat_id", "file_type")
+    return metadata.log_rows(metadata.dispatch(work, tags, probes), extracted_at)
 
 
 @dataclass(frozen=True)

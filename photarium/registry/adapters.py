@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from photarium.functions import exif, paths
 from photarium.session import configure
-from photarium.sources.tables import read_table
+from photarium.sources.tables import read_table, spread
 
 # Endings of the invented file names, by the last digit of the file's number.
 SUFFIXES = [".JPG", ".png", ".mp4", ".txt", "", ".tar.gz", ".HEIC", ".mkv", ".", ""]
@@ -249,7 +249,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Exports share the pixels and differ in file size, as re-saved pictures do.
     """
-    copies = table(spark, sf_dir, "embeddings").select(
+    copies = spread(table(spark, sf_dir, "embeddings")).select(
         "vec_id", F.transform("embedding", _gray).alias("pixels"),
         F.explode(F.sequence(F.lit(0), "label")).alias("copy"),
     )
@@ -262,7 +262,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edited_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Like ``pictures``, but copy c has its first 2c pixels inverted."""
-    copies = table(spark, sf_dir, "embeddings").select(
+    copies = spread(table(spark, sf_dir, "embeddings")).select(
         "vec_id", F.transform("embedding", _gray).alias("pixels"),
         F.explode(F.sequence(F.lit(0), "label")).alias("copy"),
     )
@@ -320,7 +320,7 @@ def typed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag(0, "UserComment", "undefined", raw=F.repeat("p_type", 10)),
         tag(0, "Gamma", "float", display=F.col("p_name")),
     )
-    return table(spark, sf_dir, "part").select(key.alias("file_id"), tags.cast(f"array<{exif.TAG_SCHEMA}>").alias("tags"))
+    return spread(table(spark, sf_dir, "part")).select(key.alias("file_id"), tags.cast(f"array<{exif.TAG_SCHEMA}>").alias("tags"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +353,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"format":{'), duration, F.lit('"bit_rate":'), bit_rate, F.lit(',"format_name":"mov,mp4"'), tags,
         F.lit('},"streams":'), streams, F.when((status == "P") & (digit == 1), "").otherwise("}"),
     )
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), document.alias("probe_json"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("file_id"), document.alias("probe_json"))
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photarium.functions import bits, paths, probe
+from photarium.functions import bits, paths
 from photarium.operators import fingerprints, hashing, latest, metadata, observe, reports, similarity, worklist
 from photarium.plans import runs, scans
 from photarium.registry import adapters as a
@@ -228,7 +228,8 @@ def needing_hash_stale_aware(spark, sf_dir):
 @query
 def needing_metadata(spark, sf_dir):
     """Present images and videos without tags."""
-    return worklist.needing_metadata(_library_files(spark, sf_dir), a.library_metadata(spark, sf_dir))
+    work = worklist.needing_metadata(_library_files(spark, sf_dir), a.library_metadata(spark, sf_dir))
+    return work.select("id", "path", "file_type")
 
 
 @query
@@ -335,39 +336,39 @@ def dupes_content(spark, sf_dir):
 @query
 def exif_normalize(spark, sf_dir):
     """Text of every typed tag."""
-    return metadata.entry_rows(metadata.exif_entries(a.typed_tags(spark, sf_dir)))
+    return metadata.exif_rows(a.typed_tags(spark, sf_dir))
 
 
 @query
 def video_metadata(spark, sf_dir):
     """Format fields of every probe document."""
-    return metadata.entry_rows(metadata.probe_entries(a.probes(spark, sf_dir), probe.format_entries))
+    return metadata.format_rows(a.probes(spark, sf_dir))
 
 
 @query
 def video_tags(spark, sf_dir):
     """Format tags of every probe document."""
-    return metadata.entry_rows(metadata.probe_entries(a.probes(spark, sf_dir), probe.tag_entries))
+    return metadata.format_tag_rows(a.probes(spark, sf_dir))
 
 
 @query
 def video_streams(spark, sf_dir):
     """Stream fields of every probe document."""
-    return metadata.entry_rows(metadata.probe_entries(a.probes(spark, sf_dir), probe.stream_entries))
+    return metadata.stream_rows(a.probes(spark, sf_dir))
 
 
 @query
 def metadata_dispatch(spark, sf_dir):
     """Tags of images and probes of videos, nothing for other files."""
     files = _library_files(spark, sf_dir).select("id", "file_type")
-    return metadata.entry_rows(metadata.dispatch(files, a.typed_tags(spark, sf_dir), a.probes(spark, sf_dir)))
+    return metadata.dispatch(files, a.typed_tags(spark, sf_dir), a.probes(spark, sf_dir))
 
 
 @query
 def append_metadata(spark, sf_dir):
     """Tag rows stamped with each file's latest observation."""
-    entries = metadata.exif_entries(a.typed_tags(spark, sf_dir))
-    return metadata.metadata_rows(entries, a.library_stats(spark, sf_dir), a.at(a.SECOND_SCAN))
+    stamped = metadata.stamp(a.typed_tags(spark, sf_dir), a.library_stats(spark, sf_dir))
+    return metadata.log_rows(metadata.exif_rows(stamped), a.at(a.SECOND_SCAN))
 
 
 @query

@@ -64,7 +64,7 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = (
-        SparkSession.builder.master("local[8]").appName("compare").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").appName("compare").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
