@@ -172,7 +172,8 @@ class Catalog:
 
     def record_metadata(self, entries: DataFrame) -> None:
         """Append tags (file_id, namespace, tag, value), stamped with the latest observation."""
-        self._append(metadata.log_rows(metadata.stamp(entries, self.stats), F.current_timestamp()), "file_metadata")
+        stamped = metadata.stamp(entries, self.stats, row_per_file=False)
+        self._append(metadata.log_rows(stamped, F.current_timestamp()), "file_metadata")
 
     def insert_metadata(self, file_id: int, entries: list[tuple[str, str, str | None]]) -> None:
         """Append tags of one file."""
@@ -233,13 +234,12 @@ class Catalog:
     def _compute(self, work: DataFrame, hash_name: str) -> DataFrame:
         method = algorithm(hash_name)
         if method.needs == "bytes":
-            spread = media.spread_by_size(work, self.spark.sparkContext.defaultParallelism)
-            return media.digest_files(spread).select(
+            return media.digest_files(media.spread_by_size(work)).select(
                 F.col("id").alias("file_id"), F.lit(hash_name).alias("hash_name"),
                 F.col("digest").alias("hash_value"), "error_code", "error_message",
             )
         roots = inventory.reachable_roots(self.spark, inventory.expand_roots(self.settings.roots))
-        images = media.read_images(self.spark, *roots)
+        images = media.read_images(self.spark, *roots, modified_since=media.oldest_mtime(work))
         needed = work.select(F.col("id").alias("file_id"), "path").join(images, "path", "left")
         if method.needs == "pixels":
             content = media.rgba_bytes("image")

@@ -44,11 +44,13 @@ def decimal_text(value: Column) -> Column:
     """A double in plain decimal notation: fewest digits, no exponent, no trailing zeros.
 
     Sixteen digits are used where they read back as the same number; the default text form
-    of some Java versions gives one more.
+    of some Java versions gives one more. Numbers too large for a tag's 32-bit parts keep
+    their default form.
     """
     short = F.format_string("%.15e", value)
-    digits = F.when(short.cast("double") == value, short).otherwise(value.cast("string"))
-    return F.regexp_replace(digits.cast(_QUOTIENT).cast("string"), r"\.?0+$", "")
+    digits = F.when(short.try_cast("double") == value, short).otherwise(value.cast("string"))
+    plain = F.regexp_replace(digits.try_cast(_QUOTIENT).cast("string"), r"\.?0+$", "")
+    return F.coalesce(plain, value.cast("string"))
 
 
 def ratio_text(ratio: Column) -> Column:

@@ -37,7 +37,7 @@ def _integer(value: Column) -> Column:
 
 def _number_text(number: Column) -> Column:
     """A JSON fraction as text: always with a fraction or an exponent."""
-    plain = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.regexp_replace(number.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     scientific = F.regexp_replace(F.regexp_replace(number.cast("string"), "E", "e"), r"\.0e", "e")
     size = F.abs(number)

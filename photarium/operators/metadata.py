@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from photarium.functions import exif, probe
 from photarium.operators.latest import latest_stat_ids, of_type
+from photarium.operators.lookup import lookup
 
 ENTRY = ["namespace", "tag", "value"]
 
@@ -100,12 +101,14 @@ def dispatch(files: DataFrame, tags: DataFrame, probes: DataFrame) -> DataFrame:
     return exif_rows(joined("image", tags)).unionByName(probe_rows(joined("video", probes)))
 
 
-def stamp(rows: DataFrame, stats: DataFrame) -> DataFrame:
+def stamp(rows: DataFrame, stats: DataFrame, row_per_file: bool = True) -> DataFrame:
     """Add each file's latest observation id; files never observed are dropped.
 
-    ``rows`` has one row per file, as results of reading a file do.
+    Results of reading files have one row per file. Rows of single tags, where one file may
+    have very many, are joined with ``row_per_file=False``.
     """
-    return rows.join(latest_stat_ids(stats), "file_id")
+    ids = latest_stat_ids(stats)
+    return rows.join(ids, "file_id") if row_per_file else lookup(rows, ids, "file_id")
 
 
 def log_rows(rows: DataFrame, extracted_at: Column) -> DataFrame:

@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from photarium.functions import bits
 from photarium.operators.latest import latest_hashes
+from photarium.operators.lookup import lookup
 
 
 def compare_pairs(pairs: DataFrame, hashes: DataFrame, hash_name: str) -> DataFrame:
     """(left_id, right_id, distance, verdict) for given pairs (left_id, right_id).
 
     Uses each file's newest ``hash_name``; pairs without both fingerprints are left out.
-    Work grows with the number of pairs given, not with its square. A file that takes part
-    in very many pairs is split by adaptive execution, as each side of a join is a plain
-    equi-join with one fingerprint row per file.
+    Work grows with the number of pairs given, not with its square, and a file that takes
+    part in very many pairs is spread over tasks.
     """
     prints = latest_hashes(hashes, hash_name).select("file_id", bits.from_text(F.col("hash_value")).alias("print"))
     left = prints.select(F.col("file_id").alias("left_id"), F.col("print").alias("_left"))
     right = prints.select(F.col("file_id").alias("right_id"), F.col("print").alias("_right"))
     distance = bits.hamming(F.col("_left"), F.col("_right"))
     return (
-        pairs.join(left, "left_id").join(right, "right_id")
+        lookup(lookup(pairs.select("left_id", "right_id"), left, "left_id"), right, "right_id")
         .filter(F.col("_left").isNotNull() & F.col("_right").isNotNull())
         .select("left_id", "right_id", distance.alias("distance"), bits.same_picture(distance).alias("verdict"))
     )

@@ -9,24 +9,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photarium.operators.algorithms import algorithm, algorithm_table
+from photarium.operators.algorithms import ALGORITHMS, Algorithm, algorithm
 from photarium.operators.latest import active, latest_hashes, of_type
 
 
-def candidates(files: DataFrame, hash_name: str) -> DataFrame:
-    """Present files that ``hash_name`` applies to."""
-    scope = algorithm(hash_name).file_type
-    present = active(files)
-    return present if scope is None else of_type(present, scope)
+WORK = ["id", "path", "size_bytes", "mtime_secs"]
 
 
 def needing_hash(
     files: DataFrame, hashes: DataFrame, hash_name: str, file_type: str | None = None
 ) -> DataFrame:
-    """Present files without any ``hash_name`` row, as (id, path, size_bytes).
+    """Present files without any ``hash_name`` row, as (id, path, size_bytes, mtime_secs).
 
     A file that changed after it was hashed is not listed; ``needing_hash_or_stale`` is.
     """
@@ -35,7 +31,7 @@ def needing_hash(
     if file_type is not None:
         present = of_type(present, file_type)
     hashed = hashes.filter(F.col("hash_name") == hash_name).select(F.col("file_id").alias("id")).distinct()
-    return present.join(hashed, "id", "left_anti").select("id", "path", "size_bytes")
+    return present.join(hashed, "id", "left_anti").select(*WORK)
 
 
 def smallest_first(work: DataFrame) -> DataFrame:
@@ -67,7 +63,7 @@ def needing_hash_or_stale(
     if file_type is not None:
         present = of_type(present, file_type)
     fresh = fresh_hash_ids(present, stats, hashes, hash_name)
-    return present.join(fresh, "id", "left_anti").select("id", "path", "size_bytes")
+    return present.join(fresh, "id", "left_anti").select(*WORK)
 
 
 def needing_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -81,29 +77,27 @@ def needing_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
 def hash_coverage(files: DataFrame, hashes: DataFrame) -> DataFrame:
     """Per algorithm: files it applies to, hashed ones, remaining ones.
 
-    One join for all algorithms; the left side of the result is the fixed algorithm list,
-    so an algorithm without rows is reported too.
+    The hash log is reduced to one row of flags per file and joined to the files once; all
+    counts come from that pass, and an algorithm without rows is reported too.
     """
-    names = algorithm_table(files.sparkSession)
-    present = active(files).select("id", "file_type")
-    totals = (
-        present.groupBy("file_type").agg(F.count(F.lit(1)).alias("files"))
-        .join(F.broadcast(names), F.col("scope").isNull() | (F.col("scope") == F.col("file_type")))
-        .groupBy("hash_name").agg(F.sum("files").alias("files_total"))
-    )
-    hashed = (
-        hashes.select(F.col("file_id").alias("id"), "hash_name").distinct()
-        .join(F.broadcast(names), "hash_name")
-        .join(present, "id")
-        .filter(F.col("scope").isNull() | (F.col("scope") == F.col("file_type")))
-        .groupBy("hash_name").agg(F.count(F.lit(1)).alias("files_hashed"))
-    )
-    total = F.coalesce("files_total", F.lit(0)).cast("long")
-    done = F.coalesce("files_hashed", F.lit(0)).cast("long")
-    return (
-        names.join(F.broadcast(totals), "hash_name", "left").join(F.broadcast(hashed), "hash_name", "left")
-        .select(
-            "hash_name", total.alias("files_total"), done.alias("files_hashed"),
-            (total - done).alias("files_remaining"),
+    flags = hashes.groupBy(F.col("file_id").alias("id")).agg(*[
+        F.bool_or(F.col("hash_name") == name).alias(f"has_{name}") for name in ALGORITHMS
+    ])
+    joined = active(files).select("id", "file_type").join(flags, "id", "left")
+
+    def row(entry: Algorithm) -> list[Column]:
+        applies = F.lit(True) if entry.file_type is None else F.col("file_type") == entry.file_type
+        done = applies & F.coalesce(F.col(f"has_{entry.name}"), F.lit(False))
+        return [F.count_if(applies).alias(f"total_{entry.name}"), F.count_if(done).alias(f"done_{entry.name}")]
+
+    counts = joined.agg(*[column for entry in ALGORITHMS.values() for column in row(entry)])
+    rows = [
+        F.struct(
+            F.lit(name).alias("hash_name"),
+            F.col(f"total_{name}").alias("files_total"),
+            F.col(f"done_{name}").alias("files_hashed"),
+            (F.col(f"total_{name}") - F.col(f"done_{name}")).alias("files_remaining"),
         )
-    )
+        for name in ALGORITHMS
+    ]
+    return counts.select(F.inline(F.array(*rows)))

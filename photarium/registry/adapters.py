@@ -320,7 +320,9 @@ def typed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag(0, "UserComment", "undefined", raw=F.repeat("p_type", 10)),
         tag(0, "Gamma", "float", display=F.col("p_name")),
     )
-    return spread(table(spark, sf_dir, "part")).select(key.alias("file_id"), tags.cast(f"array<{exif.TAG_SCHEMA}>").alias("tags"))
+    return spread(table(spark, sf_dir, "part").select(
+        key.alias("file_id"), tags.cast(f"array<{exif.TAG_SCHEMA}>").alias("tags")
+    ))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,21 +208,23 @@ def scan_cycle(spark, sf_dir):
 def needing_hash_blake3(spark, sf_dir):
     """Present files without a full digest, smallest first."""
     work = worklist.needing_hash(_library_files(spark, sf_dir), a.library_hashes(spark, sf_dir), "blake3")
-    return worklist.smallest_first(work)
+    return worklist.smallest_first(work.select("id", "path", "size_bytes"))
 
 
 @query
 def needing_hash_images(spark, sf_dir):
     """Present images without a mean hash."""
-    return worklist.needing_hash(_library_files(spark, sf_dir), a.library_hashes(spark, sf_dir), "phash", "image")
+    work = worklist.needing_hash(_library_files(spark, sf_dir), a.library_hashes(spark, sf_dir), "phash", "image")
+    return work.select("id", "path", "size_bytes")
 
 
 @query
 def needing_hash_stale_aware(spark, sf_dir):
     """Present files without a full digest of their present version."""
-    return worklist.needing_hash_or_stale(
+    work = worklist.needing_hash_or_stale(
         _library_files(spark, sf_dir), a.library_stats(spark, sf_dir), a.library_hashes(spark, sf_dir), "blake3"
     )
+    return work.select("id", "path", "size_bytes")
 
 
 @query

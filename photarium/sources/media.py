@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ from photarium.functions.errors import HASH_DECODE_FAILED, IO_ERROR, error_text
 from photarium.operators.numbering import number_rows
 
 CHUNK_BYTES = 1024 * 1024
+TASK_BYTES = 8 * 1024 ** 3
+TASK_FILES = 100_000
 # Rec. 709 luma weights for red, green, blue, in ten-thousandths.
 LUMA_WEIGHTS = (2126, 7152, 722)
 
@@ -47,13 +51,19 @@ def _digest_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "digest", "error_code", "error_message"])
 
 
-def spread_by_size(work: DataFrame, partitions: int) -> DataFrame:
+def spread_by_size(work: DataFrame) -> DataFrame:
     """Deal files out in size order, so every task gets a like share of large and small.
 
-    ``work`` has ``id`` and ``size_bytes``.
+    ``work`` has ``id`` and ``size_bytes``. There are at least as many tasks as cores, and
+    more where that would give a task too many bytes or files.
     """
+    total = work.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files")).first()
+    tasks = max(
+        work.sparkSession.sparkContext.defaultParallelism,
+        -(-total["bytes"] // TASK_BYTES), -(-total["files"] // TASK_FILES),
+    )
     dealt = number_rows(work, ["size_bytes", "id"], 0, "_turn")
-    return dealt.repartitionById(partitions, (F.col("_turn") % partitions).cast("int")).drop("_turn")
+    return dealt.repartitionById(tasks, (F.col("_turn") % tasks).cast("int")).drop("_turn")
 
 
 def digest_files(work: DataFrame) -> DataFrame:
@@ -77,15 +87,22 @@ def read_bytes(spark: SparkSession, *roots: str, max_bytes: int | None = None) -
     return files.select(_local_path(F.col("path")).alias("path"), "content")
 
 
-def read_images(spark: SparkSession, *roots: str, modified_after: str | None = None) -> DataFrame:
+def oldest_mtime(work: DataFrame) -> int | None:
+    """Oldest mtime of a work-list in seconds, None for an empty one."""
+    return work.agg(F.min("mtime_secs").alias("oldest")).first()["oldest"]
+
+
+def read_images(spark: SparkSession, *roots: str, modified_since: int | None = None) -> DataFrame:
     """(path, image, error_code, error_message): decoded images below the roots.
 
     Files Spark cannot decode keep their row, with a NULL image and an error code.
-    ``modified_after`` limits an incremental run to files changed since then.
+    ``modified_since`` (seconds since the epoch) leaves out files older than that at the
+    listing, so an incremental run does not decode what it hashed before.
     """
     reader = spark.read.format("image").option("recursiveFileLookup", True)
-    if modified_after is not None:
-        reader = reader.option("modifiedAfter", modified_after)
+    if modified_since:
+        before = datetime.fromtimestamp(modified_since - 1, ZoneInfo(spark.conf.get("spark.sql.session.timeZone")))
+        reader = reader.option("modifiedAfter", before.strftime("%Y-%m-%dT%H:%M:%S"))
     decoded = F.col("image.mode") >= 0
     path = _local_path(F.col("image.origin"))
     failed = error_text(

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
+SHARDS = 16
+
+
 def first_hashes(hashes: DataFrame, lateness: str) -> DataFrame:
     """Streaming: one row per (file_id, hash_name); repeats within ``lateness`` are dropped.
 
-    State of a key is released once the watermark has passed its time by ``lateness``.
+    Repeats are dropped within shards of a key first, so a key with very many rows reaches
+    the second step as at most ``SHARDS`` of them. State of a key is released once the
+    watermark has passed its time by ``lateness``.
     """
-    return hashes.withWatermark("computed_at", lateness).dropDuplicatesWithinWatermark(
-        ["file_id", "hash_name"]
+    shard = F.pmod(F.xxhash64("stat_id"), F.lit(SHARDS))
+    keys = ["file_id", "hash_name"]
+    return (
+        hashes.withWatermark("computed_at", lateness).withColumn("_shard", shard)
+        .dropDuplicatesWithinWatermark([*keys, "_shard"])
+        .drop("_shard")
+        .dropDuplicatesWithinWatermark(keys)
     )
 
 
