@@ -19,7 +19,7 @@ from photarium.operators import hashing, latest, metadata, observe, reports, wor
 from photarium.operators.algorithms import algorithm
 from photarium.operators.numbering import largest
 from photarium.plans import runs, scans
-from photarium.session import configure, shared_dir
+from photarium.session import configure, settle
 from photarium.settings import ScanSettings
 from photarium.sources import inventory, media
 from photarium.sources.tables import append_table, read_table
@@ -191,11 +191,10 @@ class Catalog:
         """List the settings' roots and record what is there and what is gone; returns totals.
 
         Roots that do not exist are skipped, and their files stay as they were. All steps
-        read one checkpointed listing, so files that change meanwhile cannot disagree.
+        read one stored listing, so files that change meanwhile cannot disagree.
         """
         roots = inventory.reachable_roots(self.spark, inventory.expand_roots(self.settings.roots))
-        shared_dir(self.spark)
-        listing = list_files(self.spark, roots).checkpoint()
+        listing = settle(list_files(self.spark, roots), "listing")
         output = scans.library_scan(listing, roots, self.master, self.stats, F.current_timestamp(), self.settings)
         self._append(output.new_master, "file_master")
         self._append(output.new_stats, "file_stats")
@@ -223,13 +222,11 @@ class Catalog:
     def scan_hashes(self, hash_name: str, refresh_stale: bool = False) -> DataFrame:
         """Compute one hash for the files due for it; returns the failures.
 
-        Results are checkpointed before they are appended, so looking at the failures hashes
+        Results are stored before they are appended, so looking at the failures hashes
         nothing again.
         """
-        shared_dir(self.spark)
         work = scans.hash_work(self.master, self.stats, self.hashes, hash_name, refresh_stale)
-        results = self._compute(work, hash_name).checkpoint()
-        return self.record_hashes(results)
+        return self.record_hashes(settle(self._compute(work, hash_name), "hashed"))
 
     def _compute(self, work: DataFrame, hash_name: str) -> DataFrame:
         method = algorithm(hash_name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photarium.session import shared_dir
+from photarium.session import settle
 
 # Layout of monotonically_increasing_id: partition number above, row offset below.
 _OFFSET_BITS = 33
@@ -18,16 +18,15 @@ def number_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataF
     ``order`` must be unique, so that no value spans range partitions. Rows are range
     partitioned and sorted, which leaves each row's place inside its partition; adding the
     number of rows in the partitions before gives the global place. The range boundaries
-    come from a sample and may differ between runs of the same plan, so the partitioned
-    rows are checkpointed once and both steps read that copy. The offsets table holds one
-    row per partition, which bounds what is broadcast.
+    come from a sample and may differ between runs of the same plan, so the placed rows
+    are written once and both steps read that copy, the counting one only its place
+    column. The offsets table holds one row per partition, which bounds what is broadcast.
     """
-    shared_dir(df.sparkSession)
-    placed = (
+    placed = settle(
         df.repartitionByRange(*[F.col(c) for c in order])
         .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "numbered",
     )
     partition = F.shiftright("_place", _OFFSET_BITS).alias("_part")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.functions import units
+from photarium.operators.lookup import lookup
 from photarium.schemas import RUN_EVENTS
 
 STARTED, PROGRESS, COMPLETED = "started", "progress", "completed"
@@ -50,8 +51,20 @@ def run_status(events: DataFrame) -> DataFrame:
 
 
 def progress_snapshots(events: DataFrame) -> DataFrame:
-    """Every progress event with the percentage done."""
-    return events.filter(F.col("event") == PROGRESS).select(
-        "run_id", "event_time", "files_processed", "files_total",
+    """Every progress event with its run's stage, the percentage done and the time taken.
+
+    ``elapsed_secs`` counts from the start of the run and is NULL where no start is logged.
+    A run with very many events is spread over tasks.
+    """
+    starts = run_status(events).select(F.col("id").alias("run_id"), "scan_level", "hash_type", "started_at")
+    progress = events.filter(F.col("event") == PROGRESS).select(
+        "run_id", "event_time", "files_processed", "files_total"
+    )
+    level = F.col("scan_level")
+    stage = F.when(level == 1, "stats").when(level == 2, "metadata").when(level == 3, "hash")
+    micros = F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    return lookup(progress, starts, "run_id").select(
+        "run_id", stage.alias("stage"), "hash_type", "event_time", "files_processed", "files_total",
         units.percent_done(F.col("files_processed"), F.col("files_total")).alias("percent"),
+        (micros / F.lit(1e6)).alias("elapsed_secs"),
     )

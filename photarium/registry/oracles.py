@@ -399,10 +399,15 @@ ORACLES: dict[str, str] = {
                (max(struct_pack(t := event_time, m := error_message)) FILTER (WHERE event = 'completed')).m AS error_message
         FROM run_log GROUP BY run_id""", "run_log"),
     "scan_progress": sql("""
-        SELECT run_id, event_time, files_processed, files_total,
-               CAST(CASE WHEN files_total > 0 THEN floor(files_processed::DOUBLE / files_total::DOUBLE * 100)
-                         WHEN files_total IS NOT NULL THEN 0 END AS INTEGER) AS percent
-        FROM run_log WHERE event = 'progress'""", "run_log"),
+        SELECT p.run_id, CASE s.scan_level WHEN 1 THEN 'stats' WHEN 2 THEN 'metadata' WHEN 3 THEN 'hash' END AS stage,
+               s.hash_type, p.event_time, p.files_processed, p.files_total,
+               CAST(CASE WHEN p.files_total > 0 THEN floor(p.files_processed::DOUBLE / p.files_total::DOUBLE * 100)
+                         WHEN p.files_total IS NOT NULL THEN 0 END AS INTEGER) AS percent,
+               (epoch_us(p.event_time) - epoch_us(s.event_time))::DOUBLE / 1e6::DOUBLE AS elapsed_secs
+        FROM run_log p
+        LEFT JOIN (SELECT * FROM run_log WHERE event = 'started'
+                   QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_time) = 1) s ON s.run_id = p.run_id
+        WHERE p.event = 'progress'""", "run_log"),
     "stream_latest_state": sql("SELECT * FROM lib_latest", "lib_latest"),
     "stream_first_hash": sql("SELECT DISTINCT file_id, hash_name FROM lib_hashes", "lib_hashes"),
 }

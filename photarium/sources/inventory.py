@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from photarium.functions import paths
 from photarium.schemas import LISTING, conform
-from photarium.session import shared_dir
+from photarium.session import settle
 
 # Paths travel as the bytes the file system holds; they need not be valid UTF-8.
 _ENTRIES = "root_dir string, root_order int, raw binary, is_dir boolean"
@@ -87,17 +87,16 @@ def walk(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """Every regular file below the given existing roots, hidden ones included.
 
     One Spark job per directory level: the directories of a level are spread over tasks,
-    each task lists its share, and the result is checkpointed, so a lost executor costs
-    one level at most. Names are then spread evenly again to read size and mtime, which
+    each task lists its share, and the result is written to the shared folder, so a lost
+    executor costs one level at most. Names are then spread evenly again to read size and mtime, which
     keeps one huge flat directory from becoming one long task. Links are not followed.
     """
-    shared_dir(spark)
     starts = [(r, i, os.fsencode(r), os.path.isdir(r)) for i, r in enumerate(roots)]
     level = spark.createDataFrame(starts, _ENTRIES)
     found = level.filter(~F.col("is_dir"))
     while True:
         directories = level.filter("is_dir").select("root_dir", "root_order", "raw")
-        level = directories.repartition("raw").mapInPandas(_list_directories, _ENTRIES).checkpoint()
+        level = settle(directories.repartition("raw").mapInPandas(_list_directories, _ENTRIES), "level")
         if level.isEmpty():
             break
         found = found.union(level.filter(~F.col("is_dir")))
