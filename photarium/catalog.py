@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photarium import schemas
+from photarium.functions import errors
 from photarium.operators import hashing, latest, metadata, observe, reports, worklist
 from photarium.operators.algorithms import algorithm
 from photarium.operators.numbering import largest
@@ -138,11 +139,16 @@ class Catalog:
         rows = observe.mark_missing(gone, self.master, self.stats, F.current_timestamp())
         self._append(rows, "file_stats")
 
+    def _require_observed(self, file_id: int, code: str) -> None:
+        if self.stats.filter(F.col("file_id") == file_id).isEmpty():
+            raise errors.NotCatalogued(code, file_id)
+
     # --- hashes ------------------------------------------------------------------------
 
     def set_hash(self, file_id: int, hash_name: str, value: str) -> None:
-        """Store one hash; an unknown name is an error."""
+        """Store one hash; an unknown name or a file never observed is an error."""
         algorithm(hash_name)
+        self._require_observed(file_id, errors.SET_HASH_FAILED)
         self.record_hashes(self.spark.createDataFrame([(file_id, hash_name, value)], RESULTS))
 
     def set_perceptual_hash(self, file_id: int, hash_name: str, value: int) -> None:
@@ -176,8 +182,9 @@ class Catalog:
         self._append(metadata.log_rows(stamped, F.current_timestamp()), "file_metadata")
 
     def insert_metadata(self, file_id: int, entries: list[tuple[str, str, str | None]]) -> None:
-        """Append tags of one file."""
+        """Append tags of one file; a file never observed is an error."""
         if entries:
+            self._require_observed(file_id, errors.INSERT_METADATA_FAILED)
             rows = [(file_id, *entry) for entry in entries]
             self.record_metadata(self.spark.createDataFrame(rows, ENTRIES))
 
@@ -210,14 +217,10 @@ class Catalog:
 
         ``tags`` is (path, tags), ``probes`` is (path, probe_json), one row per file.
         """
-        work = worklist.needing_metadata(self.files(), self.metadata)
-        by_id = work.select(F.col("id").alias("file_id"), "path")
-        rows = metadata.dispatch(
-            work.select("id", "stat_id", "file_type"),
-            tags.join(by_id, "path").drop("path"),
-            probes.join(by_id, "path").drop("path"),
+        rows = scans.metadata_scan(
+            self.master, self.stats, self.metadata, tags, probes, F.current_timestamp(), key="path"
         )
-        self._append(metadata.log_rows(rows, F.current_timestamp()), "file_metadata")
+        self._append(rows, "file_metadata")
 
     def scan_hashes(self, hash_name: str, refresh_stale: bool = False) -> DataFrame:
         """Compute one hash for the files due for it; returns the failures.

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HASH_UNKNOWN_ALGORITHM = "HASH_UNKNOWN_ALGORITHM"
 HASH_DECODE_FAILED = "HASH_DECODE_FAILED"
 IO_ERROR = "IO_ERROR"
+SET_HASH_FAILED = "DB_SET_HASH_FAILED"
+INSERT_METADATA_FAILED = "DB_INSERT_METADATA_FAILED"
 
 
 class UnknownAlgorithm(ValueError):
@@ -21,6 +23,15 @@ class UnknownAlgorithm(ValueError):
         self.name = name
 
 
+class NotCatalogued(LookupError):
+    """Raised when a hash or tag is given for a file that was never observed."""
+
+    def __init__(self, code: str, file_id: int):
+        super().__init__(f"{code}. file_id: {file_id} (never observed)")
+        self.code = code
+        self.file_id = file_id
+
+
 def error_text(code: Column, kind: Column, value: Column, detail: Column) -> Column:
     """``CODE. kind: value (detail)``, leaving out parts that are NULL."""
     return F.concat(

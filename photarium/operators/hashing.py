@@ -58,14 +58,27 @@ def check_names(results: DataFrame) -> DataFrame:
     )
 
 
-def hash_rows(results: DataFrame, stats: DataFrame, computed_at: Column) -> DataFrame:
-    """Rows for the hash log from results without error, stamped with the latest observation.
+def stamp(results: DataFrame, stats: DataFrame) -> DataFrame:
+    """Add each file's latest observation id; a result of a file never observed gets an error.
 
-    Results hold one row per file and algorithm. Failures are left out, so the next scan
-    lists their files again.
+    Results hold one row per file and algorithm.
     """
-    good = results.filter(F.col("error_code").isNull()).select("file_id", "hash_name", "hash_value")
-    return good.join(latest_stat_ids(stats), "file_id").select(
+    unknown = F.col("stat_id").isNull() & F.col("error_code").isNull()
+    message = errors.error_text(
+        F.lit(errors.SET_HASH_FAILED), F.lit("file_id"), F.col("file_id").cast("string"), F.lit("never observed")
+    )
+    return results.join(latest_stat_ids(stats), "file_id", "left").withColumns({
+        "error_code": F.when(unknown, errors.SET_HASH_FAILED).otherwise(F.col("error_code")),
+        "error_message": F.when(unknown, message).otherwise(F.col("error_message")),
+    })
+
+
+def hash_rows(stamped: DataFrame, computed_at: Column) -> DataFrame:
+    """Rows for the hash log from stamped results without error.
+
+    Failures are left out, so the next scan lists their files again.
+    """
+    return stamped.filter(F.col("error_code").isNull()).select(
         "file_id", "stat_id", "hash_name", "hash_value", computed_at.alias("computed_at")
     )
 

@@ -89,14 +89,14 @@ def probe_rows(probes: DataFrame) -> DataFrame:
     return parts.select(*kept, F.inline(entries)).filter(F.col("value").isNotNull())
 
 
-def dispatch(files: DataFrame, tags: DataFrame, probes: DataFrame) -> DataFrame:
-    """Tag rows of files (id, file_type, more): images by tags, videos by probe, others none.
+def dispatch(files: DataFrame, tags: DataFrame, probes: DataFrame, key: str = "file_id") -> DataFrame:
+    """Tag rows of files: images by their tags, videos by their probe, others none.
 
-    ``tags`` and ``probes`` have one row per file_id.
+    ``files`` has file_type, ``key`` and columns to keep; ``tags`` and ``probes`` have one
+    row per ``key``.
     """
     def joined(kind: str, source: DataFrame) -> DataFrame:
-        chosen = of_type(files, kind).drop("file_type").withColumnRenamed("id", "file_id")
-        return chosen.join(source, "file_id")
+        return of_type(files, kind).drop("file_type").join(source, key)
 
     return exif_rows(joined("image", tags)).unionByName(probe_rows(joined("video", probes)))
 

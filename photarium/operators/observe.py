@@ -39,7 +39,8 @@ def missing_paths(known: DataFrame, seen: DataFrame, roots: Sequence[str]) -> Da
     never missing. A path that an earlier root saw has changed owner and is not missing;
     one that only a later root sees gets a missing row first. Adds ``root_order``.
     """
-    position = F.array_position(F.array(*[F.lit(r) for r in roots]), F.col("root_dir"))
+    ordered = F.array(*[F.lit(r) for r in roots]).cast("array<string>")
+    position = F.array_position(ordered, F.col("root_dir"))
     due = known.withColumn("root_order", (position - 1).cast("int")).filter(F.col("root_order") >= 0)
     first_seen = seen.groupBy(F.col("path").alias("seen_path")).agg(F.min("root_order").alias("seen_order"))
     already_seen = (F.col("path") == F.col("seen_path")) & (F.col("seen_order") <= F.col("root_order"))

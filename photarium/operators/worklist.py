@@ -39,31 +39,34 @@ def smallest_first(work: DataFrame) -> DataFrame:
     return work.orderBy("size_bytes", "id")
 
 
-def fresh_hash_ids(files: DataFrame, stats: DataFrame, hashes: DataFrame, hash_name: str) -> DataFrame:
-    """Ids of files whose newest hash was taken at their present size and mtime.
+VERSION = ["size_bytes", "mtime_secs", "mtime_nanos"]
 
-    Compares values, not ``stat_id``: every scan adds a row even if nothing changed.
-    """
+
+def hashed_versions(stats: DataFrame, hashes: DataFrame, hash_name: str) -> DataFrame:
+    """(id, hashed_...): size and mtime at which each file's newest ``hash_name`` was taken."""
     newest = latest_hashes(hashes, hash_name).select("file_id", "stat_id")
-    version = ["size_bytes", "mtime_secs", "mtime_nanos"]
-    hashed_at = (
-        newest.join(stats.select("stat_id", *version), "stat_id")
-        .select(F.col("file_id").alias("id"), *[F.col(c).alias(f"hashed_{c}") for c in version])
+    return newest.join(stats.select("stat_id", *VERSION), "stat_id").select(
+        F.col("file_id").alias("id"), *[F.col(c).alias(f"hashed_{c}") for c in VERSION]
     )
-    unchanged = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"hashed_{c}") for c in version])
-    return files.join(hashed_at, "id").filter(unchanged).select("id")
 
 
 def needing_hash_or_stale(
     files: DataFrame, stats: DataFrame, hashes: DataFrame, hash_name: str, file_type: str | None = None
 ) -> DataFrame:
-    """Present files never hashed, or changed in size or mtime since their newest hash."""
+    """Present files never hashed, or changed in size or mtime since their newest hash.
+
+    Compares values, not ``stat_id``: every scan adds a row even if nothing changed.
+    """
     algorithm(hash_name)
     present = active(files)
     if file_type is not None:
         present = of_type(present, file_type)
-    fresh = fresh_hash_ids(present, stats, hashes, hash_name)
-    return present.join(fresh, "id", "left_anti").select(*WORK)
+    unchanged = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"hashed_{c}") for c in VERSION])
+    return (
+        present.join(hashed_versions(stats, hashes, hash_name), "id", "left")
+        .filter(~F.coalesce(unchanged, F.lit(False)))
+        .select(*WORK)
+    )
 
 
 def needing_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -56,15 +56,17 @@ def library_scan(
 
 
 def metadata_scan(
-    master: DataFrame, stats: DataFrame, log: DataFrame, tags: DataFrame, probes: DataFrame, extracted_at: Column
+    master: DataFrame, stats: DataFrame, log: DataFrame, tags: DataFrame, probes: DataFrame,
+    extracted_at: Column, key: str = "file_id",
 ) -> DataFrame:
     """Tag rows for present images and videos that have none yet.
 
-    The work-list already carries each file's latest observation id, so nothing more is
-    joined to stamp the rows.
+    ``tags`` and ``probes`` are keyed by file_id or by path. The work-list already carries
+    each file's latest observation id, so nothing more is joined to stamp the rows.
     """
-    work = worklist.needing_metadata(files_view(master, stats), log).select("id", "stat_id", "file_type")
-    return metadata.log_rows(metadata.dispatch(work, tags, probes), extracted_at)
+    work = worklist.needing_metadata(files_view(master, stats), log).withColumnRenamed("id", "file_id")
+    needed = work.select(*dict.fromkeys(["file_id", "stat_id", "file_type", key]))
+    return metadata.log_rows(metadata.dispatch(needed, tags, probes, key), extracted_at)
 
 
 @dataclass(frozen=True)
@@ -88,5 +90,5 @@ def hash_work(
 
 def hash_scan(results: DataFrame, stats: DataFrame, computed_at: Column) -> HashOutput:
     """Split computed results into rows for the hash log and failures."""
-    checked = hashing.check_names(results)
-    return HashOutput(hashing.hash_rows(checked, stats, computed_at), hashing.quarantine(checked))
+    stamped = hashing.stamp(hashing.check_names(results), stats)
+    return HashOutput(hashing.hash_rows(stamped, computed_at), hashing.quarantine(stamped))

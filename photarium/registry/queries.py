@@ -272,9 +272,8 @@ def append_hashes(spark, sf_dir):
         F.col("c_custkey").alias("file_id"),
         F.lit("phash").alias("hash_name"),
         bits.to_text(a.cents("c_acctbal") * F.lit(90_000_000_007)).alias("hash_value"),
-        F.lit(None).cast("string").alias("error_code"),
     )
-    return hashing.hash_rows(values, a.library_stats(spark, sf_dir), a.at(a.SECOND_SCAN))
+    return scans.hash_scan(values, a.library_stats(spark, sf_dir), a.at(a.SECOND_SCAN)).new_hashes
 
 
 def _named_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +361,7 @@ def video_streams(spark, sf_dir):
 @query
 def metadata_dispatch(spark, sf_dir):
     """Tags of images and probes of videos, nothing for other files."""
-    files = _library_files(spark, sf_dir).select("id", "file_type")
+    files = _library_files(spark, sf_dir).select(F.col("id").alias("file_id"), "file_type")
     return metadata.dispatch(files, a.typed_tags(spark, sf_dir), a.probes(spark, sf_dir))
 
 

@@ -84,7 +84,7 @@ def read_bytes(spark: SparkSession, *roots: str, max_bytes: int | None = None) -
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
-    return files.select(_local_path(F.col("path")).alias("path"), "content")
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
 
 
 def oldest_mtime(work: DataFrame) -> int | None:
@@ -117,7 +117,7 @@ def read_images(spark: SparkSession, *roots: str, modified_since: int | None = N
 
 
 def _local_path(uri: Column) -> Column:
-    """Plain path for ``file:`` URIs, as listings carry it; other URIs unchanged."""
+    """Plain path for the encoded ``file:`` URIs of the image source, as listings carry it."""
     local = F.regexp_replace(uri, "^file:/+", "/")
     return F.when(uri.startswith("file:"), F.try_url_decode(F.replace(local, F.lit("+"), F.lit("%2B")))).otherwise(uri)
 

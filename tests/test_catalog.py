@@ -7,8 +7,9 @@ import zlib
 import pytest
 
 from photarium.catalog import Catalog
-from photarium.functions.errors import UnknownAlgorithm
+from photarium.functions.errors import NotCatalogued, UnknownAlgorithm
 from photarium.settings import ScanSettings
+from photarium.sources import inventory, media
 
 
 @pytest.fixture
@@ -77,6 +78,29 @@ def test_hashes_latest_wins_and_names_are_checked(catalog):
     assert catalog.hashes.count() == 3
     with pytest.raises(UnknownAlgorithm, match="HASH_UNKNOWN_ALGORITHM. algorithm: sha256"):
         catalog.set_hash(file_id, "sha256", "cc")
+    with pytest.raises(NotCatalogued, match="DB_SET_HASH_FAILED. file_id: 99"):
+        catalog.set_hash(99, "blake3", "cc")
+    with pytest.raises(NotCatalogued, match="DB_INSERT_METADATA_FAILED. file_id: 99"):
+        catalog.insert_metadata(99, [("exif", "Make", "A")])
+
+
+def test_one_hash_name_reads_one_partition(catalog):
+    catalog.set_hash(catalog.upsert_file("/p/a.jpg", "/p", 10), "phash", "12")
+    plan = catalog.latest_hashes("blake3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(hash_name" in plan
+    plan = catalog.library_stats()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<stat_id:bigint,file_id:bigint,size_bytes:bigint,file_type:string,is_missing:boolean" in plan
+
+
+def test_failed_results_are_returned_and_not_stored(spark, catalog):
+    file_id = catalog.upsert_file("/p/a.jpg", "/p", 10)
+    results = spark.createDataFrame(
+        [(file_id, "blake3", "aa"), (file_id, "sha256", "bb"), (99, "blake3", "cc")],
+        "file_id long, hash_name string, hash_value string")
+    failures = catalog.record_hashes(results).collect()
+    assert sorted(f["error_message"] for f in failures) == [
+        "DB_SET_HASH_FAILED. file_id: 99 (never observed)", "HASH_UNKNOWN_ALGORITHM. algorithm: sha256"]
+    assert [r["hash_value"] for r in catalog.hashes.collect()] == ["aa"]
 
 
 def test_metadata_latest_value_wins(catalog):
@@ -190,6 +214,44 @@ def test_scan_hash_and_report_on_real_files(spark, tmp_path):
     assert [r["state"] for r in catalog.changes().filter("path like '%big.png'").collect()] == ["still_missing"]
 
 
+def test_listing_through_the_file_index(spark, tmp_path):
+    root = tmp_path / "objects"
+    (root / "sub dir").mkdir(parents=True)
+    (root / "a+b.jpg").write_bytes(b"123")
+    (root / "sub dir" / "c%20d.txt").write_bytes(b"4567")
+    (root / ".hidden").write_bytes(b"8")
+    expected = {str(root / "a+b.jpg"): 3, str(root / "sub dir" / "c%20d.txt"): 4}
+    listing = inventory.list_objects(spark, [str(root)])
+    assert {r["path"]: r["size_bytes"] for r in listing.collect()} == expected
+    walked = inventory.walk(spark, [str(root)])
+    assert {r["path"]: r["size_bytes"] for r in walked.collect()} == {**expected, str(root / ".hidden"): 1}
+    assert {r["path"]: r["mtime_secs"] for r in listing.collect()} == {
+        r["path"]: r["mtime_secs"] for r in walked.collect() if r["path"] in expected}
+    contents = media.read_bytes(spark, str(root), max_bytes=3)
+    assert {r["path"]: bytes(r["content"]) for r in contents.collect()} == {str(root / "a+b.jpg"): b"123"}
+    assert sorted(r["path"] for r in media.read_bytes(spark, str(root)).collect()) == sorted(expected)
+    assert inventory.walk(spark, []).count() == inventory.list_objects(spark, []).count() == 0
+
+
+def test_no_reachable_root(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "catalog"), ScanSettings(roots=(str(tmp_path / "absent"),)))
+    catalog.upsert_file("/p/a.jpg", "/p", 10)
+    assert catalog.scan().first()["total_files"] == 0
+    assert not catalog.files().first()["is_missing"]
+
+
+def test_unreadable_file_is_reported(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.jpg").write_bytes(b"1"), (root / "b.jpg").write_bytes(b"2")
+    catalog = Catalog(spark, str(tmp_path / "catalog"), ScanSettings(roots=(str(root),)))
+    catalog.scan()
+    (root / "a.jpg").unlink()
+    failures = catalog.scan_hashes("blake3").collect()
+    assert [f["error_code"] for f in failures] == ["IO_ERROR"] and "a.jpg" in failures[0]["error_message"]
+    assert [r["path"] for r in catalog.files_needing_hash("blake3").collect()] == [str(root / "a.jpg")]
+
+
 def test_absent_root_keeps_its_files_and_an_empty_one_loses_them(spark, tmp_path):
     kept, emptied = tmp_path / "kept", tmp_path / "emptied"
     kept.mkdir(), emptied.mkdir()
