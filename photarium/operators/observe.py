@@ -60,14 +60,13 @@ def carry_forward(stats: DataFrame, file_ids: DataFrame) -> DataFrame:
 
 
 def mark_missing(
-    gone: DataFrame, master: DataFrame, stats: DataFrame, observed_at: Column, first_id: int | None = None
+    gone: DataFrame, master: DataFrame, stats: DataFrame, observed_at: Column
 ) -> DataFrame:
     """Observation rows that flag the given paths as missing; unknown paths are ignored."""
     ids = gone.select("path").distinct().join(master, "path").select(F.col("id").alias("file_id"), "path")
     rows = carry_forward(stats, ids)
-    start = largest(stats, "stat_id") if first_id is None else first_id
     return (
-        number_rows(rows, ["path"], start, "stat_id")
+        number_rows(rows, ["path"], largest(stats, "stat_id"), "stat_id")
         .withColumn("observed_at", observed_at)
         .select(*STAT_COLUMNS)
     )

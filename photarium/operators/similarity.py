@@ -13,7 +13,8 @@ from photarium.operators.lookup import lookup
 def compare_pairs(pairs: DataFrame, hashes: DataFrame, hash_name: str) -> DataFrame:
     """(left_id, right_id, distance, verdict) for given pairs (left_id, right_id).
 
-    Uses each file's newest ``hash_name``; pairs without both fingerprints are left out.
+    Uses each file's newest ``hash_name``; pairs without both fingerprints are left out, and
+    a pair given several times is compared once.
     Work grows with the number of pairs given, not with its square, and a file that takes
     part in very many pairs is spread over tasks.
     """
@@ -22,7 +23,7 @@ def compare_pairs(pairs: DataFrame, hashes: DataFrame, hash_name: str) -> DataFr
     right = prints.select(F.col("file_id").alias("right_id"), F.col("print").alias("_right"))
     distance = bits.hamming(F.col("_left"), F.col("_right"))
     return (
-        lookup(lookup(pairs.select("left_id", "right_id"), left, "left_id"), right, "right_id")
+        lookup(lookup(pairs.select("left_id", "right_id").distinct(), left, "left_id"), right, "right_id")
         .filter(F.col("_left").isNotNull() & F.col("_right").isNotNull())
         .select("left_id", "right_id", distance.alias("distance"), bits.same_picture(distance).alias("verdict"))
     )

@@ -31,7 +31,6 @@ NAMESPACES = {
     "view": "exif", "signup": "exif_thumb", "click": "exif_other", "purchase": "video", "error": "video_tag",
 }
 TREE_ROOTS = ["/lib", "/web", "/lib/src1"]
-ABSENT_ROOT = "/offline"
 FIRST_SCAN = "2024-01-01 00:00:00"
 SECOND_SCAN = "2024-02-01 00:00:00"
 

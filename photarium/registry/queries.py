@@ -37,8 +37,8 @@ def _tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inventory_scan(spark, sf_dir):
-    """The second listing, with the absent root skipped and each row under its root."""
-    return a.second_listing(spark, sf_dir).filter(F.col("root_dir") != a.ABSENT_ROOT)
+    """The second scan's listing: every file under each of its roots."""
+    return a.second_listing(spark, sf_dir)
 
 
 @query

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-SHARDS = 16
+SHARDS = 128
 
 
 def first_hashes(hashes: DataFrame, lateness: str) -> DataFrame:
     """Streaming: one row per (file_id, hash_name); repeats within ``lateness`` are dropped.
 
     Repeats are dropped within shards of a key first, so a key with very many rows reaches
-    the second step as at most ``SHARDS`` of them. State of a key is released once the
-    watermark has passed its time by ``lateness``.
+    the second step as at most ``SHARDS`` of them. The shard comes from the row and its
+    input partition, so copies of one row are spread as well; the second step is exact
+    whatever the shards. State of a key is released once the watermark has passed its time
+    by ``lateness``.
     """
-    shard = F.pmod(F.xxhash64("stat_id"), F.lit(SHARDS))
+    shard = F.pmod(F.xxhash64("stat_id", F.spark_partition_id()), F.lit(SHARDS))
     keys = ["file_id", "hash_name"]
     return (
         hashes.withWatermark("computed_at", lateness).withColumn("_shard", shard)
