@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from photarium.llm import decontamination, fingerprints, mixing, sharding, urls
+from photarium.llm import (
+    decontamination, fingerprints, html, language, language_model, mixing, near_dedup, sharding, toxicity, urls,
+)
 from photarium.llm.common import read
 from photarium.session import configure
 
@@ -15,11 +17,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and its offending sentences."""
+    docs = read(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.digest(read(configure(spark), sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page."""
+    return language.identify(read(configure(spark), sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page address."""
     return urls.judge(read(configure(spark), sf_dir, "pages").select("page_id", "url")).select(
@@ -27,22 +41,37 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document."""
+    return language_model.score(read(configure(spark), sf_dir, "documents"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(read(configure(spark), sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.digest(read(configure(spark), sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return near_dedup.dedup(read(configure(spark), sf_dir, "documents")).drop("text_key")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in every document."""
     return decontamination.digest(read(configure(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
-    "op1_mixing": op1_mixing,
-    "op3_fingerprints": op3_fingerprints,
-    "op5_url_filter": op5_url_filter,
-    "op8_sharding": op8_sharding,
-    "op10_decontamination": op10_decontamination,
+    query.__name__: query
+    for query in (
+        op1_mixing, op2_toxicity, op3_fingerprints, op4_language, op5_url_filter, op6_language_model, op7_html,
+        op8_sharding, op9_near_dedup, op10_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = {}
