@@ -88,7 +88,7 @@ def likeness(a: str, b: str) -> Column:
     total = "aggregate({}, 0D, (acc, x) -> acc + x)"
     dot = total.format(f"zip_with({_signed(a)}, {_signed(b)}, (x, y) -> x * y)")
     square = "sqrt(" + total.format("transform({}, x -> x * x)") + ")"
-    cosine = F.expr(f"{dot} / ({square.format(_signed(a))} * {square.format(_signed(b))})")
+    cosine = F.expr(f"try_divide({dot}, {square.format(_signed(a))} * {square.format(_signed(b))})")
     return F.when(F.expr(f"{a} = {b}"), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
 
 

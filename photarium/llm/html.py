@@ -161,8 +161,16 @@ def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN) -> lis
     return np.split(best, np.cumsum(lengths)[:-1])
 
 
-def _runs(words: list[str], remove: np.ndarray) -> str:
-    return " ".join(w for w, gone in zip(words, remove) if not gone)
+def unique_runs(words: list[str], covered: np.ndarray) -> str:
+    """A block without its covered stretches. A short stretch goes only with the whole block: it is the
+    end of a run that stands in the blocks around."""
+    gone = covered.copy()
+    if not covered.all():
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
+        for start, stop in edges.reshape(-1, 2):
+            if stop - start < RUN:
+                gone[start:stop] = False
+    return " ".join(w for w, out in zip(words, gone) if not out)
 
 
 def extract_group(found: list[list[tuple[str, bool]]], keys: list[str]) -> list[str]:
@@ -181,7 +189,7 @@ def extract_group(found: list[list[tuple[str, bool]]], keys: list[str]) -> list[
         for (_, article), block in zip(page, split):
             own = best[at:at + len(block)]
             at += len(block)
-            kept.append(_runs(block, own >= (often if article else LEAST_PAGES)))
+            kept.append(unique_runs(block, own >= (often if article else LEAST_PAGES)))
         texts.append("\n\n".join(t for t in kept if t))
     return texts
 

@@ -34,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from photarium.llm.common import WORD, settle, slices
 
@@ -192,7 +193,7 @@ def _confirmed(pairs: np.ndarray, counts: np.ndarray):
     return confirmed
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _shingles(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set((t or "").encode()).tobytes() for t in texts])
 

@@ -1,0 +1,70 @@
+import hashlib
+import random
+import re
+
+import pytest
+from llm_cases import documents, lower, with_clashes
+
+from photarium.llm import decontamination as dc
+
+
+def tokens(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def brute(text, items):
+    doc, hit, found = tokens(text), set(), set()
+    for name, item in items:
+        w = tokens(item)
+        n = min(10, len(w))
+        for window in {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if n else ():
+            for at in range(len(doc) - n + 1):
+                if tuple(doc[at:at + n]) == window:
+                    hit |= set(range(at, at + n))
+                    found.add(str(name))
+    names = ",".join(sorted(found))
+    return len(doc), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)
+
+
+def benchmark(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+def cases():
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("a b c d e f g h Ü x1".split()) for _ in range(n))
+    items = [(i, say(rng.choice([12, 15, 25, 40]))) for i in range(12)]
+    items += [(100, "short ÜBER item"), (101, "A"), (102, ""), (103, None), (7, items[7][1]), (9, say(30))]
+    texts = [say(60) for _ in range(10)]
+    for i in range(12):
+        w = items[i][1].split(" ")
+        texts.append(f"{say(5)} zz {' '.join(w[1:11])}! {say(3)}")  # one window
+        texts.append(f"zz {' '.join(w)}, and so. zz-{' '.join(w[:9])} zz")
+    return items, texts + ["it is a Short über  Item, yes", "b", "", None, "only nothing", items[3][1] * 3]
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 150])
+def test_against_brute_force(spark, block_bytes):
+    items, texts = cases()
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    found = dc.find(docs, benchmark(spark, items), block_bytes=block_bytes).collect()
+    for r in found:
+        n, hit, n_items, digest, _ = brute(texts[r["doc_id"]], items)
+        assert (r["n_words"], sum(s["length"] for s in r["spans"]), len(r["items"])) == (n, hit, n_items)
+        assert hashlib.sha256(",".join(r["items"]).encode()).hexdigest() == digest
+        ends = [s["start"] + s["length"] for s in r["spans"]]
+        assert all(e < s["start"] for e, s in zip(ends, r["spans"][1:]))
+    digests = {tuple(r)[0]: tuple(r)[1:] for r in dc.digest(docs, benchmark(spark, items)).collect()}
+    assert digests == {i: brute(t, items) for i, t in enumerate(texts)}
+    kept = {r["doc_id"] for r in dc.remove(docs, benchmark(spark, items)).collect()}
+    assert kept == {i for i, t in enumerate(texts) if not brute(t, items)[-1]}
+
+
+def test_odd_rows(spark):
+    docs = with_clashes(documents(spark), "spans", "items", "n_words", "extra")
+    items = benchmark(spark, [(1, "nothing like it at all in any of these texts, no"), (None, "no id at all here, only words")])
+    assert dc.find(docs, items).count() == docs.count()
+    assert dc.remove(docs, items).columns == docs.columns
+    assert dc.remove(docs, items).count() == docs.count() - 1
+    assert dc.digest(docs, benchmark(spark, [])).filter("contaminated").count() == 0
+    assert dc.digest(documents(spark, []), items).count() == 0

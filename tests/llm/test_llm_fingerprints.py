@@ -1,0 +1,115 @@
+import hashlib
+import math
+import random
+import re
+
+import xxhash
+from llm_cases import documents, with_clashes
+from pyspark.sql import functions as F
+
+from photarium.llm import fingerprints as fp
+
+MASK = (1 << 64) - 1
+
+
+def hashed(text, salt):
+    """Spark's xxhash64(text, salt) with an integer salt, unsigned."""
+    seed = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    # One 32-bit value hashed with the hash so far as its seed.
+    p1, p2, p3, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
+    h = (seed + p5 + 4) & MASK
+    h ^= (salt & 0xFFFFFFFF) * p1 & MASK
+    h = ((h << 23 | h >> 41) & MASK) * p2 + p3 & MASK
+    h = (h ^ h >> 33) * p2 & MASK
+    h = (h ^ h >> 29) * p3 & MASK
+    return h ^ h >> 32
+
+
+def brute(text):
+    text = text or ""
+    dense = [sum(hashed(line, i) for line in text.split("\n")) & ((1 << 62) - 1) for i in range(fp.DENSE)]
+    pieces = [p for p in re.split(r"(?<=[.!?])(?= )|(?<=\n)", text + "\n") if p.strip(" \t\r\n")]
+    counters = []
+    for h in range(fp.HASHES):
+        marks = [hashed(p, 100 + h) for p in pieces]
+        for i in range(fp.WORDS):
+            lanes = [sum(m >> (i + 21 * k) & 1 for m in marks) % (1 << 20) for k in range(3)]
+            counters.append(lanes[0] | lanes[1] << 21 | lanes[2] << 42)
+    return [*dense, len(pieces), *counters]
+
+
+TEXTS = ["", "One. Two! Three?\nFour.", "no end mark", "a\n\nb\n", "Ünï. 漢字! End\n", "Same. " * 50]
+
+
+def vectors(spark, texts):
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    return [r["fingerprint"] for r in fp.fingerprints(documents(spark, rows)).orderBy("doc_id").collect()]
+
+
+def test_against_brute_force(spark):
+    assert vectors(spark, TEXTS) == [brute(t) for t in TEXTS]
+
+
+def test_order_of_paragraphs_does_not_matter_but_their_number_does(spark):
+    a, b, c, d = vectors(spark, ["A b. C.\nD e\nF", "F\nA b. C.\nD e", "F\nA b. C.\nD e\nF", "A b.\nC. D e\nF"])
+    assert a == b and a != c and a != d
+
+
+def test_paragraphs_go_in_and_out(spark):
+    pair = [("Rest of it.\nMore.", "New one. Indeed.", "Rest of it.\nMore.\nNew one. Indeed.")]
+    df = spark.createDataFrame(pair, "a string, b string, whole string").select(
+        fp.vector("a").alias("a"), fp.vector("b").alias("b"), fp.vector("whole").alias("whole")
+    )
+    r = df.select("*", fp.combine(F.col("a"), F.col("b")).alias("up"), fp.combine(F.col("whole"), F.col("b"), -1).alias("down")).first()
+    assert r["up"] == r["whole"] and r["down"] == r["a"]
+
+
+def likeness(a, b):
+    def signed(v):
+        return [2 * (w >> s & 0xFFFFF) - v[fp.DENSE] for w in v[fp.DENSE + 1:] for s in (0, 21, 42)]
+
+    if a == b:
+        return 1.0
+    x, y = signed(a), signed(b)
+    size = math.sqrt(sum(i * i for i in x)) * math.sqrt(sum(i * i for i in y))
+    return min(1.0, max(0.0, sum(i * j for i, j in zip(x, y)) / size)) if size else 0.0
+
+
+def text_of(vector):
+    return "".join(f"{v:016x}" for v in vector)
+
+
+def test_edits_against_brute_force(spark):
+    rng = random.Random(1)
+    texts = {i * 3: " ".join(f"W{rng.randrange(99)} x{i}." for _ in range(rng.randrange(0, 30))) for i in range(40)}
+    texts[4] = None
+    got = {r["doc_id"]: r for r in fp.digest(documents(spark, [(i, t, "en", "a", 0) for i, t in texts.items()])).collect()}
+    order = sorted(texts, reverse=True)
+    assert set(got) == set(texts)
+    for at, i in enumerate(order):
+        own, after = texts[i] or "", texts[order[(at + 1) % len(order)]] or ""
+        k = len(own) // 3
+        edited = own[:len(own) - k] + after[:k]
+        r = got[i]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == text_of(brute(own)) and r["edited_fingerprint"] == text_of(brute(edited))
+        assert math.isclose(r["near_edited"], likeness(brute(own), brute(edited)), abs_tol=1e-9)
+        assert math.isclose(r["near_next"], likeness(brute(own), brute(after)), abs_tol=1e-9)
+    long = [r for i, r in got.items() if len(texts[i] or "") > 80]
+    assert sum(r["near_edited"] for r in long) > sum(r["near_next"] for r in long)
+
+
+def test_odd_rows(spark):
+    docs = with_clashes(documents(spark), "fingerprint", "extra")
+    got = fp.digest(docs).collect()
+    assert len(got) == docs.count() and all(None not in tuple(r)[1:] for r in got)
+    same = [r["fingerprint"] for r in got if r["doc_id"] in (8, 9)]
+    assert same[0] == same[1]
+    assert fp.digest(documents(spark, [])).count() == 0
+    one = fp.digest(documents(spark, [(1, "alone.", "en", "a", 0)])).first()
+    assert one["near_next"] == 1.0
+
+
+def test_plan_has_no_python(spark):
+    plan = fp.digest(documents(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
