@@ -15,7 +15,7 @@ def corpus(n, seed=1):
         bad = i % 6 == 0
         if bad:
             at = rng.randrange(len(sentences))
-            sentences[at] = f"You {rng.choice(['grumph', 'snarkel', 'grumphling'])} w1 w2."
+            sentences[at] = f"w{rng.randrange(300)} {rng.choice(['grumph', 'snarkel', 'grumphling'])} w{rng.randrange(300)}."
         texts.append(" ".join(sentences))
         toxic.append(int(bad))
     return texts, np.array(toxic)
