@@ -45,6 +45,10 @@ MATCHES = 36
 PREFIX = COORDINATES - MATCHES + 1
 # Members of a cell; longer posting lists are split.
 CELL = 2_048
+# Cells of up to so many members are compared together, so many pairs at a time.
+SMALL_CELL, PAIR_ROWS = 32, 200_000
+# What tells cells apart: the pair of coordinate and value, and the two blocks.
+KEYS = ["pair", "a", "b"]
 # A pair of coordinate and value is frequent from this many classes, and from this share of them.
 FREQUENT_ROWS, FREQUENT_SHARE = 32, 1 / 2_000
 
@@ -128,40 +132,75 @@ def _postings(pairs: np.ndarray, counts: np.ndarray):
     return post
 
 
-class Cell:
-    """Members of one posting list, or of two blocks of it, with what is needed to count collisions."""
+class Cells:
+    """Whole cells, one after the other: members of posting lists, or of two blocks of one, with their signatures."""
 
-    def __init__(self, pdf: pd.DataFrame, pairs: np.ndarray, counts: np.ndarray):
-        own = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(-1, COORDINATES)
+    def __init__(self, table: pa.Table, pairs: np.ndarray, counts: np.ndarray):
+        keys = [table.column(k).to_numpy() for k in KEYS]
+        own = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
         order = _order(own, pairs, counts)
-        here = order[0, int(pdf["pair"].iloc[0]) >> 32]
-        self.columns = np.ascontiguousarray(own.T)
-        self.earlier = order < here
-        self.sides = pdf["side"].to_numpy()
-        self.split = int(pdf["a"].iloc[0]) != int(pdf["b"].iloc[0])
-
-    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Later members that agree often enough with member i and have no common pair before this one; how often."""
-        rest = slice(i + 1, None)
-        same = self.columns[:, rest] == self.columns[:, i][:, None]
-        agree = same.sum(0)
-        fits = (agree >= MATCHES) & ~same[self.earlier[i]].any(0)
-        if self.split:  # pairs within one of the two blocks have a cell of their own
-            fits &= self.sides[rest] != self.sides[i]
-        found = np.flatnonzero(fits)
-        return found + i + 1, agree[found]
+        self.own, self.sides, self.split = own, table.column("side").to_numpy(), keys[1] != keys[2]
+        # Which of a member's pairs come before the one that its cell is the list of.
+        self.earlier = order < np.take_along_axis(order, (keys[0] >> 32)[:, None], 1)
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        self.starts = np.concatenate(([0], change, [len(own)]))
+
+    def _agree(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows in one cell: which belong there and agree often enough, and how often."""
+        same = self.own[i] == self.own[j]
+        agree = same.sum(1)
+        fits = (agree >= MATCHES) & ~(same & self.earlier[i]).any(1)
+        # Pairs within one of two blocks have a cell of their own.
+        return fits & ~(self.split[i] & (self.sides[i] == self.sides[j])), agree
+
+    def partners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of rows that are to be confirmed: earlier row, later row, how often they agree."""
+        sizes = np.repeat(np.diff(self.starts), np.diff(self.starts))
+        left = np.repeat(self.starts[1:], np.diff(self.starts)) - np.arange(len(self.own)) - 1
+        found = []
+        small = np.flatnonzero(sizes <= SMALL_CELL)
+        for step in range(1, SMALL_CELL):  # rows that many places apart, of all small cells at once
+            i = small[left[small] >= step]
+            for part in np.array_split(i, len(i) // PAIR_ROWS + 1):
+                fits, agree = self._agree(part, part + step)
+                found.append((part[fits], part[fits] + step, agree[fits]))
+        for i in np.flatnonzero((sizes > SMALL_CELL) & (left > 0)):
+            j = np.arange(i + 1, i + 1 + left[i])
+            fits, agree = self._agree(np.full(len(j), i), j)
+            found.append((np.full(fits.sum(), i), j[fits], agree[fits]))
+        return tuple(np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole cells from batches sorted by cell; the last cell waits for its end."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy() for k in KEYS]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        last = waiting[-1] if waiting else None
+        follows = last is not None and all(last.column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in KEYS)
+        if follows and not len(change):
+            waiting.append(batch)
+            continue
+        end = int(change[-1]) if len(change) else 0
+        done = [*waiting, *([batch.slice(0, end)] if end else [])]
+        if done:
+            yield pa.Table.from_batches(done)
+        waiting = [batch.slice(end)]
+    if waiting:
+        yield pa.Table.from_batches(waiting)
 
 
 def _candidates(pairs: np.ndarray, counts: np.ndarray):
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Members of a cell with a partner that has to be confirmed there."""
-        cell, used = Cell(pdf, pairs, counts), np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            found, _ = cell.partners(i)
-            if len(found):
-                used[i] = True
-                used[found] = True
-        return pdf.loc[used, ["pair", "a", "b", "side", "class", "signature"]]
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of cells with a partner that has to be confirmed there."""
+        for table in whole_cells(batches):
+            used = np.zeros(table.num_rows, dtype=bool)
+            for rows in Cells(table, pairs, counts).partners()[:2]:
+                used[rows] = True
+            yield from table.filter(pa.array(used)).to_batches()
 
     return candidates
 
@@ -175,20 +214,25 @@ def jaccard_linked(x: np.ndarray, y: np.ndarray, percent: int = LEAST_PERCENT) -
 
 
 def _confirmed(pairs: np.ndarray, counts: np.ndarray):
-    def confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of a cell, confirmed on the full sets: a forest that connects what the links connect."""
-        cell, names = Cell(pdf, pairs, counts), pdf["class"].to_numpy()
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
-        group = np.arange(len(pdf))
-        left, right = [], []
-        for i in range(len(pdf)):
-            found, agree = cell.partners(i)
-            for j in found[np.argsort(-agree, kind="stable")]:  # the likeliest first
-                if group[i] != group[j] and jaccard_linked(sets[i], sets[j]):
-                    group[group == group[j]] = group[i]
-                    left.append(names[i])
-                    right.append(names[j])
-        return pd.DataFrame({"x": left, "y": right})
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of cells, confirmed on the full sets: forests that connect what the links connect."""
+        for table in whole_cells(batches):
+            left, right, agree = Cells(table, pairs, counts).partners()
+            names, sets = table.column("class").to_pylist(), table.column("shingles")
+            group, chosen = list(range(table.num_rows)), []
+
+            def find(i: int, group=group) -> int:
+                while group[i] != i:
+                    group[i] = i = group[group[i]]
+                return i
+
+            for at in np.argsort(-agree, kind="stable"):  # the likeliest first; a pair of rows is in one cell
+                i, j = int(left[at]), int(right[at])
+                a, b = find(i), find(j)
+                if a != b and jaccard_linked(*(np.frombuffer(sets[k].as_buffer(), dtype=np.uint64) for k in (i, j))):
+                    group[b] = a
+                    chosen.append((names[i], names[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in chosen], pa.binary()) for k in (0, 1)], names=["x", "y"])
 
     return confirmed
 
@@ -198,6 +242,11 @@ def _shingles(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set((t or "").encode()).tobytes() for t in texts])
 
 
+def by_cell(rows: DataFrame) -> DataFrame:
+    """Rows dealt out and sorted so that cells are whole and follow each other."""
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (x, y) between classes: in every group of linked classes enough to connect it."""
     signed = classes.select("class", "signature")
@@ -219,8 +268,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     cells = shared.withColumn("side", block).select("pair", "class", "signature", "side", F.explode(others).alias("_c")).select(
         "pair", F.col("_c.a").alias("a"), F.col("_c.b").alias("b"), "side", "class", "signature"
     )
-    kind = "pair long, a int, b int, side int, class binary, signature binary"
-    likely = settle(cells.groupBy("pair", "a", "b").applyInPandas(_candidates(pairs, counts), kind), "dedup-likely")
+    likely = settle(by_cell(cells).mapInArrow(_candidates(pairs, counts), cells.schema), "dedup-likely")
 
     # Full sets of the classes that have a likely partner, from the text of one of their rows.
     wanted = likely.select("class").distinct().join(classes.select("class", "_id", "_key"), "class")
@@ -228,9 +276,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         wanted, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
     )
     full = settle(own.dropDuplicates(["_d", "_k"]).select("class", _shingles("text").alias("shingles")), "dedup-sets")
-    return likely.join(full, "class").groupBy("pair", "a", "b").applyInPandas(
-        _confirmed(pairs, counts), "x binary, y binary"
-    ).distinct()
+    filled = by_cell(likely.join(full, "class").select(*likely.columns, "shingles"))
+    return filled.mapInArrow(_confirmed(pairs, counts), "x binary, y binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
