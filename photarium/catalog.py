@@ -20,7 +20,7 @@ from photarium.operators import hashing, latest, metadata, observe, reports, wor
 from photarium.operators.algorithms import algorithm
 from photarium.operators.numbering import largest
 from photarium.plans import runs, scans
-from photarium.session import configure, settle
+from photarium.session import configure, releasing, scratch_path, settle
 from photarium.settings import ScanSettings
 from photarium.sources import inventory, media
 from photarium.sources.tables import append_table, read_table
@@ -201,11 +201,13 @@ class Catalog:
         read one stored listing, so files that change meanwhile cannot disagree.
         """
         roots = inventory.reachable_roots(self.spark, inventory.expand_roots(self.settings.roots))
-        listing = settle(list_files(self.spark, roots), "listing")
-        output = scans.library_scan(listing, roots, self.master, self.stats, F.current_timestamp(), self.settings)
-        self._append(output.new_master, "file_master")
-        self._append(output.new_stats, "file_stats")
-        return output.totals
+        with releasing(self.spark):
+            listing = settle(list_files(self.spark, roots), "listing")
+            output = scans.library_scan(listing, roots, self.master, self.stats, F.current_timestamp(), self.settings)
+            self._append(output.new_master, "file_master")
+            self._append(output.new_stats, "file_stats")
+            totals = output.totals.collect()  # one row
+        return self.spark.createDataFrame(totals, output.totals.schema)
 
     def changes(self, list_files=inventory.walk) -> DataFrame:
         """State of every path now against the latest observations, without recording it."""
@@ -222,31 +224,43 @@ class Catalog:
         )
         self._append(rows, "file_metadata")
 
-    def scan_hashes(self, hash_name: str, refresh_stale: bool = False) -> DataFrame:
+    def scan_hashes(self, hash_name: str, refresh_stale: bool = False, retry: bool = False) -> DataFrame:
         """Compute one hash for the files due for it; returns the failures.
 
+        Files that could not be decoded are left out until they change, or with ``retry``.
         Results are stored before they are appended, so looking at the failures hashes
         nothing again.
         """
-        work = scans.hash_work(self.master, self.stats, self.hashes, hash_name, refresh_stale)
-        return self.record_hashes(settle(self._compute(work, hash_name), "hashed"))
+        target = scratch_path(self.spark, "hashed")
+        with releasing(self.spark):
+            due = scans.hash_work(self.master, self.stats, self.hashes, hash_name, refresh_stale)
+            if not retry:
+                due = worklist.without_failures(due, self.table("hash_failures"), hash_name)
+            work = settle(due, "hash-work")
+            results = settle(self._compute(work, hash_name), "hashed", target)
+            undecodable = results.filter(F.col("error_code") == errors.HASH_DECODE_FAILED).select(
+                F.col("file_id").alias("id"), "hash_name"
+            )
+            self._append(undecodable.join(work, "id").select(
+                F.col("id").alias("file_id"), "hash_name", "size_bytes", "mtime_secs", F.current_timestamp().alias("failed_at")
+            ), "hash_failures")
+        return self.record_hashes(results)
 
     def _compute(self, work: DataFrame, hash_name: str) -> DataFrame:
         method = algorithm(hash_name)
+        if method.needs != "grid" and method.hasher is None:
+            raise ValueError(f"{hash_name} has no hasher for contents of files")
         if method.needs == "bytes":
-            return media.digest_files(media.spread_by_size(work)).select(
-                F.col("id").alias("file_id"), F.lit(hash_name).alias("hash_name"),
-                F.col("digest").alias("hash_value"), "error_code", "error_message",
-            )
-        roots = inventory.reachable_roots(self.spark, inventory.expand_roots(self.settings.roots))
-        images = media.read_images(self.spark, *roots, modified_since=media.oldest_mtime(work))
-        needed = work.select(F.col("id").alias("file_id"), "path").join(images, "path", "left")
-        if method.needs == "pixels":
-            content = media.rgba_bytes("image")
+            found = media.digest_files(media.spread_by_size(work), method.hasher).withColumnRenamed("digest", "hash_value")
         else:
-            content = media.brightness_grid(*method.grid)("image")
-        contents = needed.select("file_id", content.alias("content"), "error_code", "error_message")
-        return hashing.compute(contents, hash_name)
+            if method.needs == "pixels":
+                content, compute = media.pixel_digest(method.hasher)("image"), lambda digest: digest
+            else:
+                content, compute = media.brightness_grid(*method.grid)("image"), method.compute
+            found = media.image_hashes(work, scratch_path(self.spark, "images"), content, compute)
+        return found.select(
+            F.col("id").alias("file_id"), F.lit(hash_name).alias("hash_name"), "hash_value", "error_code", "error_message"
+        )
 
     # --- reports -----------------------------------------------------------------------
 

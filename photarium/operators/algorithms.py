@@ -7,11 +7,12 @@ is ever used, so any collision-free digest gives the same groups.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column
 
 from photarium.functions.errors import UnknownAlgorithm
 from photarium.operators import fingerprints
@@ -23,6 +24,8 @@ class Algorithm:
 
     ``compute`` turns the input column into a string column: bytes for ``needs='bytes'``,
     RGBA pixel bytes for 'pixels', a brightness grid of ``grid`` cells for 'grid'.
+    ``hasher`` makes an object with ``update(bytes)`` and ``hexdigest()`` that gives the same
+    value from contents in chunks; files are hashed with it, so 'bytes' and 'pixels' need one.
     """
 
     name: str
@@ -30,6 +33,7 @@ class Algorithm:
     compute: Callable[[Column], Column]
     file_type: str | None = None
     grid: tuple[int, int] | None = None
+    hasher: Callable[[], Any] | None = None
     lists_duplicates: bool = False
 
 
@@ -48,17 +52,9 @@ def algorithm(name: str) -> Algorithm:
     return ALGORITHMS[name]
 
 
-def algorithm_table(spark: SparkSession) -> DataFrame:
-    """(hash_name, scope): one row per registered algorithm, small enough to broadcast."""
-    rows = [
-        F.struct(F.lit(a.name).alias("hash_name"), F.lit(a.file_type).cast("string").alias("scope"))
-        for a in ALGORITHMS.values()
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
-
-
-register(Algorithm("blake3", "bytes", fingerprints.digest, lists_duplicates=True))
-register(Algorithm("content_blake3", "pixels", fingerprints.digest, "image", lists_duplicates=True))
+register(Algorithm("blake3", "bytes", fingerprints.digest, hasher=hashlib.sha256, lists_duplicates=True))
+register(Algorithm(
+    "content_blake3", "pixels", fingerprints.digest, "image", hasher=hashlib.sha256, lists_duplicates=True))
 register(Algorithm(
     "phash", "grid", lambda g: fingerprints.mean_hash(g, 8, 8).cast("string"), "image", (8, 8)))
 register(Algorithm(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photarium.functions import errors
-from photarium.operators.algorithms import algorithm, algorithm_table
+from photarium.operators.algorithms import ALGORITHMS, algorithm
 from photarium.operators.latest import latest_stat_ids
 
 
@@ -39,23 +39,18 @@ def compute(contents: DataFrame, hash_name: str, source: str = "content") -> Dat
 
 def check_names(results: DataFrame) -> DataFrame:
     """Give rows with an unregistered hash name an error; keep all others as they are."""
-    known = algorithm_table(results.sparkSession).select("hash_name", F.lit(True).alias("_known"))
     if "error_code" not in results.columns:
         results = results.withColumns({
             "error_code": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string"),
         })
-    unknown = F.col("_known").isNull()
+    unknown = ~F.coalesce(F.col("hash_name").isin(list(ALGORITHMS)), F.lit(False))
     message = errors.error_text(
         F.lit(errors.HASH_UNKNOWN_ALGORITHM), F.lit("algorithm"), F.col("hash_name"), F.lit(None)
     )
-    return (
-        results.join(F.broadcast(known), "hash_name", "left")
-        .withColumns({
-            "error_code": F.when(unknown, errors.HASH_UNKNOWN_ALGORITHM).otherwise(F.col("error_code")),
-            "error_message": F.when(unknown, message).otherwise(F.col("error_message")),
-        })
-        .drop("_known")
-    )
+    return results.withColumns({
+        "error_code": F.when(unknown, errors.HASH_UNKNOWN_ALGORITHM).otherwise(F.col("error_code")),
+        "error_message": F.when(unknown, message).otherwise(F.col("error_message")),
+    })
 
 
 def stamp(results: DataFrame, stats: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ def needing_hash(
     return present.join(hashed, "id", "left_anti").select(*WORK)
 
 
+def without_failures(work: DataFrame, failures: DataFrame, hash_name: str) -> DataFrame:
+    """Work-list without the files that could not be decoded in the very version they are in."""
+    known = failures.filter(F.col("hash_name") == hash_name).select(
+        F.col("file_id").alias("id"), "size_bytes", "mtime_secs"
+    ).distinct()
+    return work.join(known, ["id", "size_bytes", "mtime_secs"], "left_anti").select(*WORK)
+
+
 def smallest_first(work: DataFrame) -> DataFrame:
     """Work-list in processing order, for reports; scans spread work by size instead."""
     return work.orderBy("size_bytes", "id")

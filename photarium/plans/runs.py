@@ -25,6 +25,8 @@ def run_event(spark: SparkSession, run_id: int, event: str, **values) -> DataFra
 def run_status(events: DataFrame) -> DataFrame:
     """One row per run: how it started, its newest progress, how it ended.
 
+    Events of a run that was never started change nothing.
+
     A plain aggregation with partial results per task, so a run with very many progress
     events is reduced before the shuffle. Of progress events with equal times the one
     that got further counts.
@@ -38,7 +40,7 @@ def run_status(events: DataFrame) -> DataFrame:
     folded = events.groupBy("run_id").agg(
         start.alias("start"), newest_progress.alias("progress"), newest_end.alias("end")
     )
-    return folded.select(
+    return folded.filter(F.col("start").isNotNull()).select(
         F.col("run_id").alias("id"),
         "start.scan_level", "start.hash_type", "start.root_dir",
         F.col("start.event_time").alias("started_at"),
@@ -53,7 +55,7 @@ def run_status(events: DataFrame) -> DataFrame:
 def progress_snapshots(events: DataFrame) -> DataFrame:
     """Every progress event with its run's stage, the percentage done and the time taken.
 
-    ``elapsed_secs`` counts from the start of the run and is NULL where no start is logged.
+    ``elapsed_secs`` counts from the start of the run.
     A run with very many events is spread over tasks.
     """
     starts = run_status(events).select(F.col("id").alias("run_id"), "scan_level", "hash_type", "started_at")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from photarium.functions import exif, paths
 from photarium.session import configure
-from photarium.sources.tables import read_table, spread
+from photarium.sources.tables import read_table
 
 # Endings of the invented file names, by the last digit of the file's number.
 SUFFIXES = [".JPG", ".png", ".mp4", ".txt", "", ".tar.gz", ".HEIC", ".mkv", ".", ""]
@@ -158,13 +158,22 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
 
 
+def full_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, low-quality ones one byte longer, and all pages, under three roots."""
+    quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return _listed(spark, sf_dir, table(spark, sf_dir, "documents").join(quality, "doc_id", "left"))
+
+
 def second_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second scan: labelled documents, low-quality ones one byte longer, and pages.
 
     The third root lies inside the first, so its files are listed twice.
     """
-    kept = labelled(spark, sf_dir)
-    size = F.octet_length("text") + F.lit(1) - F.col("quality")
+    return _listed(spark, sf_dir, labelled(spark, sf_dir))
+
+
+def _listed(spark: SparkSession, sf_dir: str, kept: DataFrame) -> DataFrame:
+    size = F.octet_length("text") + F.lit(1) - F.coalesce("quality", F.lit(1))
     pages = table(spark, sf_dir, "pages")
     inner = kept.filter(F.col("source") == "src1")
     return (
@@ -235,33 +244,38 @@ def _gray(value: Column) -> Column:
     return F.least(F.greatest(F.floor(value.cast("double") * 256) + 128, F.lit(0)), F.lit(255))
 
 
-def _image(pixels: Column) -> Column:
-    """Decoded-image struct of one 8 x 8 gray picture."""
-    as_hex = F.array_join(F.transform(pixels, lambda p: F.lpad(F.hex(p), 2, "0")), "")
+def _image(pixels: Column, across: int = 1, down: int = 1) -> Column:
+    """Decoded-image struct of one 8 x 8 gray picture, each pixel repeated ``across`` and ``down``."""
+    as_hex = F.transform(pixels, lambda p: F.repeat(F.lpad(F.hex(p), 2, "0"), F.lit(across)))
+    rows = F.transform(
+        F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.slice(as_hex, y * 8 + 1, 8), ""), F.lit(down))
+    )
     return F.struct(
-        F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(as_hex).alias("data")
+        F.lit(8 * down).alias("height"), F.lit(8 * across).alias("width"), F.lit(1).alias("nChannels"),
+        F.unhex(F.array_join(rows, "")).alias("data"),
     )
 
 
-def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pictures(spark: SparkSession, sf_dir: str, across: int = 1, down: int = 1) -> DataFrame:
     """(file_id, size_bytes, image): every embedding as a picture, exported label + 1 times.
 
-    Exports share the pixels and differ in file size, as re-saved pictures do.
+    Exports share the pixels and differ in file size, as re-saved pictures do. A picture is
+    8 * ``across`` wide and 8 * ``down`` high.
     """
-    copies = spread(table(spark, sf_dir, "embeddings")).select(
+    copies = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", _gray).alias("pixels"),
         F.explode(F.sequence(F.lit(0), "label")).alias("copy"),
     )
     return copies.select(
         (F.col("vec_id") * 100 + F.col("copy")).alias("file_id"),
         (F.lit(1000) + F.col("vec_id") + F.col("copy")).cast("long").alias("size_bytes"),
-        _image(F.col("pixels")).alias("image"),
+        _image(F.col("pixels"), across, down).alias("image"),
     )
 
 
 def edited_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Like ``pictures``, but copy c has its first 2c pixels inverted."""
-    copies = spread(table(spark, sf_dir, "embeddings")).select(
+    copies = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", _gray).alias("pixels"),
         F.explode(F.sequence(F.lit(0), "label")).alias("copy"),
     )
@@ -319,9 +333,9 @@ def typed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag(0, "UserComment", "undefined", raw=F.repeat("p_type", 10)),
         tag(0, "Gamma", "float", display=F.col("p_name")),
     )
-    return spread(table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         key.alias("file_id"), tags.cast(f"array<{exif.TAG_SCHEMA}>").alias("tags")
-    ))
+    )
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +368,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"format":{'), duration, F.lit('"bit_rate":'), bit_rate, F.lit(',"format_name":"mov,mp4"'), tags,
         F.lit('},"streams":'), streams, F.when((status == "P") & (digit == 1), "").otherwise("}"),
     )
-    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("file_id"), document.alias("probe_json"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), document.alias("probe_json"))
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,18 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                ts AS extracted_at
         FROM events"""),
     "kept": ([], "SELECT documents.*, quality, toxic FROM documents JOIN labels USING (doc_id)"),
+    "every_document": ([], "SELECT documents.*, coalesce(quality, 1) AS quality FROM documents LEFT JOIN labels USING (doc_id)"),
+    "full_listing": (["every_document"], f"""
+        SELECT '/lib' AS root_dir, 0 AS root_order, {_DOC_PATH} AS path,
+               CAST(strlen(text) + 1 - quality AS BIGINT) AS size_bytes, {_VERSION.format(n='doc_id')} FROM every_document
+        UNION ALL
+        SELECT '/web', 1, {_PAGE_PATH}, CAST(strlen(html) AS BIGINT), {_VERSION.format(n='page_id')} FROM pages
+        UNION ALL
+        SELECT '/lib/src1', 2, {_DOC_PATH}, CAST(strlen(text) + 1 - quality AS BIGINT), {_VERSION.format(n='doc_id')}
+        FROM every_document WHERE source = 'src1'"""),
+    "full_described": (["full_listing"], f"""
+        SELECT *, regexp_extract(path, '[^/]*$') AS filename, {_extension('path')} AS extension,
+               {_type(_extension('path'))} AS file_type FROM full_listing"""),
     "listing": (["kept"], f"""
         SELECT '/lib' AS root_dir, 0 AS root_order, {_DOC_PATH} AS path,
                CAST(strlen(text) + 1 - quality AS BIGINT) AS size_bytes, {_VERSION.format(n='doc_id')} FROM kept
@@ -238,7 +250,7 @@ _DISPATCHED = """(SELECT t.*, f.is_missing FROM part_tags t JOIN lib_files f ON
 
 
 ORACLES: dict[str, str] = {
-    "inventory_scan": sql("SELECT * FROM listing", "listing"),
+    "inventory_scan": sql("SELECT * FROM full_listing", "full_listing"),
     "path_parts": f"""
         SELECT path, regexp_extract(path, '[^/]*$') AS filename, {_extension('path')} AS extension,
                'D:' || path AS from_windows, '/home/me' || path AS from_home
@@ -247,7 +259,7 @@ ORACLES: dict[str, str] = {
         SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE epoch_us(ts) // 1000000 END AS mtime_secs,
                CAST(CASE WHEN event_type = 'error' THEN 0 ELSE epoch_us(ts) % 1000000 * 1000 END AS INTEGER) AS mtime_nanos
         FROM events""",
-    "classify_files": sql("SELECT root_dir, path, extension, file_type FROM described", "described"),
+    "classify_files": sql("SELECT root_dir, path, extension, file_type FROM full_described", "full_described"),
     "scan_stats": sql("""
         SELECT count(*) AS total_files, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
                count(*) FILTER (WHERE file_type = 'image') AS image_count,
@@ -256,7 +268,7 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(sum(size_bytes) FILTER (WHERE file_type = 'video'), 0) AS BIGINT) AS video_size_bytes,
                count(*) FILTER (WHERE file_type = 'other') AS other_count,
                CAST(coalesce(sum(size_bytes) FILTER (WHERE file_type = 'other'), 0) AS BIGINT) AS other_size_bytes
-        FROM described""", "described"),
+        FROM full_described""", "full_described"),
     "library_stats": sql("""
         SELECT count(*) AS total_files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_size_bytes,
                round(coalesce(sum(size_bytes), 0)::DOUBLE / 1073741824.0::DOUBLE, 2) AS total_size_gib,
@@ -283,7 +295,10 @@ ORACLES: dict[str, str] = {
     "append_observations": sql(f"""
         SELECT (SELECT max(stat_id) FROM tree_stats) + row_number() OVER (ORDER BY root_order, d.path) AS stat_id,
                m.id AS file_id, {_CARRIED}, false AS is_missing, TIMESTAMP '2024-02-01' AS observed_at
-        FROM described d JOIN tree_master m ON m.path = d.path""", "described", "tree_master", "tree_stats"),
+        FROM full_described d JOIN (SELECT * FROM tree_master UNION ALL
+          SELECT (SELECT max(id) FROM tree_master) + row_number() OVER (ORDER BY path), path
+          FROM (SELECT path FROM full_listing EXCEPT SELECT path FROM tree_master)) m ON m.path = d.path""",
+        "full_described", "full_listing", "tree_master", "tree_stats"),
     "missing_paths": sql("SELECT root_dir, path FROM gone", "gone"),
     "mark_missing": sql(f"""
         SELECT (SELECT max(stat_id) FROM tree_stats) + row_number() OVER (ORDER BY path) AS stat_id, id AS file_id,
@@ -374,13 +389,15 @@ ORACLES: dict[str, str] = {
         FROM pictures""", "pictures"),
     "dhash_gradient": sql(f"""
         SELECT file_id,
-               {_bits('CASE WHEN p[i // 7 * 8 + i % 7 + 1] < p[i // 7 * 8 + i % 7 + 2] THEN 1 ELSE 0 END', 56)} AS fingerprint
-        FROM pictures""", "pictures"),
+               {_bits('CASE WHEN g[i // 8 * 9 + i % 8 + 1] < g[i // 8 * 9 + i % 8 + 2] THEN 1 ELSE 0 END', 64)} AS fingerprint
+        FROM (SELECT file_id, list_transform(range(72), lambda c: list_sum(list_transform(range(8),
+                lambda k: p[c // 9 * 8 + (c % 9 * 8 + k) // 9 + 1]))) AS g FROM pictures)""", "pictures"),
     "whash_double_gradient": sql(f"""
         SELECT file_id,
-               {_bits('''CASE WHEN i < 12 THEN CASE WHEN g[i // 3 * 4 + i % 3 + 1] < g[i // 3 * 4 + i % 3 + 2] THEN 1 ELSE 0 END
-                         ELSE CASE WHEN g[i - 12 + 1] < g[i - 12 + 5] THEN 1 ELSE 0 END END''', 24)} AS fingerprint
-        FROM grid4""", "grid4"),
+               {_bits('''CASE WHEN i < 20 THEN CASE WHEN g[i // 4 * 5 + i % 4 + 1] < g[i // 4 * 5 + i % 4 + 2] THEN 1 ELSE 0 END
+                         ELSE CASE WHEN g[i - 20 + 1] < g[i - 20 + 6] THEN 1 ELSE 0 END END''', 40)} AS fingerprint
+        FROM (SELECT file_id, list_transform(range(25), lambda c: list_sum(list_transform(range(64),
+                lambda k: p[(c // 5 * 8 + k // 8) // 5 * 8 + (c % 5 * 8 + k % 8) // 5 + 1]))) AS g FROM pictures)""", "pictures"),
     "hamming_pairs": sql("""
         SELECT left_id, right_id, distance,
                CASE WHEN distance = 0 THEN 'identical' WHEN distance < 10 THEN 'likely_same' ELSE 'different' END AS verdict
@@ -397,7 +414,7 @@ ORACLES: dict[str, str] = {
                coalesce(arg_max(files_processed, event_time) FILTER (WHERE event = 'progress'), 0) AS files_processed,
                (max(struct_pack(t := event_time, n := files_total)) FILTER (WHERE event = 'progress')).n AS files_total,
                (max(struct_pack(t := event_time, m := error_message)) FILTER (WHERE event = 'completed')).m AS error_message
-        FROM run_log GROUP BY run_id""", "run_log"),
+        FROM run_log GROUP BY run_id HAVING count(*) FILTER (WHERE event = 'started') > 0""", "run_log"),
     "scan_progress": sql("""
         SELECT p.run_id, CASE s.scan_level WHEN 1 THEN 'stats' WHEN 2 THEN 'metadata' WHEN 3 THEN 'hash' END AS stage,
                s.hash_type, p.event_time, p.files_processed, p.files_total,
@@ -405,9 +422,10 @@ ORACLES: dict[str, str] = {
                          WHEN p.files_total IS NOT NULL THEN 0 END AS INTEGER) AS percent,
                (epoch_us(p.event_time) - epoch_us(s.event_time))::DOUBLE / 1e6::DOUBLE AS elapsed_secs
         FROM run_log p
-        LEFT JOIN (SELECT * FROM run_log WHERE event = 'started'
+        JOIN (SELECT * FROM run_log WHERE event = 'started'
                    QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_time) = 1) s ON s.run_id = p.run_id
         WHERE p.event = 'progress'""", "run_log"),
     "stream_latest_state": sql("SELECT * FROM lib_latest", "lib_latest"),
-    "stream_first_hash": sql("SELECT DISTINCT file_id, hash_name FROM lib_hashes", "lib_hashes"),
+    "stream_first_hash": sql(
+        _newest("lib_hashes", "file_id, hash_name", "computed_at, stat_id"), "lib_hashes"),
 }

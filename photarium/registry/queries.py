@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.functions import bits, paths
+from photarium.operators.algorithms import algorithm
 from photarium.operators import fingerprints, hashing, latest, metadata, observe, reports, similarity, worklist
 from photarium.plans import runs, scans
 from photarium.registry import adapters as a
@@ -37,8 +38,8 @@ def _tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inventory_scan(spark, sf_dir):
-    """The second scan's listing: every file under each of its roots."""
-    return a.second_listing(spark, sf_dir)
+    """A full listing: every file under each of its roots."""
+    return a.full_listing(spark, sf_dir)
 
 
 @query
@@ -70,7 +71,7 @@ def mtime_split(spark, sf_dir):
 @query
 def classify_files(spark, sf_dir):
     """File type of every listed file."""
-    return observe.describe(a.second_listing(spark, sf_dir)).select("root_dir", "path", "extension", "file_type")
+    return observe.describe(a.full_listing(spark, sf_dir)).select("root_dir", "path", "extension", "file_type")
 
 
 # --- statistics ------------------------------------------------------------------------
@@ -79,7 +80,7 @@ def classify_files(spark, sf_dir):
 @query
 def scan_stats(spark, sf_dir):
     """Totals of one scan by type."""
-    return reports.scan_stats(observe.describe(a.second_listing(spark, sf_dir)))
+    return reports.scan_stats(observe.describe(a.full_listing(spark, sf_dir)))
 
 
 @query
@@ -158,10 +159,10 @@ def assign_file_ids(spark, sf_dir):
 
 @query
 def append_observations(spark, sf_dir):
-    """Observation rows of a scan whose paths are all known."""
-    listing = a.second_listing(spark, sf_dir)
-    known = a.tree_master(spark, sf_dir)
-    described = observe.describe(listing.join(known.select("path"), "path", "left_semi"))
+    """Observation rows of a full scan, whose new paths have got their identities."""
+    described = observe.describe(a.full_listing(spark, sf_dir))
+    master = a.tree_master(spark, sf_dir)
+    known = master.unionByName(observe.new_files(described, master).select(*master.columns))
     return observe.observations(described, known, a.tree_stats(spark, sf_dir), a.at(a.SECOND_SCAN))
 
 
@@ -261,7 +262,8 @@ def hash_scan_blake3(spark, sf_dir):
     """Hash rows a full-digest scan appends: work-list, contents, digests, stamp."""
     master, stats = a.tree_master(spark, sf_dir), a.tree_stats(spark, sf_dir)
     work = scans.hash_work(master, stats, a.tree_hashes(spark, sf_dir), "blake3").select(F.col("id").alias("file_id"))
-    results = hashing.compute(a.tree_contents(spark, sf_dir).join(work, "file_id"), "blake3")
+    # Digests next to the scan; only they meet the work-list.
+    results = hashing.compute(a.tree_contents(spark, sf_dir), "blake3").join(work, "file_id")
     return scans.hash_scan(results, stats, a.at(a.SECOND_SCAN)).new_hashes
 
 
@@ -404,18 +406,25 @@ def phash_mean(spark, sf_dir):
     return _grids(spark, sf_dir, 8, 8).select("file_id", value.alias("fingerprint"))
 
 
+def _prints(spark: SparkSession, sf_dir: str, hash_name: str, across: int, down: int) -> DataFrame:
+    """An algorithm with its own grid, on pictures whose sides its cells divide evenly."""
+    method = algorithm(hash_name)
+    grid = media.brightness_grid(*method.grid)("image")
+    return a.pictures(spark, sf_dir, across, down).select("file_id", grid.alias("grid")).select(
+        "file_id", method.compute(F.col("grid")).cast("bigint").alias("fingerprint")
+    )
+
+
 @query
 def dhash_gradient(spark, sf_dir):
     """Gradient hash of every picture."""
-    value = fingerprints.gradient_hash(F.col("grid"), 8, 8)
-    return _grids(spark, sf_dir, 8, 8).select("file_id", value.alias("fingerprint"))
+    return _prints(spark, sf_dir, "dhash", 9, 8)
 
 
 @query
 def whash_double_gradient(spark, sf_dir):
     """Double gradient hash of every picture."""
-    value = fingerprints.double_gradient_hash(F.col("grid"), 4, 4)
-    return _grids(spark, sf_dir, 4, 4).select("file_id", value.alias("fingerprint"))
+    return _prints(spark, sf_dir, "whash", 5, 5)
 
 
 def _edit_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -463,8 +472,9 @@ def scan_progress(spark, sf_dir):
 
 
 def _order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A pattern, as the table may be one file or a folder of them.
     schema = a.table(spark, sf_dir, "orders").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
 
 
 @query
@@ -478,8 +488,8 @@ def stream_latest_state(spark, sf_dir):
 
 @query
 def stream_first_hash(spark, sf_dir):
-    """First hash rows from a stream over the hash log; only keys, as which row comes first varies."""
+    """Earliest hash row of each file and algorithm, kept by a stream over the hash log."""
     target = scratch_path(spark, "first")
-    stream = a.hashes_of(_order_stream(spark, sf_dir)).withColumn("computed_at", F.col("computed_at").cast("timestamp"))
-    first_hash.record_first_hashes(stream, "3650 days", target, f"{target}-progress").awaitTermination()
-    return spark.read.parquet(target).select("file_id", "hash_name")
+    stream = a.hashes_of(_order_stream(spark, sf_dir))
+    first_hash.maintain_first(stream, target, f"{target}-progress").awaitTermination()
+    return first_hash.read_first(spark, target)

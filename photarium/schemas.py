@@ -1,6 +1,6 @@
 """Table schemas of the catalog.
 
-All five tables are append-only. Rows are never updated in place: a change is a new
+All tables are append-only. Rows are never updated in place: a change is a new
 row, and the current state is the latest row per key (``operators.latest``).
 """
 
@@ -44,6 +44,15 @@ FILE_HASHES = T.StructType([
     T.StructField("computed_at", T.TimestampType(), False),
 ])
 
+# A file that could not be decoded for a hash, and in which version.
+HASH_FAILURES = T.StructType([
+    T.StructField("file_id", T.LongType(), False),
+    T.StructField("hash_name", T.StringType(), False),
+    T.StructField("size_bytes", T.LongType(), False),
+    T.StructField("mtime_secs", T.LongType(), False),
+    T.StructField("failed_at", T.TimestampType(), False),
+])
+
 # One row per step of a run: 'started', 'progress' or 'completed'. The run table a
 # user reads is folded from these (plans.runs.run_status).
 RUN_EVENTS = T.StructType([
@@ -75,6 +84,7 @@ TABLES = {
     "file_stats": FILE_STATS,
     "file_metadata": FILE_METADATA,
     "file_hashes": FILE_HASHES,
+    "hash_failures": HASH_FAILURES,
     "run_events": RUN_EVENTS,
 }
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Later duplicates win inside one JSON object, as in most JSON readers.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # State of streams on disk, as it holds a row per file.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -45,14 +50,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _RELEASED:
+        _RELEASED[-1].append(path)
+    return path
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+# Scratch paths to delete at the end of each open ``releasing`` block.
+_RELEASED: list[list[str]] = []
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Delete what is put under new scratch paths inside the block when it ends."""
+    _RELEASED.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _RELEASED.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder, and read it from there.
 
     Cuts the lineage like a checkpoint, but later steps read only the columns they need.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from datetime import datetime
-from zoneinfo import ZoneInfo
+import os
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from photarium.functions.errors import HASH_DECODE_FAILED, IO_ERROR, error_text
 from photarium.operators.numbering import number_rows
+from photarium.session import settle
 
 CHUNK_BYTES = 1024 * 1024
 TASK_BYTES = 8 * 1024 ** 3
@@ -22,8 +23,6 @@ TASK_FILES = 100_000
 # Rec. 709 luma weights for red, green, blue, in ten-thousandths.
 LUMA_WEIGHTS = (2126, 7152, 722)
 
-_DIGESTS = "id bigint, digest string, error_code string, error_message string"
-
 
 def open_file(path: str):
     """Binary stream of a local path or of a URI that pyarrow has a file system for."""
@@ -35,20 +34,36 @@ def open_file(path: str):
     return open(path, "rb")
 
 
-def _digest_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for file_id, path in zip(batch["id"], batch["path"]):
-            try:
-                hasher = hashlib.sha256()
-                with open_file(path) as stream:
-                    while chunk := stream.read(CHUNK_BYTES):
-                        hasher.update(chunk)
-                rows.append((file_id, hasher.hexdigest(), None, None))
-            except OSError as e:
-                message = f"{IO_ERROR}. path: {path} ({e.strerror or e})"
-                rows.append((file_id, None, IO_ERROR, message))
-        yield pd.DataFrame(rows, columns=["id", "digest", "error_code", "error_message"])
+def create_file(path: str):
+    """Binary stream to a new local path or URI; folders are made as needed."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        system.create_dir(inner.rpartition("/")[0])
+        return system.open_output_stream(inner)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return open(path, "wb")
+
+
+def _read_each(use: Callable[[int, Any], str | None], result: str):
+    """A function for ``mapInPandas``: opens each file of (id, path), and what ``use`` makes of it or the error."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, path in zip(batch["id"], batch["path"]):
+                try:
+                    with open_file(path) as stream:
+                        rows.append((file_id, use(file_id, stream), None, None))
+                except OSError as e:
+                    message = f"{IO_ERROR}. path: {path} ({e.strerror or e})"
+                    rows.append((file_id, None, IO_ERROR, message))
+            yield pd.DataFrame(rows, columns=["id", result, "error_code", "error_message"])
+
+    return read
 
 
 def spread_by_size(work: DataFrame) -> DataFrame:
@@ -66,60 +81,72 @@ def spread_by_size(work: DataFrame) -> DataFrame:
     return dealt.repartitionById(tasks, (F.col("_turn") % tasks).cast("int")).drop("_turn")
 
 
-def digest_files(work: DataFrame) -> DataFrame:
+def digest_files(work: DataFrame, hasher: Callable[[], Any] = hashlib.sha256) -> DataFrame:
     """Digest of each file of a work-list (id, path), read in chunks where it lies.
 
     Only files on the list are opened, and none is held in memory whole. Files that cannot
     be read come back with an error instead of a digest.
     """
-    return work.select("id", "path").mapInPandas(_digest_files, _DIGESTS)
 
+    def digest(file_id: int, stream) -> str:
+        own = hasher()
+        while chunk := stream.read(CHUNK_BYTES):
+            own.update(chunk)
+        return own.hexdigest()
 
-def read_bytes(spark: SparkSession, *roots: str, max_bytes: int | None = None) -> DataFrame:
-    """(path, content) of all files below the roots, for contents that fit in a row.
-
-    ``max_bytes`` leaves out larger files at the listing, before anything is read; those
-    belong to ``digest_files``.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    return work.select("id", "path").mapInPandas(
+        _read_each(digest, "digest"), "id bigint, digest string, error_code string, error_message string"
+    )
 
 
-def oldest_mtime(work: DataFrame) -> int | None:
-    """Oldest mtime of a work-list in seconds, None for an empty one."""
-    return work.agg(F.min("mtime_secs").alias("oldest")).first()["oldest"]
+def stage_images(work: DataFrame, folder: str) -> DataFrame:
+    """Copy each file of a work-list (id, path) to ``folder``, under its id; reports errors by id.
 
+    Spark's image source lists folders, and leaves out names such as ``_DSC0001.jpg``. A copy
+    is found whatever the file's name, root or time, and nothing else is listed or decoded.
+    """
 
-def read_images(spark: SparkSession, *roots: str, modified_since: int | None = None) -> DataFrame:
-    """(path, image, error_code, error_message): decoded images below the roots.
+    def copy(file_id: int, stream) -> str:
+        name = f"{folder}/{file_id % 1000}/{file_id}"
+        with create_file(name) as target:
+            while chunk := stream.read(CHUNK_BYTES):
+                target.write(chunk)
+        return name
 
-    Files Spark cannot decode keep their row, with a NULL image and an error code.
-    ``modified_since`` (seconds since the epoch) leaves out files older than that at the
-    listing, so an incremental run does not decode what it hashed before.
-    """
-    reader = spark.read.format("image").option("recursiveFileLookup", True)
-    if modified_since:
-        before = datetime.fromtimestamp(modified_since - 1, ZoneInfo(spark.conf.get("spark.sql.session.timeZone")))
-        reader = reader.option("modifiedAfter", before.strftime("%Y-%m-%dT%H:%M:%S"))
-    decoded = F.col("image.mode") >= 0
-    path = _local_path(F.col("image.origin"))
-    failed = error_text(
-        F.lit(HASH_DECODE_FAILED), F.lit("path"), path, F.lit("not a decodable image")
+    return work.select("id", "path").mapInPandas(
+        _read_each(copy, "staged"), "id bigint, staged string, error_code string, error_message string"
     )
-    return reader.load(list(roots)).select(
-        path.alias("path"),
-        F.when(decoded, F.col("image")).alias("image"),
-        F.when(~decoded, F.lit(HASH_DECODE_FAILED)).alias("error_code"),
-        F.when(~decoded, failed).alias("error_message"),
+
+
+def read_staged(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, image) of the staged images that Spark can decode."""
+    loaded = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
+    return loaded.filter(F.col("image.mode") >= 0).select(
+        F.regexp_extract("image.origin", "([0-9]+)$", 1).cast("bigint").alias("id"), "image"
     )
 
 
-def _local_path(uri: Column) -> Column:
-    """Plain path for the encoded ``file:`` URIs of the image source, as listings carry it."""
-    local = F.regexp_replace(uri, "^file:/+", "/")
-    return F.when(uri.startswith("file:"), F.try_url_decode(F.replace(local, F.lit("+"), F.lit("%2B")))).otherwise(uri)
+def image_hashes(work: DataFrame, folder: str, content: Column, compute: Callable[[Column], Column]) -> DataFrame:
+    """(id, hash_value, error_code, error_message) for the images of a work-list (id, path).
+
+    ``content`` is what the hash needs, as a column of ``image``, and ``compute`` the hash of
+    it. Both are taken next to the reading of the staged copies in ``folder``, so that only
+    hashes are joined, never pixels.
+    """
+    spark = work.sparkSession
+    staged = settle(stage_images(spread_by_size(work), folder), "staged")
+    if staged.filter("staged is not null").isEmpty():
+        hashed = staged.select("id", F.lit(None).cast("string").alias("hash_value"))
+    else:
+        contents = read_staged(spark, folder).select("id", content.alias("content"))
+        hashed = contents.select("id", compute(F.col("content")).alias("hash_value"))
+    paths = staged.select("id", "error_code", "error_message").join(work.select("id", "path"), "id")
+    failed = error_text(F.lit(HASH_DECODE_FAILED), F.lit("path"), F.col("path"), F.lit("not a decodable image"))
+    lost = F.col("hash_value").isNull() & F.col("error_code").isNull()
+    return paths.join(hashed, "id", "left").select(
+        "id", "hash_value", F.when(lost, HASH_DECODE_FAILED).otherwise(F.col("error_code")).alias("error_code"),
+        F.when(lost, failed).otherwise(F.col("error_message")).alias("error_message"),
+    )
 
 
 def _pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -155,6 +182,23 @@ def area_mean(gray: np.ndarray, width: int, height: int) -> np.ndarray:
     return shares(height, gray.shape[0]) @ gray @ shares(width, gray.shape[1]).T
 
 
+def pixel_digest(hasher: Callable[[], Any] = hashlib.sha256):
+    """Column function: digest of the pixels as RGBA bytes, taken where the pixels are."""
+
+    @F.pandas_udf(T.StringType())
+    def digest(image: pd.DataFrame) -> pd.Series:
+        columns = (image["data"], image["height"], image["width"], image["nChannels"])
+        out = []
+        for data, h, w, c in zip(*columns):
+            own = hasher()
+            if data is not None:
+                own.update(_pixels(data, int(h), int(w), int(c)).tobytes())
+            out.append(None if data is None else own.hexdigest())
+        return pd.Series(out, dtype=object)
+
+    return digest
+
+
 @F.pandas_udf(T.BinaryType())
 def rgba_bytes(image: pd.DataFrame) -> pd.Series:
     """Pixels as RGBA bytes, whatever the file's own pixel layout and metadata."""

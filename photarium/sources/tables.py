@@ -19,13 +19,3 @@ def append_table(rows: DataFrame, path: str, partition_by: list[str] | None = No
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for costly row-wise work on a table with fewer splits than cores.
-
-    A table with as many splits as cores is returned as it is, so large inputs are never
-    shuffled for this. Meant for plain scans: counting the partitions of a plan with
-    shuffles would run them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -1,41 +1,33 @@
-"""First hash per file and algorithm, as a stream over the hash log."""
+"""First hash per file and algorithm, kept up to date from the hash log as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from photarium.operators.latest import newest
+from photarium.streaming.latest_state import write_batches
 
-SHARDS = 128
+KEYS = ["file_id", "hash_name"]
 
 
-def first_hashes(hashes: DataFrame, lateness: str) -> DataFrame:
-    """Streaming: one row per (file_id, hash_name); repeats within ``lateness`` are dropped.
+def first_hashes(hashes: DataFrame) -> DataFrame:
+    """Streaming: the earliest row per (file_id, hash_name), as of each batch.
 
-    Repeats are dropped within shards of a key first, so a key with very many rows reaches
-    the second step as at most ``SHARDS`` of them. The shard comes from the row and its
-    input partition, so copies of one row are spread as well; the second step is exact
-    whatever the shards. State of a key is released once the watermark has passed its time
-    by ``lateness``.
+    An aggregate with partial results per task, so a key with very many rows reaches the
+    shuffle as one row of each task. State holds one row per key.
     """
-    shard = F.pmod(F.xxhash64("stat_id", F.spark_partition_id()), F.lit(SHARDS))
-    keys = ["file_id", "hash_name"]
-    return (
-        hashes.withWatermark("computed_at", lateness).withColumn("_shard", shard)
-        .dropDuplicatesWithinWatermark([*keys, "_shard"])
-        .drop("_shard")
-        .dropDuplicatesWithinWatermark(keys)
-    )
-
-
-def record_first_hashes(hashes: DataFrame, lateness: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Start a query that appends first hashes to ``target``, takes what is there and ends."""
-    return (
-        first_hashes(hashes, lateness).writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .format("parquet")
-        .option("path", target)
-        .start()
-    )
+    fields = [c for c in hashes.columns if c not in KEYS]
+    earliest = F.min_by(F.struct(*fields), F.struct("computed_at", "stat_id")).alias("row")
+    return hashes.groupBy(*KEYS).agg(earliest).select(*KEYS, "row.*")
+
+
+def maintain_first(hashes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that writes each batch's changed keys below ``target``, takes what is there and ends."""
+    return write_batches(first_hashes(hashes), target, checkpoint)
+
+
+def read_first(spark: SparkSession, target: str) -> DataFrame:
+    """The maintained table: for each key its row from the last batch that changed it."""
+    return newest(spark.read.parquet(target), KEYS, ["batch"]).drop("batch")

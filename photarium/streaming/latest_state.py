@@ -21,7 +21,12 @@ def latest_updates(observations: DataFrame) -> DataFrame:
 
 
 def maintain_latest(observations: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Start a query that writes each batch's changed files to its own folder of ``target``.
+    """Start a query that writes each batch's changed files to its own folder of ``target``."""
+    return write_batches(latest_updates(observations), target, checkpoint)
+
+
+def write_batches(updates: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that writes each batch's changed rows to its own folder of ``target``.
 
     A batch that is run again after a failure overwrites its folder, so every change is
     there once. The query takes what is available now and ends; run it again for more.
@@ -31,7 +36,7 @@ def maintain_latest(observations: DataFrame, target: str, checkpoint: str) -> St
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
-        latest_updates(observations).writeStream.outputMode("update")
+        updates.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)

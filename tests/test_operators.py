@@ -408,6 +408,16 @@ def test_first_hash_stream_over_several_runs(spark, tmp_path):
         rows = [(1 if i % 2 else i % 9, run * 100 + i, "blake3", "x", dt.datetime(2024, 1, 1 + run)) for i in range(100)]
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        first_hash.record_first_hashes(stream, "30 days", target, progress).awaitTermination()
-    found = values(spark.read.parquet(target), "file_id", "stat_id")
-    assert sorted(f for f, _ in found) == list(range(9)) and all(s < 100 for _, s in found)
+        first_hash.maintain_first(stream, target, progress).awaitTermination()
+    found = values(first_hash.read_first(spark, target), "file_id", "stat_id")
+    assert sorted(f for f, _ in found) == list(range(9)) and all(s < 20 for _, s in found)
+
+
+@pytest.mark.parametrize("name", ["stream_latest_state", "stream_first_hash"])
+def test_streams_over_a_folder_of_files(spark, tmp_path, name):
+    from photarium.registry.queries import QUERIES
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.repartition(5).write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(
+        map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
