@@ -15,16 +15,32 @@ STREAM_FIELDS = (
     "codec_type", "codec_name", "width", "height", "r_frame_rate", "sample_rate", "channels",
 )
 
-_SCHEMA = "struct<format: struct<{}, tags: map<string, variant>>, streams: array<struct<{}>>>".format(
+_SCHEMA = "struct<format: struct<{}, tags: variant>, streams: array<struct<{}>>>".format(
     ", ".join(f"{name}: variant" for name in FORMAT_FIELDS),
     ", ".join(f"{name}: variant" for name in STREAM_FIELDS),
 )
+_TAG_TEXTS = "struct<format: struct<tags: map<string, string>>>"
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def parse(document: Column) -> Column:
-    """The parts of a document that entries come from; NULL parts where it is no JSON object."""
-    return F.from_json(F.when(document.rlike(r"^\s*\{"), document), _SCHEMA, _STRICT_JSON)
+    """The parts of a document that entries come from; NULL parts where it is no JSON object.
+
+    Tags become (key, value, text) entries: a VARIANT keeps the last of repeated keys and the
+    kind of each value; the text is what a value reads like, which a VARIANT does not keep for
+    fractions inside of objects and arrays.
+    """
+    whole = F.when(document.rlike(r"^\s*\{"), document)
+    parsed = F.from_json(whole, _SCHEMA, _STRICT_JSON)
+    texts = F.map_entries(F.from_json(whole, _TAG_TEXTS, _STRICT_JSON)["format"]["tags"])
+    tags = F.map_entries(parsed["format"]["tags"].try_cast("map<string, variant>"))
+
+    def entry(tag: Column) -> Column:
+        last = F.try_element_at(F.filter(texts, lambda t: t["key"] == tag["key"]), F.lit(-1))
+        return F.struct(tag["key"].alias("key"), tag["value"].alias("value"), last["value"].alias("text"))
+
+    own = [parsed["format"][name].alias(name) for name in FORMAT_FIELDS]
+    return F.struct(F.struct(*own, F.transform(tags, entry).alias("tags")).alias("format"), parsed["streams"].alias("streams"))
 
 
 def _text(value: Column) -> Column:
@@ -44,13 +60,18 @@ def _number_text(number: Column) -> Column:
     return F.when((size == 0) | ((size >= 1e-5) & (size < 1e16)), plain).otherwise(scientific)
 
 
-def any_text(value: Column) -> Column:
-    """Text values as they are, anything else as JSON text."""
+def any_text(value: Column, text: Column) -> Column:
+    """Text values as they are, anything else as JSON text; ``text`` is what the value reads like.
+
+    Objects have their keys in order, unless a fraction is in them: then they stay as written.
+    """
     kind = F.schema_of_variant(value)
+    holds_fraction = kind.rlike("^(OBJECT|ARRAY).*(DOUBLE|DECIMAL)")
     is_fraction = (kind == "DOUBLE") | kind.startswith("DECIMAL")
     return (
         F.when(kind == "STRING", value.cast("string"))
         .when(is_fraction, _number_text(F.try_variant_get(value, "$", "double")))
+        .when(holds_fraction, text)
         .otherwise(F.to_json(value))
     )
 
@@ -66,9 +87,7 @@ def format_entries(fmt: Column) -> Column:
 
 def tag_entries(fmt: Column) -> Column:
     """One entry per key of the format's tags object."""
-    return F.transform(
-        F.map_entries(fmt["tags"]), lambda t: _entry("video_tag", t["key"], any_text(t["value"]))
-    )
+    return F.transform(fmt["tags"], lambda t: _entry("video_tag", t["key"], any_text(t["value"], t["text"])))
 
 
 def stream_entries(stream: Column, position: Column) -> Column:

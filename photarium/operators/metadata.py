@@ -54,8 +54,9 @@ def format_rows(probes: DataFrame) -> DataFrame:
 def format_tag_rows(probes: DataFrame) -> DataFrame:
     """Format tags of each ``probe_json``."""
     parsed, kept = _parsed(probes)
-    tags = parsed.select(*kept, F.explode_outer("_probe.format.tags").alias("tag", "_value"))
-    return tags.filter(F.col("tag").isNotNull()).select(*kept, F.lit("video_tag").alias("namespace"), "tag", probe.any_text(F.col("_value")).alias("value"))
+    tags = parsed.select(*kept, F.explode_outer("_probe.format.tags").alias("_tag")).filter(F.col("_tag").isNotNull())
+    value = probe.any_text(F.col("_tag.value"), F.col("_tag.text"))
+    return tags.select(*kept, F.lit("video_tag").alias("namespace"), F.col("_tag.key").alias("tag"), value.alias("value"))
 
 
 def stream_rows(probes: DataFrame) -> DataFrame:

@@ -354,7 +354,8 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(digit == 5, "").otherwise(F.concat(
         F.lit(',"tags":{"creation_time":"'), F.date_format("o_orderdate", "yyyy-MM-dd"),
         F.lit('","priority":"'), F.col("o_orderpriority"), F.lit('","cents":'), amount,
-        F.lit(',"ratio":2.50,"whole":3.0,"flags":{"a":1,"b":[1,2]},"none":null,"ok":true}'),
+        F.lit(',"ratio":2.50,"whole":3.0,"flags":{"a":1,"b":[1,2]},"none":null,"ok":true,"ok":false,'
+              '"nested":{"x":3.0,"y":2.50},"list":[1.0]}'),
     ))
     height = F.when(status == "P", '"1080"').otherwise("1080")
     sample_rate = F.when(status == "F", "48000").otherwise('"48000"')

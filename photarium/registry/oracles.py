@@ -175,7 +175,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT file_id, 'video_tag' AS namespace, t.tag AS tag,
                CASE t.tag WHEN 'creation_time' THEN day WHEN 'priority' THEN priority WHEN 'cents' THEN amount ELSE t.fixed END AS value
         FROM probed, (VALUES ('creation_time', ''), ('priority', ''), ('cents', ''), ('ratio', '2.5'), ('whole', '3.0'),
-                      ('flags', '{"a":1,"b":[1,2]}'), ('none', 'null'), ('ok', 'true')) t(tag, fixed)
+                      ('flags', '{"a":1,"b":[1,2]}'), ('none', 'null'), ('ok', 'false'),
+                      ('nested', '{"x":3.0,"y":2.5}'), ('list', '[1.0]')) t(tag, fixed)
         WHERE d <> 5"""),
     "probe_streams": (["probed"], """
         SELECT file_id, 'video' AS namespace, t.tag AS tag,

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.functions import bits, paths
-from photarium.operators.algorithms import algorithm
 from photarium.operators import fingerprints, hashing, latest, metadata, observe, reports, similarity, worklist
+from photarium.operators.algorithms import algorithm
 from photarium.plans import runs, scans
 from photarium.registry import adapters as a
-from photarium.session import scratch_path
+from photarium.session import scratch_path, settle
 from photarium.sources import media
 from photarium.streaming import first_hash, latest_state
 
@@ -196,7 +196,7 @@ def change_detection(spark, sf_dir):
 def scan_cycle(spark, sf_dir):
     """All rows the second scan appends to the observation log."""
     output = scans.library_scan(
-        a.second_listing(spark, sf_dir), a.TREE_ROOTS, a.tree_master(spark, sf_dir), a.tree_stats(spark, sf_dir),
+        settle(a.second_listing(spark, sf_dir), "listing"), a.TREE_ROOTS, a.tree_master(spark, sf_dir), a.tree_stats(spark, sf_dir),
         a.at(a.SECOND_SCAN),
     )
     return output.new_stats

@@ -350,6 +350,8 @@ def test_ratios_read_back_as_the_same_number(spark, ratios):
 
 
 PROBES = [
+    ('{"format":{"tags":{"x":{"a":3.0,"b":2.50},"l":[1.0],"c":1,"c":"last"}}}',
+     {("video_tag", "x", '{"a":3.0,"b":2.5}'), ("video_tag", "l", "[1.0]"), ("video_tag", "c", "last")}),
     ('{"format":{"duration":"1.5","bit_rate":"8","format_name":"mov"}}', {("video", "duration", "1.5"), ("video", "bit_rate", "8"), ("video", "format_name", "mov")}),
     ('{"format":{"duration":1.5,"bit_rate":8}}', set()),
     ('{"format":{"tags":{"a":"x","b":1,"c":2.50,"d":null,"e":true,"f":{"k":[1]},"g":1e300,"h":3.0,"i":1.5e-7}}}',
