@@ -8,6 +8,7 @@ from photarium.llm import (
     decontamination, fingerprints, html, language, language_model, mixing, near_dedup, sharding, toxicity, urls,
 )
 from photarium.llm.common import read
+from photarium.llm.oracles import ORACLES
 from photarium.session import configure
 
 
@@ -74,4 +75,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
