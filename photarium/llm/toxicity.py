@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from photarium.llm.common import bucket_of, scores_of
 
 FOLDS = 5
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 8_000
 TRAIN_BYTES = 48 << 20
 FEATURES = 1 << 20
 # A feature must pass this likelihood-ratio statistic and stand in this many toxic documents.
@@ -115,7 +115,7 @@ def _select(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     return np.flatnonzero((evidence >= LEAST_EVIDENCE) & (a >= LEAST_DOCS) & (a > n * share))
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 500, rate: float = 0.1, decay: float = 5e-5) -> Model:
     """Train on whole documents and their labels (0 or 1)."""
     toxic = np.asarray(toxic, dtype=int)
     if not len(texts) or toxic.min() == toxic.max():
