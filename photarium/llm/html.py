@@ -51,7 +51,7 @@ NAMED = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs masthead header footer sidebar aside widget related share sharing social newsletter subscribe subscription "
     "cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus replies respond search login signup "
-    "copyright contentinfo complementary toolbar pagination pager skip".split()
+    "copyright contentinfo complementary toolbar pagination pager skip alert disclaimer promoted commentlist".split()
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>?", re.DOTALL
@@ -60,7 +60,7 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PARTS = re.compile(r"[^a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
-# HTML white space, and nothing else, separates words.
+# White space separates words.
 _SPACE = re.compile(r"[\s\x00]+")
 
 
