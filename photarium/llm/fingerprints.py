@@ -113,10 +113,9 @@ def edits(docs: DataFrame) -> DataFrame:
         number_rows(sizes.withColumn("_order", F.struct(F.col("doc_id").isNull().alias("n"), (-F.col("doc_id")).alias("d"))), ["_order"], 0, "_seq")
         .select("doc_id", "_most", "_seq"), "fingerprint-order",
     )
-    last = ordered.agg(F.max("_seq").alias("_last"))
     following = ordered.select(F.col("doc_id").alias("_next"), F.col("_seq").alias("_at"))
-    behind = F.when(F.col("_seq") == F.col("_last"), F.lit(1)).otherwise(F.col("_seq") + 1)
-    pairs = ordered.join(F.broadcast(last)).withColumn("_at", behind).join(following, "_at").select(  # last: one row
+    behind = F.when(F.col("_seq") == ordered.count(), F.lit(1)).otherwise(F.col("_seq") + 1)
+    pairs = ordered.withColumn("_at", behind).join(following, "_at").select(
         F.col("doc_id").alias("_owner"), "_next", F.floor(F.col("_most") / 3).cast("int").alias("_need")
     )
     starts = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("_next"))).select(

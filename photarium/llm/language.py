@@ -125,9 +125,10 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     def counts(key: str, label: str) -> DataFrame:
         return settle(facts.groupBy(F.col(key).alias(f"_{label}")).agg(*(F.sum(f"_p{i}").alias(f"_{label}{i}") for i in range(n))), f"language-{label}")
 
-    all_pages = facts.agg(*(F.sum(f"_p{i}").alias(f"_a{i}") for i in range(n)))
+    everything = facts.agg(*(F.coalesce(F.sum(f"_p{i}"), F.lit(0.0)) for i in range(n))).first()
+    all_pages = {f"_a{i}": F.lit(float(everything[i])) for i in range(n)}
     hosts, suffixes = counts("host", "h"), counts("suffix", "s")
-    joined = facts.join(hosts, F.col("host") == F.col("_h")).join(suffixes, F.col("suffix") == F.col("_s")).join(F.broadcast(all_pages))  # last: one row
+    joined = facts.join(hosts, F.col("host") == F.col("_h")).join(suffixes, F.col("suffix") == F.col("_s")).withColumns(all_pages)
 
     def smoothed(label: str, above: list[Column], strength: float) -> list[Column]:
         without = [F.greatest(F.col(f"_{label}{i}") - F.col(f"_p{i}"), F.lit(0.0)) for i in range(n)]
