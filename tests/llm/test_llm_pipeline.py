@@ -42,7 +42,7 @@ def test_stages_take_effect_in_order(spark, stored):
     assert abs(count["b"] - 2 * count["a"]) <= 3 and abs(sum(count.values()) - 200) <= 2
 
 
-def test_odd_and_empty_tables(spark, stored):
+def test_odd_rows(spark, stored):
     from llm_cases import ROWS
 
     sf_dir = stored(ROWS, [(1, 1, 1), (4, 1, 0)], [(None, None), (1, "")])
