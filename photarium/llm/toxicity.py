@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from photarium.llm.common import bucket_of, scores_of
 
 FOLDS = 5
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 6_000
 TRAIN_BYTES = 48 << 20
 FEATURES = 1 << 20
 # A feature must pass this likelihood-ratio statistic and stand in this many toxic documents.
@@ -43,6 +43,8 @@ PREFIXES = (4, 5, 6)
 OFFENDING = 0.5
 # Word weights kept by a task while it scores; the rest are computed anew.
 CACHE_WORDS = 500_000
+# The same while it is fitted, on the driver.
+FIT_WORDS = 100_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 _WORD = re.compile(r"\w+")
@@ -101,7 +103,7 @@ def _select(texts: list[str], toxic: np.ndarray) -> np.ndarray:
             features = known.get(word)
             if features is None:
                 features = word_features(word)
-                if len(known) < CACHE_WORDS:
+                if len(known) < FIT_WORDS:
                     known[word] = features
             found.update(features)
         inside[int(label)][np.fromiter(found, dtype=np.int64, count=len(found))] += 1
