@@ -3,7 +3,9 @@
 A document is a bag of sentences. Each sentence has a logistic score over its words, and a
 document is toxic if any sentence is: one minus the product of the sentences' complements
 (noisy-or). The weights are trained from labels of documents only, and then the sentence scores
-point to the offending sentences.
+point to the offending sentences. What a sentence without any feature would have by the bias alone
+is the background: it is taken off every sentence before the noisy-or, in training and scoring
+alike, so plain sentences score 0 and add up to nothing in a text of any length.
 
 A word counts by itself and by its first 4, 5 and 6 letters, so compounds share evidence.
 Features are those that stand in significantly more toxic than clean documents of the training
@@ -14,7 +16,7 @@ smallest hash of their id, and of these as many as have ``TRAIN_BYTES`` of text
 Scoring covers all documents and whole texts.
 
 Nulls and repeats: a null or empty text is one empty sentence. Repeated labels of an id count as
-toxic if any of them is; a null label is none. Without labels all documents get a low score.
+toxic if any of them is; a null label is none. Without labels all documents score 0.
 """
 
 from __future__ import annotations
@@ -63,6 +65,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)] or [(0, 0)]
 
 
+def risks(logits: np.ndarray, bias: float) -> np.ndarray:
+    """Minus the logarithm of each sentence's complement, less that of a sentence without features; at least 0."""
+    return np.maximum(np.logaddexp(0.0, logits) - np.logaddexp(0.0, bias), 0.0)
+
+
 @dataclass
 class Model:
     """Weights of the selected features, by hash, and the bias of a sentence."""
@@ -88,8 +95,8 @@ class Model:
                     weight = cache[word] = self.word(word)
                 if weight:
                     logits[i] += weight
-        own = scores_of(logits)
-        total = -np.expm1(np.log1p(-np.minimum(own, 1 - 1e-12)).sum())
+        risk = risks(logits, self.bias)
+        own, total = -np.expm1(-risk), -np.expm1(-risk.sum())
         return float(total), [(*spans[i], float(own[i])) for i in np.flatnonzero(own >= OFFENDING)]
 
 
@@ -124,11 +131,10 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 500, rate: float = 0.
         return Model()
     chosen = _select(texts, toxic)
     place = {int(f): i for i, f in enumerate(chosen)}
-    # Sentences with features as sparse rows; those without only have to be counted.
+    # Sentences with features as sparse rows; those without have no part in a document's score.
     rows: list[int] = []
     columns: list[int] = []
     owner: list[int] = []
-    plain = np.zeros(len(texts))
     for doc, text in enumerate(texts):
         lower = text.lower()
         for start, end in sentences(lower):
@@ -137,19 +143,17 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 500, rate: float = 0.
                 rows.extend([len(owner)] * len(own))
                 columns.extend(own)
                 owner.append(doc)
-            else:
-                plain[doc] += 1
     row, column, docs = (np.array(x, dtype=np.int64) for x in (rows, columns, owner))
     weights, bias = np.full(len(chosen), 2.0), -6.0
     moments = [np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)]
     for step in range(1, rounds + 1):
-        own = scores_of(bias + np.bincount(row, weights[column], len(docs)))
-        base = float(scores_of(np.array([bias]))[0])
-        none = np.bincount(docs, np.log1p(-np.minimum(own, 1 - 1e-9)), len(texts)) + plain * np.log1p(-base)
+        logits = bias + np.bincount(row, weights[column], len(docs))
+        none = -np.bincount(docs, risks(logits, bias), len(texts))
         some = -np.expm1(none)
         pull = np.where(toxic == 1, -np.exp(none) / np.maximum(some, 1e-9), 1.0) / len(texts)
-        sentence = pull[docs] * own
-        slope = np.append(np.bincount(column, sentence[row], len(chosen)) + decay * weights, sentence.sum() + (pull * plain).sum() * base)
+        reach = pull[docs] * (logits > bias)
+        own, base = scores_of(logits), scores_of(np.array([bias]))
+        slope = np.append(np.bincount(column, (reach * own)[row], len(chosen)) + decay * weights, (reach * (own - base)).sum())
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.999 * moments[1] + 0.001 * slope**2
         change = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-9)

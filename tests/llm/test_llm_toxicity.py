@@ -62,3 +62,15 @@ def test_odd_rows(spark):
     empty = documents(spark, [])
     assert toxicity.score(empty, toxicity.train(empty, none)).count() == 0
     assert toxicity.Model().score(LONG, {})[0] < 1
+
+
+def test_long_clean_texts_stay():
+    model = toxicity.fit(*corpus(600))
+    texts, toxic = corpus(2_000, seed=4)
+    plain = [s for t, label in zip(texts, toxic) if not label for s in t.split(". ")]
+    text = ". ".join((plain * 3)[:50_000])
+    assert len(toxicity.sentences(text)) == 50_000
+    for found in (model, toxicity.Model(), toxicity.Model({1: 5.0}, -9.0)):
+        assert found.score(text, {})[0] < 0.1
+    assert toxicity.Model().score(text, {}) == (0.0, [])
+    assert model.score(text + ". A grumphling again.", {})[0] >= 0.5
