@@ -3,15 +3,16 @@
 A page is cut into blocks of text. Markup decides what it can: menus, headers, footers,
 sidebars, forms, scripts and elements named as adverts, notices or comments go, and on a page
 that marks its article only that is kept. What markup leaves is checked against the host's
-other pages: the token streams of its pages are concatenated, suffixes are sorted by their
-first ``RUN`` tokens, and runs of that length which stand on many distinct pages are
+other pages: runs of ``RUN`` tokens which stand on many distinct pages of the whole host are
 boilerplate. Tokens covered by such a run are removed, unique runs are kept.
 
 Inside a marked article a run must stand on most pages of the host to be removed: articles
 may quote or copy each other. Elsewhere a few pages are enough.
 
-A host's pages are dealt over groups of about ``GROUP_PAGES`` by a hash, each with a suffix
-array of its own: what a host repeats everywhere, each group repeats.
+Runs are known by 64-bit hashes of host and tokens, and counted in two ways. On pages without an
+article all runs are counted. Within articles, a task sorts the suffixes of about ``GROUP_PAGES``
+pages at a time; a run on a share of the host's pages has that share in some group, so the runs
+that reach it in any group are all that can, and those are counted over the whole host.
 
 Nulls and repeats: null or empty html has no text; pages without host are dealt like those of
 one host; the same page twice (same id and html) counts once.
@@ -27,14 +28,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
 
 from photarium.llm.common import settle
 from photarium.llm.urls import host_of
 
 RUN = 8
-GROUP_PAGES = 2_000
-# A run outside of articles is boilerplate on this many pages of a group, one inside on this share.
+# Pages, and about as many tokens, that a task sorts together; no result depends on them.
+GROUP_PAGES, GROUP_TOKENS = 2_000, 1_000_000
+# Size of the bitmap that keeps most runs out of a join; what it lets through is joined exactly.
+FILTER_BITS = 24
+# A run outside of articles is boilerplate on this many pages of a host, one inside on this share.
 LEAST_PAGES = 3
 ARTICLE_SHARE, ARTICLE_PAGES = 0.6, 10
 
@@ -73,19 +76,19 @@ def _named(attributes: str) -> bool:
     return False
 
 
-def blocks(html: str | None) -> list[tuple[str, bool]]:
-    """The text blocks that markup leaves, each with whether it is inside a marked article."""
+def blocks(html: str | None) -> list[tuple[str, int]]:
+    """The text blocks that markup leaves, each with the number of its marked article, from 1; 0 is outside."""
     if not html:
         return []
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, hides its text, is an article
-    hidden = inside = 0
+    hidden = inside = articles = 0
 
     def end_block() -> None:
         block = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         if block:
-            out.append((block, inside > 0))
+            out.append((block, articles if inside else 0))
         text.clear()
 
     at = 0
@@ -122,6 +125,7 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
             while stack and stack[-1][1] and stack[-1][0] in CHROME:
                 hidden -= stack.pop()[1]
         hides = name in CHROME or (name not in ("html", "body", "article", "main") and _named(tag.group(3)))
+        articles += article and not inside
         stack.append((name, hides, article))
         hidden += hides
         inside += article
@@ -129,8 +133,9 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
     return [b for b in out if b[1]] if any(b[1] for b in out) else out
 
 
-def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN) -> list[np.ndarray]:
-    """For each token stream, on how many distinct pages the best run over each token stands.
+def repeats(streams: list[np.ndarray], pages: list[int], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """For the token streams laid end to end: on how many distinct pages the run from each token on
+    stands (0 if the stream ends before), and the tokens left of each stream.
 
     ``streams`` hold token numbers, ``pages`` the number of each stream's page. Suffixes are
     ranked by their first 1, 2, 4, ... tokens until runs of ``run`` tokens are told apart;
@@ -139,7 +144,7 @@ def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN) -> lis
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     total = int(lengths.sum())
     if not total:
-        return [np.zeros(0, dtype=np.int64) for _ in streams]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     tokens = np.concatenate([s for s in streams if len(s)]).astype(np.int64)
     page = np.repeat(np.array(pages, dtype=np.int64), lengths)
     stop = np.repeat(np.cumsum(lengths), lengths)
@@ -152,13 +157,19 @@ def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN) -> lis
         rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         width += step
     full = room >= run
-    place = np.unique(np.stack([rank[full], page[full]], axis=1), axis=0)[:, 0] if full.any() else np.zeros(0, dtype=np.int64)
+    many = int(page.max()) + 1
+    place = np.unique(rank[full] * many + page[full]) // many
     counts = np.bincount(place, minlength=int(rank.max()) + 1)
-    starts = np.where(full, counts[rank], 0)
+    return np.where(full, counts[rank], 0), room
+
+
+def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN) -> list[np.ndarray]:
+    """For each token stream, on how many distinct pages the best run over each token stands."""
+    starts, room = repeats(streams, pages, run)
     best = starts.copy()  # the best of the runs that begin at most run - 1 tokens before
     for back in range(1, run):
         best[back:] = np.maximum(best[back:], np.where(room[:-back] > back, starts[:-back], 0))
-    return np.split(best, np.cumsum(lengths)[:-1])
+    return np.split(best, np.cumsum([len(s) for s in streams])[:-1])
 
 
 def unique_runs(words: list[str], covered: np.ndarray) -> str:
@@ -173,52 +184,151 @@ def unique_runs(words: list[str], covered: np.ndarray) -> str:
     return " ".join(w for w, out in zip(words, gone) if not out)
 
 
-def extract_group(found: list[list[tuple[str, bool]]], keys: list[str]) -> list[str]:
-    """The texts of one group of pages of a host; pages with equal keys count as one."""
-    number: dict[str, int] = {}
-    distinct: dict[str, int] = {}
-    pages = [distinct.setdefault(k, len(distinct)) for k in keys]
-    words = [[block.split(" ") for block, _ in page] for page in found]
-    streams = [
-        np.array([number.setdefault(w, len(number)) for block in page for w in block], dtype=np.int64) for page in words
-    ]
-    often = max(ARTICLE_PAGES, int(np.ceil(ARTICLE_SHARE * len(distinct))))
-    texts = []
-    for page, split, best in zip(found, words, repeated(streams, pages)):
-        at, kept = 0, []
-        for (_, article), block in zip(page, split):
-            own = best[at:at + len(block)]
-            at += len(block)
-            kept.append(unique_runs(block, own >= (often if article else LEAST_PAGES)))
-        texts.append("\n\n".join(t for t in kept if t))
-    return texts
+def run_hashes(words: list[str], host: int) -> np.ndarray:
+    """A hash of the host and the run for each token with a whole run from it on."""
+    n = len(words) - RUN + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    own = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    total = np.full(n, host, dtype=np.int64).view(np.uint64)
+    for i in range(RUN):
+        total = (total ^ own[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(32)
+    return total.view(np.int64)
+
+
+def _words(found) -> list[str]:
+    return [w for b in found for w in b["text"].split(" ")]
+
+
+def _bits(runs: DataFrame) -> bytes:
+    """A bitmap over the runs' last ``FILTER_BITS`` bits."""
+    slot = F.pmod("_run", F.lit(1 << FILTER_BITS))
+    parts = runs.groupBy(F.floor(slot / 32_768).alias("part")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(32_768))).alias("bits")).collect()
+    whole = bytearray(1 << FILTER_BITS - 3)
+    for r in parts:
+        whole[r["part"] * 4_096:(r["part"] + 1) * 4_096] = r["bits"]
+    return bytes(whole)
+
+
+def _runs(within: bytes | None = None):
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The distinct runs of each page; those that ``within`` rules out are left out."""
+        bits = None if within is None else np.frombuffer(within, dtype=np.uint8)
+
+        def runs_of(blocks_of, host: int) -> np.ndarray:
+            runs = run_hashes(_words(blocks_of), host)
+            if bits is not None:
+                slot = runs & ((1 << FILTER_BITS) - 1)
+                runs = runs[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+            return np.unique(runs)
+
+        for pdf in batches:
+            for start in range(0, len(pdf), 500):
+                part = pdf.iloc[start:start + 500]
+                runs = [runs_of(b, h) for b, h in zip(part["_blocks"], part["_host"])]
+                n = [len(r) for r in runs]
+                yield pd.DataFrame({
+                    "_host": np.repeat(part["_host"].to_numpy(), n), "_page": np.repeat(part["_page"].to_numpy(), n), "_run": np.concatenate(runs)
+                })
+
+    return found
+
+
+def _candidates(group_pages: int):
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs that may stand on ``_often`` of the ``_rows`` pages of a host: those on that share of a group's."""
+        waiting: dict[tuple[int, int, int], list[list[str]]] = {}
+        pages = size = 0
+
+        def found() -> pd.DataFrame:
+            runs = [np.zeros(0, dtype=np.int64)]
+            for (host, often, rows), texts in waiting.items():
+                number: dict[str, int] = {}
+                streams = [np.array([number.setdefault(w, len(number)) for w in t], dtype=np.int64) for t in texts]
+                starts, _ = repeats(streams, list(range(len(streams))))
+                reached = np.split(starts >= max(1, -(-len(texts) * often // rows)), np.cumsum([len(t) for t in texts])[:-1])
+                own = [run_hashes(t, host)[r[:len(t) - RUN + 1]] for t, r in zip(texts, reached) if r.any()]
+                if own:
+                    runs.append(np.unique(np.concatenate(own)))
+            return pd.DataFrame({"_run": np.concatenate(runs)})
+
+        for pdf in batches:
+            for blocks_of, *key in zip(pdf["_blocks"], pdf["_host"], pdf["_often"], pdf["_rows"]):
+                words = _words(blocks_of)
+                if len(words) >= RUN:
+                    waiting.setdefault(tuple(int(k) for k in key), []).append(words)
+                pages, size = pages + 1, size + len(words)
+                if pages >= group_pages or size >= GROUP_TOKENS:
+                    yield found()
+                    waiting.clear()
+                    pages = size = 0
+        yield found()
+
+    return candidates
+
+
+def main_text(found, host: int, inside: np.ndarray, outside: np.ndarray) -> str:
+    """A page's text without the given runs of articles and of other pages."""
+    split = [b["text"].split(" ") for b in found]
+    numbers = [b["article"] for b in found]
+    words = [w for block in split for w in block]
+    gone = inside if any(numbers) else outside
+    if not len(gone) or len(words) < RUN:
+        return "\n\n".join(b["text"] for b in found)
+    covered = np.zeros(len(words), dtype=bool)
+    starts = np.isin(run_hashes(words, host), gone)
+    for i in range(RUN):
+        covered[i:i + len(starts)] |= starts
+    parts = np.split(covered, np.cumsum([len(b) for b in split])[:-1])
+    return "\n\n".join(t for t in map(unique_runs, split, parts) if t)
 
 
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars``."""
     added = {"text", "n_chars", "html"}
-    given = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in added)).columns
+    given = [F.col(f"`{c}`") for c in pages.columns if c not in added]
 
-    @F.pandas_udf("array<struct<text:string,article:boolean>>")
+    @F.pandas_udf("array<struct<text:string,article:int>>")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
             yield pd.Series([[{"text": t, "article": a} for t, a in blocks(h)] for h in series])
 
+    key = F.xxhash64(F.col("html"), host_of(F.col("url")), *(F.col(f"`{c}`") for c in pages.columns if c.endswith("_id"))).alias("_page")
+    rows = settle(pages.select(*given, F.xxhash64(host_of(F.col("url"))).alias("_host"), key, parsed("html").alias("_blocks")), "html-blocks")
+    texts = rows.select("_host", "_page", "_blocks")
+    marked = F.exists("_blocks", lambda b: b["article"] > 0)
+    pair = "_host long, _page long, _run long"
+
+    # Hosts with pages enough for a run to be frequent in articles.
+    often = F.greatest(F.lit(ARTICLE_PAGES), F.ceil(F.col("_pages") * ARTICLE_SHARE)).cast("bigint")
     hosts = settle(
-        pages.groupBy(host_of(F.col("url")).alias("_host"))
-        .agg(F.ceil(F.count(F.lit(1)) / group_pages).cast("int").alias("_groups")), "html-hosts",
+        texts.groupBy("_host", "_page").agg(F.count(F.lit(1)).alias("n")).groupBy("_host")
+        .agg(F.count(F.lit(1)).alias("_pages"), F.sum("n").alias("_rows")).withColumn("_often", often).filter(F.col("_pages") >= F.col("_often")),
+        "html-hosts",
     )
-    key = F.xxhash64(F.col("html"), *(F.col(f"`{c}`") for c in given if c.endswith("_id"))).cast("string")
-    rows = pages.select(
-        *(F.col(f"`{c}`") for c in given), host_of(F.col("url")).alias("_host"), key.alias("_key"), parsed("html").alias("_blocks")
-    )
-    # A host's pages go to as many groups as it needs, evenly.
-    dealt = rows.join(hosts, "_host").withColumn("_group", F.pmod(F.xxhash64("_key"), F.col("_groups")).cast("int")).drop("_groups")
-    schema = StructType([f for f in dealt.schema if f.name in given]).add("text", StringType())
+    possible = settle(texts.join(hosts, "_host").select("_host", "_often", "_rows", "_blocks").mapInPandas(_candidates(group_pages), "_run long").distinct(), "html-candidates")
+    counted = texts.join(hosts, "_host", "left_semi").mapInPandas(_runs(_bits(possible)), pair).join(possible, "_run", "left_semi").distinct()
+    frequent = counted.groupBy("_host", "_run").count().join(hosts, "_host").filter(F.col("count") >= F.col("_often"))
+    # Each page has at most so many runs, so a host has few that stand on most of its pages.
+    inside = settle(frequent.groupBy("_host").agg(F.collect_list("_run").alias("_inside")), "html-inside")
+
+    # Pages without an article: every run on them, wherever else on the host it stands.
+    plain = settle(texts.filter((F.size("_blocks") > 0) & ~marked).mapInPandas(_runs(), pair).distinct(), "html-outside")
+    joined = rows.join(inside, "_host", "left")
+    if plain.isEmpty():
+        joined = joined.withColumn("_outside", F.lit(None).cast("array<bigint>"))
+    else:
+        quoted = texts.filter(marked).mapInPandas(_runs(_bits(plain)), pair).join(plain.select("_run").distinct(), "_run", "left_semi").distinct()
+        repeated_runs = plain.unionByName(quoted).groupBy("_run").count().filter(F.col("count") >= LEAST_PAGES).select("_run")
+        outside = plain.join(repeated_runs, "_run").groupBy("_page").agg(F.collect_list("_run").alias("_outside"))
+        joined = joined.join(outside, "_page", "left")
 
-    def texts(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [[(b["text"], b["article"]) for b in page] for page in pdf["_blocks"]]
-        return pdf[given].assign(text=extract_group(found, list(pdf["_key"])))
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        none = np.zeros(0, dtype=np.int64)
+        for found in batches:
+            yield pd.Series([main_text(b, h, *(none if r is None else np.asarray(r) for r in runs)) for b, h, *runs in zip(*found)], dtype=object)
 
-    out = dealt.groupBy("_host", "_group").applyInPandas(texts, schema)
+    out = joined.select(*given, cleaned("_blocks", "_host", "_inside", "_outside").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

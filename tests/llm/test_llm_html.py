@@ -60,6 +60,17 @@ def test_groups_of_a_hot_host(spark):
     assert texts(spark, pages, group_pages=20) == [f"page {i}" for i in range(60)]
 
 
+def test_few_pages_of_a_hot_host(spark):
+    block = " ".join(f"m{j}" for j in range(10))
+    pages = [(f"http://h.org/{i}", f"<p>page {i} of {i * 7}</p>" + f"<div>{block}</div>" * (i in (3, 28, 55))) for i in range(60)]
+    assert texts(spark, pages, group_pages=3) == [f"page {i} of {i * 7}" for i in range(60)]
+    pages[28] = ("http://h.org/28", f"<article>{block}</article>")
+    assert texts(spark, pages, group_pages=3)[3] == "page 3 of 21" and texts(spark, pages, group_pages=3)[28] == block
+    # A run on 12 of 20 articles, spread over the groups.
+    pages = [(f"http://a.org/{i}", f"<article><p>own{i} text</p>{f'<p>{block}</p>' * (i % 5 < 3)}</article>") for i in range(20)]
+    assert texts(spark, pages, group_pages=3) == [f"own{i} text" for i in range(20)]
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None, None), (2, "http://a.org/", ""), (None, None, "<p>no id</p>"), (3, "x", "plain & text &lt;b&gt; 1 < 2"), (3, "x", "plain"), (3, "x", "plain"),
