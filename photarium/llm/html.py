@@ -7,7 +7,8 @@ other pages: runs of ``RUN`` tokens which stand on many distinct pages of the wh
 boilerplate. Tokens covered by such a run are removed, unique runs are kept.
 
 Inside a marked article a run must stand on most pages of the host to be removed: articles
-may quote or copy each other. Elsewhere a few pages are enough.
+may quote or copy each other. Elsewhere a few pages are enough. Pages of a host with the same
+blocks are one page in all counts.
 
 Runs are known by 64-bit hashes of host and tokens, and counted in two ways. On pages without an
 article all runs are counted. Within articles, a task sorts the suffixes of about ``GROUP_PAGES``
@@ -15,7 +16,7 @@ pages at a time; a run on a share of the host's pages has that share in some gro
 that reach it in any group are all that can, and those are counted over the whole host.
 
 Nulls and repeats: null or empty html has no text; pages without host are dealt like those of
-one host; the same page twice (same id and html) counts once.
+one host; a page without text stays empty.
 """
 
 from __future__ import annotations
@@ -269,7 +270,7 @@ def _candidates(group_pages: int):
 
 
 def main_text(found, host: int, inside: np.ndarray, outside: np.ndarray) -> str:
-    """A page's text without the given runs of articles and of other pages."""
+    """A page's text without the given runs of articles and of other pages. An article that is covered whole stays."""
     split = [b["text"].split(" ") for b in found]
     numbers = [b["article"] for b in found]
     words = [w for block in split for w in block]
@@ -280,6 +281,10 @@ def main_text(found, host: int, inside: np.ndarray, outside: np.ndarray) -> str:
     starts = np.isin(run_hashes(words, host), gone)
     for i in range(RUN):
         covered[i:i + len(starts)] |= starts
+    number = np.repeat(numbers, [len(b) for b in split])
+    for article in set(numbers) - {0}:
+        if covered[number == article].all():
+            covered[number == article] = False
     parts = np.split(covered, np.cumsum([len(b) for b in split])[:-1])
     return "\n\n".join(t for t in map(unique_runs, split, parts) if t)
 
@@ -294,8 +299,8 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
         for series in batches:
             yield pd.Series([[{"text": t, "article": a} for t, a in blocks(h)] for h in series])
 
-    key = F.xxhash64(F.col("html"), host_of(F.col("url")), *(F.col(f"`{c}`") for c in pages.columns if c.endswith("_id"))).alias("_page")
-    rows = settle(pages.select(*given, F.xxhash64(host_of(F.col("url"))).alias("_host"), key, parsed("html").alias("_blocks")), "html-blocks")
+    rows = settle(pages.select(*given, F.xxhash64(host_of(F.col("url"))).alias("_host"), parsed("html").alias("_blocks")), "html-blocks")
+    rows = rows.withColumn("_page", F.xxhash64("_host", "_blocks"))
     texts = rows.select("_host", "_page", "_blocks")
     marked = F.exists("_blocks", lambda b: b["article"] > 0)
     pair = "_host long, _page long, _run long"

@@ -71,6 +71,16 @@ def test_few_pages_of_a_hot_host(spark):
     assert texts(spark, pages, group_pages=3) == [f"own{i} text" for i in range(20)]
 
 
+def test_copies_of_an_article_count_once(spark):
+    copy = " ".join(f"w{i}" for i in range(80))
+    pages = [(f"http://h.org/{i}", f"<article>{copy if i < 10 else f'other{i} text'}</article>") for i in range(12)]
+    assert texts(spark, pages) == [copy] * 10 + ["other10 text", "other11 text"]
+    # An article of nothing but runs that other articles have stays; so does a page of which there are copies.
+    pages = [(f"http://h.org/{i}", f"<article>{copy}{f' end{i}' * (i > 0)}</article>") for i in range(12)]
+    assert texts(spark, pages)[0] == copy
+    assert texts(spark, [(f"http://h.org/{i}", f"<p>{copy}</p>") for i in range(4)]) == [copy] * 4
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None, None), (2, "http://a.org/", ""), (None, None, "<p>no id</p>"), (3, "x", "plain & text &lt;b&gt; 1 < 2"), (3, "x", "plain"), (3, "x", "plain"),
