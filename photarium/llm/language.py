@@ -12,7 +12,8 @@ Suffix and host counts are sums of the pages' own posteriors under text and mark
 aggregation over all pages; a page's own share is taken out of the counts it is judged by.
 
 The trigram model is fitted on a bounded sample of labelled documents: at most ``TRAIN_DOCS``
-of each language, those with the smallest hash of their id, at most ``TRAIN_CHARS`` each.
+of each language, those with the smallest hash of their id, with their whole texts. Tasks count
+their trigrams, added up by language and trigram.
 
 Nulls and repeats: a null or empty html leaves suffix and host to decide; a missing host or
 suffix is a group of its own; repeated rows are pages like others. Without labelled documents
@@ -34,7 +35,6 @@ from photarium.llm.html import blocks
 from photarium.llm.urls import host_of
 
 TRAIN_DOCS = 300
-TRAIN_CHARS = 20_000
 GRAMS = 1 << 16
 SMOOTHING = 0.1
 TEMPER = 0.1
@@ -62,13 +62,40 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
     return names, np.log(counts / counts.sum(1, keepdims=True))
 
 
-def labelled_sample(docs: DataFrame, most: int = TRAIN_DOCS) -> pd.DataFrame:
-    """At most ``most`` documents of each language."""
+def _sampled(docs: DataFrame, most: int) -> DataFrame:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", "doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text")).alias("_at")
+        "lang", "doc_id", "text", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text")).alias("_at")
     )
     order = Window.partitionBy("lang").orderBy("_at", "doc_id", "text")
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).toPandas().sort_values(["lang", "_n"])
+    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+
+
+def labelled_sample(docs: DataFrame, most: int = TRAIN_DOCS) -> pd.DataFrame:
+    """At most ``most`` documents of each language, with whole texts."""
+    return _sampled(docs, most).toPandas().sort_values(["lang", "_n"])
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of trigrams by language; a language without any has a zero count of trigram 0."""
+    total: dict[str, np.ndarray] = {}
+    for pdf in batches:
+        for lang, text in zip(pdf["lang"], pdf["text"]):
+            own = total.setdefault(lang, np.zeros(GRAMS, dtype=np.int64))
+            own += np.bincount(gram_counts(text), minlength=GRAMS)
+    for lang, own in total.items():
+        grams = np.union1d(np.flatnonzero(own), [0]).astype(np.int64)
+        yield pd.DataFrame({"lang": lang, "gram": grams, "n": own[grams]})
+
+
+def fit_table(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+    """``fit`` on the sample, counted by tasks: at most ``GRAMS`` rows of each language come to the driver."""
+    counted = _sampled(docs, most).select("lang", "text").mapInPandas(_count, "lang string, gram long, n long")
+    found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(set(found["lang"]))
+    counts = np.full((len(names), GRAMS), SMOOTHING)
+    if names:
+        counts[np.searchsorted(names, list(found["lang"])), found["gram"].to_numpy()] += found["n"].to_numpy()
+    return names, np.log(counts / counts.sum(1, keepdims=True))
 
 
 def suffix_of(host: Column) -> Column:
@@ -101,15 +128,14 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """``pages`` without ``html``, with ``host``, ``suffix``, ``declared``, ``lang`` and ``score``, its posterior."""
     added = {"host", "suffix", "declared", "lang", "score", "html"}
     given = [c for c in pages.columns if c not in added]
-    sample = labelled_sample(docs)
+    names, table = fit_table(docs)
     columns = [F.col(f"`{c}`") for c in given]
     host = host_of(F.col("url"))
-    if sample.empty:
+    if not names:
         return pages.select(
             *columns, host.alias("host"), suffix_of(host).alias("suffix"), F.lit(None).cast("string").alias("declared"),
             F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("score"),
         )
-    names, table = fit(list(sample["text"]), list(sample["lang"]))
     n = len(names)
     rows = pages.select(*columns, host.alias("host"), _evidence(names, table)("html").alias("_e")).select(
         *columns, "host", suffix_of(F.col("host")).alias("suffix"), F.col("_e.declared").alias("declared"), F.col("_e.likelihood").alias("_text")

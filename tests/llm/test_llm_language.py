@@ -1,3 +1,4 @@
+import numpy as np
 from llm_cases import PAGES, documents, with_clashes
 
 from photarium.llm import language
@@ -43,3 +44,14 @@ def test_declared_languages_of_the_given_pages(spark):
 
     got = op4_language(spark, "/root/testdata/sf0.001").collect()
     assert sum(r["lang"] == r["declared"] for r in got) >= 0.95 * len(got)
+
+
+def test_training_texts_are_counted_whole(spark):
+    late = "x" * 30_000 + " zebra quagga"
+    docs = spark.createDataFrame([(1, late, "en"), (2, "y" * 10, "de"), (3, "", "fr")], "doc_id long, text string, lang string")
+    names, table = language.fit_table(docs)
+    whole = language.fit([late, "y" * 10, ""], ["en", "de", "fr"])
+    assert names == whole[0] == ["de", "en", "fr"] and np.allclose(table, whole[1])
+    gram = language.gram_counts("quagga")[2]
+    assert table[1, gram] > table[0, gram]
+    assert set(language.labelled_sample(docs)["text"]) == {late, "y" * 10, ""}
