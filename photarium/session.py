@@ -56,6 +56,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what is at a path of any storage Spark knows; nothing there is no error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 # Scratch paths to delete at the end of each open ``releasing`` block.
 _RELEASED: list[list[str]] = []
 
@@ -67,10 +73,8 @@ def releasing(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for path in _RELEASED.pop():
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            drop_path(spark, path)
 
 
 def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
