@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from photarium.llm import clustering, fill_middle
 from photarium.llm.mixing import LEAST_QUALITY, MOST_EPOCHS, SEED, SOURCE_WEIGHTS
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,4 +71,55 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
-ORACLES = {"op1_mixing": MIXING, "op9_near_dedup": NEAR_DEDUP, "op10_decontamination": DECONTAMINATION}
+FILL_MIDDLE = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u,
+         list_transform([1, 9, 17, 25], lambda p: CAST('0x' || substr(h, p, 8) AS BIGINT)) AS draw FROM docs),
+cuts AS (
+  SELECT *, len(u) AS n, least(draw[1] % (len(u) + 1), draw[2] % (len(u) + 1)) AS low, greatest(draw[1] % (len(u) + 1), draw[2] % (len(u) + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draw[3] % 100 >= {fill_middle.RATE}
+              THEN 'plain' WHEN draw[4] % 100 < {fill_middle.SPM} THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+parts AS (
+  SELECT *, array_to_string(u[1:low], '') AS prefix, array_to_string(u[low + 1:high], '') AS middle, array_to_string(u[high + 1:n], '') AS suffix
+  FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts"""
+
+
+def _clustering(dimensions: int, scale: int, k: int, rounds: int, seed: int) -> str:
+    """All rounds, one after the other: the nearest centroid of each vector, then the centroids' floor means."""
+    parts = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {dimensions}),
+drawn AS (SELECT x, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c FROM kept),
+centers0 AS MATERIALIZED (SELECT c, x FROM drawn WHERE c < {k})"""]
+    for t in range(rounds + 1):
+        parts.append(f"""
+near{t} AS MATERIALIZED (
+  SELECT rid, min(struct_pack(d := list_sum(list_transform(range(1, {dimensions + 1}), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))), c := c)) AS best
+  FROM kept a CROSS JOIN centers{t} b GROUP BY rid)""")
+        if t < rounds:
+            parts.append(f"""
+sums{t} AS (
+  SELECT best.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM near{t} JOIN kept USING (rid) CROSS JOIN range(1, {dimensions + 1}) AS dims(i) GROUP BY best.c, i),
+means{t} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM sums{t} GROUP BY c),
+centers{t + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM centers{t} o LEFT JOIN means{t} m ON o.c = m.c)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM near{rounds} JOIN kept USING (rid) JOIN centers{rounds} f ON f.c = best.c"""
+
+
+CLUSTERING = _clustering(clustering.DIMENSIONS, clustering.SCALE, clustering.CLUSTERS, clustering.ROUNDS, clustering.SEED)
+
+ORACLES = {
+    "op1_mixing": MIXING, "op9_near_dedup": NEAR_DEDUP, "op10_decontamination": DECONTAMINATION, "op12_fill_middle": FILL_MIDDLE,
+    "op13_clustering": CLUSTERING,
+}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from photarium.llm import (
-    decontamination, fingerprints, html, language, language_model, mixing, near_dedup, sharding, toxicity, urls,
+    bpe, clustering, decontamination, fill_middle, fingerprints, html, language, language_model, mixing, near_dedup,
+    sharding, toxicity, urls,
 )
 from photarium.llm.common import read
 from photarium.llm.oracles import ORACLES
@@ -67,11 +69,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(read(configure(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digest(read(configure(spark), sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and moved back."""
+    return fill_middle.digest(read(configure(spark), sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding."""
+    return clustering.digest(read(configure(spark), sf_dir, "embeddings"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_mixing, op2_toxicity, op3_fingerprints, op4_language, op5_url_filter, op6_language_model, op7_html,
-        op8_sharding, op9_near_dedup, op10_decontamination,
+        op8_sharding, op9_near_dedup, op10_decontamination, op11_bpe, op12_fill_middle, op13_clustering,
     )
 }
 
