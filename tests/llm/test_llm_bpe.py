@@ -3,7 +3,9 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -64,12 +66,12 @@ def test_digest_and_special_tokens(spark):
 
 
 def test_clashing_columns_and_lone_text(spark):
-    names = ["ids", "bytes", "row", "block", "at", "number", "word", "words", "places", "width", "of", "_salt", "_parts", "_facts"]
+    names = ["ids", "bytes", "row", "rows", "block", "at", "packed", "words", "dealt", "sizes", "slice", "of", "none"]
     tokens = bpe.encode(with_clashes(documents(spark), *names), RANKS, public_tokenizers.PATTERN)
     found = bpe.decode(tokens, RANKS)
     assert sorted(found.columns) == sorted([*{"doc_id", "lang", "source", "n_chars", *names}])
     assert Counter(bytes(r["bytes"]) for r in found.collect()) == Counter((t or "").encode() for _, t, *_ in ROWS)
-    assert {r["word"] for r in found.collect()} == {"clash of word"}
+    assert {r["words"] for r in found.collect()} == {"clash of words"}
     alone = bpe.encode(documents(spark).select("text"), RANKS, public_tokenizers.PATTERN)
     assert alone.columns == ["ids"] and alone.count() == len(ROWS)
 
@@ -83,12 +85,28 @@ def test_empty_table_and_null_ids(spark):
     }
 
 
-def test_a_hot_word_is_encoded_once(spark, monkeypatch):
-    """A word of every document is dealt out, and is still whole and in place."""
-    monkeypatch.setattr(bpe.lookup, "__defaults__", (5,))
-    docs = documents(spark, [(i, f"the {i} the", "en", "a", 1) for i in range(60)]).repartition(8)
+def test_a_word_of_every_document(spark, monkeypatch):
+    """Blocks of single documents, whose words meet by slice and salt, and a task that forgets words."""
+    monkeypatch.setattr(bpe, "SALT_PARTITIONS", 3)
+    docs = documents(spark, [(i, f"the {i} the {'!' * i}", "en", "a", 1) for i in range(60)]).repartition(8)
     found = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, 1).select("doc_id", "ids").collect()
-    assert {r["doc_id"]: r["ids"] for r in found} == {i: expected(f"the {i} the") for i in range(60)}
+    assert {r["doc_id"]: r["ids"] for r in found} == {i: expected(f"the {i} the {'!' * i}") for i in range(60)}
+
+
+def test_words_are_encoded_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(bpe, "encode_word", lambda word, known: calls.append(word) or [len(word)])
+    packed = [bpe.ZstdCompressor().compress(words) for words in (b"ab\xffc", b"ab")]
+    batch = pa.RecordBatch.from_pydict({"block": [1, 2], "slice": pa.array([5, 5], pa.int32()), "packed": packed})
+    out = [r for b in bpe._encode(RANKS)(iter([batch, batch.slice(1)])) for r in b.to_pylist()]
+    assert sorted(calls) == [b"ab", b"c"]
+    assert [bpe.unpacked(r["packed"]).tolist() for r in out] == [[2, 1, 1, 2, 1], [1, 1, 2], [1, 1, 2]]
+
+
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300)))
+@settings(max_examples=200, deadline=None)
+def test_packed_numbers(numbers):
+    assert bpe.unpacked(bpe.packed(np.array(numbers, dtype=np.uint32))).tolist() == numbers
 
 
 def test_plan_shuffles_no_text(spark):
