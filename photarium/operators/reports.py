@@ -9,6 +9,7 @@ from photarium.functions import units
 from photarium.functions.errors import UnknownAlgorithm
 from photarium.operators.algorithms import algorithm
 from photarium.operators.latest import active, latest_hashes, latest_stats
+from photarium.operators.lookup import HOT_ROWS, lookup
 
 TOP_GROUPS = 50
 
@@ -85,3 +86,27 @@ def duplicates_report(hashes: DataFrame, stats: DataFrame, hash_name: str, limit
             "file_count", "total_size", units.mib(wasted).alias("wasted_mib"),
         )
     )
+
+
+def duplicate_members(hashes: DataFrame, files: DataFrame, hash_name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every file of the duplicate groups: ``hash_value``, ``file_count``, ``file_id``, ``path``, ``size_bytes``, ``is_keeper``.
+
+    ``files`` is the view of files with their latest state. The keeper of a group is its oldest file
+    by mtime; of equally old ones the one with the first path, then the smallest id. It is the
+    smallest struct of these, so a group is reduced in every task before the shuffle by digest, and
+    the digests of large groups are dealt out when keepers are joined back.
+    """
+    if not algorithm(hash_name).lists_duplicates:
+        raise UnknownAlgorithm(hash_name)
+    newest = latest_hashes(hashes.select("file_id", "stat_id", "hash_name", "hash_value", "computed_at"), hash_name)
+    digests = newest.filter(F.col("hash_value").isNotNull()).select("file_id", "hash_value")
+    present = active(files).select(F.col("id").alias("file_id"), "path", "size_bytes", "mtime_secs", "mtime_nanos")
+    members = digests.join(present, "file_id")
+    oldest = F.min(F.struct("mtime_secs", "mtime_nanos", "path", "file_id"))
+    groups = (
+        members.groupBy("hash_value").agg(F.count(F.lit(1)).alias("file_count"), oldest["file_id"].alias("_keeper"))
+        .filter(F.col("file_count") > 1)
+    )
+    return lookup(members, groups, "hash_value", hot_rows).select(
+        "hash_value", "file_count", "file_id", "path", "size_bytes", (F.col("file_id") == F.col("_keeper")).alias("is_keeper")
+    )

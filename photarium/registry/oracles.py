@@ -143,6 +143,18 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT left_id, right_id,
                CAST(list_sum(list_transform(range(1, 65), lambda i: abs(l.b[i] - r.b[i]))) AS INTEGER) AS distance
         FROM pair_list JOIN edit_bits l ON l.file_id = left_id JOIN edit_bits r ON r.file_id = right_id"""),
+    "linked": (["pair_distance"], """
+        SELECT left_id AS x, right_id AS y FROM pair_distance WHERE distance < 10
+        UNION SELECT right_id, left_id FROM pair_distance WHERE distance < 10"""),
+    "reach": (["linked"], "SELECT x, x AS y FROM linked UNION SELECT r.x, e.y FROM reach r JOIN linked e ON r.y = e.x"),
+    "edit_prints": (["edit_bits"], """
+        SELECT file_id, list_sum(list_transform(range(64), lambda i: CASE WHEN b[i + 1] = 0 THEN 0::HUGEINT
+                 WHEN i = 63 THEN -(1::HUGEINT << 63) ELSE 1::HUGEINT << i END))::BIGINT AS print
+        FROM edit_bits"""),
+    "print_groups": (["edit_prints"], """
+        SELECT print, min(file_id) AS match_id, count(*) AS matches, min(file_id) FILTER (WHERE file_id % 100 = 0) AS query_id,
+               count(*) FILTER (WHERE file_id % 100 = 0) AS queries
+        FROM edit_prints GROUP BY print"""),
     "part_tags": ([], """
         SELECT p_partkey AS file_id, 'exif' AS namespace, 'ISOSpeedRatings' AS tag, CAST(p_size AS VARCHAR) AS value FROM part
         UNION ALL SELECT p_partkey, 'exif', 'BitsPerSample', '[' || p_size || ', ' || (p_partkey % 256) || ', 8]' FROM part
@@ -216,7 +228,7 @@ def sql(body: str, *views: str) -> str:
         need(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered) + "\n" + body
 
 
 def _without_hash(name: str, extra: str = "") -> str:
@@ -404,6 +416,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN distance = 0 THEN 'identical' WHEN distance < 10 THEN 'likely_same' ELSE 'different' END AS verdict
         FROM pair_distance""", "pair_distance"),
     "near_dupes": sql("SELECT left_id, right_id, distance FROM pair_distance WHERE distance < 10", "pair_distance"),
+    "near_dupe_clusters": sql("SELECT x AS file_id, min(y) AS cluster_id FROM reach GROUP BY x", "reach"),
+    "hamming_search": sql("""
+        SELECT q.query_id, c.match_id, CAST(bit_count(xor(q.print, c.print)) AS INTEGER) AS distance, q.queries, c.matches
+        FROM print_groups q JOIN print_groups c ON q.queries > 0 AND bit_count(xor(q.print, c.print)) < 10""", "print_groups"),
+    "print_classes": sql("SELECT file_id, match_id AS class_id FROM edit_prints JOIN print_groups USING (print)", "print_groups"),
+    "dupe_members": sql("""
+        SELECT hash_value, file_count, file_id, path, size_bytes, rn = 1 AS is_keeper
+        FROM (SELECT sha256(text) AS hash_value, f.id AS file_id, path, f.size_bytes,
+                     count(*) OVER (PARTITION BY sha256(text)) AS file_count,
+                     row_number() OVER (PARTITION BY sha256(text) ORDER BY mtime_secs, mtime_nanos, path, f.id) AS rn
+              FROM documents d JOIN tree_files f ON f.id = d.doc_id + 1 WHERE NOT f.is_missing)
+        WHERE file_count > 1""", "tree_files"),
     "scan_run_status": sql("""
         SELECT run_id AS id,
                arg_min(scan_level, event_time) FILTER (WHERE event = 'started') AS scan_level,

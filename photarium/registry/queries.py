@@ -333,6 +333,15 @@ def dupes_content(spark, sf_dir):
     return reports.duplicates_report(log, a.picture_stats(spark, sf_dir), "content_blake3")
 
 
+@query
+def dupe_members(spark, sf_dir):
+    """All present documents that share their bytes with others, and which of each group to keep."""
+    log = hashing.compute(a.tree_contents(spark, sf_dir), "blake3").select(
+        "file_id", F.col("file_id").alias("stat_id"), "hash_name", "hash_value", a.at(a.FIRST_SCAN).alias("computed_at")
+    )
+    return reports.duplicate_members(log, _tree_files(spark, sf_dir), "blake3")
+
+
 # --- metadata --------------------------------------------------------------------------
 
 
@@ -453,6 +462,31 @@ def near_dupes(spark, sf_dir):
     return similarity.near_copies(pairs, log, "phash").select("left_id", "right_id", "distance")
 
 
+@query
+def near_dupe_clusters(spark, sf_dir):
+    """Clusters of pictures that the likely copies among the given pairs connect."""
+    return similarity.clusters(near_dupes(spark, sf_dir))
+
+
+def _edited_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean hash of every edited picture, whose copies with the same pixels have the same."""
+    value = fingerprints.mean_hash(F.col("grid"), 8, 8)
+    grids = a.edited_pictures(spark, sf_dir).select("file_id", media.brightness_grid(8, 8)("image").alias("grid"))
+    return grids.select("file_id", value.alias("print"))
+
+
+@query
+def hamming_search(spark, sf_dir):
+    """Pictures whose number 100 divides, against all: classes of equal prints below the distance of likely copies."""
+    return similarity.search(_edited_prints(spark, sf_dir), F.col("file_id") % 100 == 0)
+
+
+@query
+def print_classes(spark, sf_dir):
+    """The class of equal prints of every picture."""
+    return similarity.print_classes(_edited_prints(spark, sf_dir))
+
+
 # --- runs ------------------------------------------------------------------------------
 
 
