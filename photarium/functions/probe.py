@@ -15,32 +15,49 @@ STREAM_FIELDS = (
     "codec_type", "codec_name", "width", "height", "r_frame_rate", "sample_rate", "channels",
 )
 
-_SCHEMA = "struct<format: struct<{}, tags: variant>, streams: array<struct<{}>>>".format(
-    ", ".join(f"{name}: variant" for name in FORMAT_FIELDS),
-    ", ".join(f"{name}: variant" for name in STREAM_FIELDS),
-)
-_TAG_TEXTS = "struct<format: struct<tags: map<string, string>>>"
+_FORMAT = "format: struct<{}{{}}>".format(", ".join(f"{name}: variant" for name in FORMAT_FIELDS))
+_STREAMS = "streams: array<struct<{}>>".format(", ".join(f"{name}: variant" for name in STREAM_FIELDS))
+_TAGS = "format: struct<tags: variant>"
+_TAG_TEXTS = "format: struct<tags: map<string, string>>"
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def _parsed(document: Column, schema: str) -> Column:
+    return F.from_json(F.when(document.rlike(r"^\s*\{"), document), f"struct<{schema}>", _STRICT_JSON)
+
+
 def parse(document: Column) -> Column:
-    """The parts of a document that entries come from; NULL parts where it is no JSON object.
+    """All parts of a document that entries come from; NULL where it is no JSON object."""
+    return _parsed(document, f"{_FORMAT.format(', tags: variant')}, {_STREAMS}")
+
+
+def parse_format(document: Column) -> Column:
+    """The format's fields alone, as ``format`` of a struct."""
+    return _parsed(document, _FORMAT.format(""))
+
+
+def parse_tags(document: Column) -> Column:
+    """The format's tags alone, as ``format.tags`` of a struct."""
+    return _parsed(document, _TAGS)
+
+
+def parse_streams(document: Column) -> Column:
+    """The streams alone, as ``streams`` of a struct."""
+    return _parsed(document, _STREAMS)
+
+
+def tag_texts(document: Column) -> Column:
+    """(key, value) for each of the format's tags, with what the value reads like.
 
-    Tags become (key, value, text) entries: a VARIANT keeps the last of repeated keys and the
-    kind of each value; the text is what a value reads like, which a VARIANT does not keep for
-    fractions inside of objects and arrays.
+    A VARIANT keeps the last of repeated keys and the kind of each value, but not how fractions
+    inside of objects and arrays are written; this does.
     """
-    whole = F.when(document.rlike(r"^\s*\{"), document)
-    parsed = F.from_json(whole, _SCHEMA, _STRICT_JSON)
-    texts = F.map_entries(F.from_json(whole, _TAG_TEXTS, _STRICT_JSON)["format"]["tags"])
-    tags = F.map_entries(parsed["format"]["tags"].try_cast("map<string, variant>"))
+    return F.map_entries(_parsed(document, _TAG_TEXTS)["format"]["tags"])
 
-    def entry(tag: Column) -> Column:
-        last = F.try_element_at(F.filter(texts, lambda t: t["key"] == tag["key"]), F.lit(-1))
-        return F.struct(tag["key"].alias("key"), tag["value"].alias("value"), last["value"].alias("text"))
 
-    own = [parsed["format"][name].alias(name) for name in FORMAT_FIELDS]
-    return F.struct(F.struct(*own, F.transform(tags, entry).alias("tags")).alias("format"), parsed["streams"].alias("streams"))
+def tag_values(tags: Column) -> Column:
+    """(key, value) for each of the format's tags, which are a VARIANT."""
+    return F.map_entries(tags.try_cast("map<string, variant>"))
 
 
 def _text(value: Column) -> Column:
@@ -60,18 +77,20 @@ def _number_text(number: Column) -> Column:
     return F.when((size == 0) | ((size >= 1e-5) & (size < 1e16)), plain).otherwise(scientific)
 
 
-def any_text(value: Column, text: Column) -> Column:
-    """Text values as they are, anything else as JSON text; ``text`` is what the value reads like.
+def any_text(key: Column, value: Column, texts: Column) -> Column:
+    """Text values as they are, anything else as JSON text; ``texts`` are the document's ``tag_texts``.
 
-    Objects have their keys in order, unless a fraction is in them: then they stay as written.
+    Objects have their keys in order, unless a fraction is in them: then they stay as written,
+    and only then is the tag looked up in ``texts``.
     """
     kind = F.schema_of_variant(value)
     holds_fraction = kind.rlike("^(OBJECT|ARRAY).*(DOUBLE|DECIMAL)")
     is_fraction = (kind == "DOUBLE") | kind.startswith("DECIMAL")
+    last = F.try_element_at(F.filter(texts, lambda t: t["key"] == key), F.lit(-1))
     return (
         F.when(kind == "STRING", value.cast("string"))
         .when(is_fraction, _number_text(F.try_variant_get(value, "$", "double")))
-        .when(holds_fraction, text)
+        .when(holds_fraction, last["value"])
         .otherwise(F.to_json(value))
     )
 
@@ -85,9 +104,9 @@ def format_entries(fmt: Column) -> Column:
     return F.array(*[_entry("video", F.lit(name), _text(fmt[name])) for name in FORMAT_FIELDS])
 
 
-def tag_entries(fmt: Column) -> Column:
+def tag_entries(tags: Column, texts: Column) -> Column:
     """One entry per key of the format's tags object."""
-    return F.transform(fmt["tags"], lambda t: _entry("video_tag", t["key"], any_text(t["value"], t["text"])))
+    return F.transform(tag_values(tags), lambda t: _entry("video_tag", t["key"], any_text(t["key"], t["value"], texts)))
 
 
 def stream_entries(stream: Column, position: Column) -> Column:

@@ -10,6 +10,8 @@ evaluate the exploded expression - here the parsed document - a second time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,32 +41,38 @@ def exif_rows(tags: DataFrame) -> DataFrame:
     )
 
 
-def _parsed(probes: DataFrame) -> tuple[DataFrame, list[str]]:
+def _parsed(probes: DataFrame, **parts: Callable[[Column], Column]) -> tuple[DataFrame, list[str]]:
+    """Each document's parts as columns, computed once, in place of the document."""
     kept = _kept(probes, "probe_json")
-    return probes.select(*kept, probe.parse(F.col("probe_json")).alias("_probe")), kept
+    return probes.select(*kept, *(parse(F.col("probe_json")).alias(name) for name, parse in parts.items())), kept
+
+
+def _entries(rows: DataFrame, kept: list[str], entries: Column) -> DataFrame:
+    """One row per entry that has a value."""
+    return rows.select(*kept, F.inline_outer(entries)).filter(F.col("value").isNotNull())
 
 
 def format_rows(probes: DataFrame) -> DataFrame:
     """Format fields of each ``probe_json``; documents that are no JSON give none."""
-    parsed, kept = _parsed(probes)
-    rows = parsed.select(*kept, F.inline(probe.format_entries(F.col("_probe.format"))))
-    return rows.filter(F.col("value").isNotNull())
+    parsed, kept = _parsed(probes, _probe=probe.parse_format)
+    return _entries(parsed, kept, probe.format_entries(F.col("_probe.format")))
 
 
 def format_tag_rows(probes: DataFrame) -> DataFrame:
     """Format tags of each ``probe_json``."""
-    parsed, kept = _parsed(probes)
-    tags = parsed.select(*kept, F.explode_outer("_probe.format.tags").alias("_tag")).filter(F.col("_tag").isNotNull())
-    value = probe.any_text(F.col("_tag.value"), F.col("_tag.text"))
-    return tags.select(*kept, F.lit("video_tag").alias("namespace"), F.col("_tag.key").alias("tag"), value.alias("value"))
+    parsed, kept = _parsed(probes, _probe=probe.parse_tags, _texts=probe.tag_texts)
+    tags = parsed.select(*kept, "_texts", F.explode_outer(probe.tag_values(F.col("_probe.format.tags"))).alias("_tag"))
+    value = probe.any_text(F.col("_tag.key"), F.col("_tag.value"), F.col("_texts"))
+    return tags.filter(F.col("_tag").isNotNull()).select(
+        *kept, F.lit("video_tag").alias("namespace"), F.col("_tag.key").alias("tag"), value.alias("value")
+    )
 
 
 def stream_rows(probes: DataFrame) -> DataFrame:
     """Stream fields of each ``probe_json``."""
-    parsed, kept = _parsed(probes)
+    parsed, kept = _parsed(probes, _probe=probe.parse_streams)
     streams = parsed.select(*kept, F.posexplode_outer("_probe.streams").alias("_position", "_stream"))
-    rows = streams.filter(F.col("_position").isNotNull()).select(*kept, F.inline(probe.stream_entries(F.col("_stream"), F.col("_position"))))
-    return rows.filter(F.col("value").isNotNull())
+    return _entries(streams.filter(F.col("_position").isNotNull()), kept, probe.stream_entries(F.col("_stream"), F.col("_position")))
 
 
 def probe_rows(probes: DataFrame) -> DataFrame:
@@ -73,21 +81,20 @@ def probe_rows(probes: DataFrame) -> DataFrame:
     A document becomes one row for its format, in the place of an empty stream put in front,
     and one per stream.
     """
-    parsed, kept = _parsed(probes)
+    parsed, kept = _parsed(probes, _probe=probe.parse, _texts=probe.tag_texts)
     no_stream = F.array(F.lit(None))
     parts = parsed.select(
-        *kept, F.col("_probe.format").alias("_format"),
+        *kept, "_texts", F.col("_probe.format").alias("_format"),
         F.posexplode_outer(F.concat(no_stream, F.coalesce("_probe.streams", F.array()))).alias("_part", "_stream"),
     )
-    is_format = F.col("_part") == 0
     entries = F.when(
-        is_format,
+        F.col("_part") == 0,
         F.concat(
             probe.format_entries(F.col("_format")),
-            F.coalesce(probe.tag_entries(F.col("_format")), F.array()),
+            F.coalesce(probe.tag_entries(F.col("_format.tags"), F.col("_texts")), F.array()),
         ),
     ).otherwise(probe.stream_entries(F.col("_stream"), F.col("_part") - 1))
-    return parts.select(*kept, F.inline(entries)).filter(F.col("value").isNotNull())
+    return _entries(parts, kept, entries)
 
 
 def dispatch(files: DataFrame, tags: DataFrame, probes: DataFrame, key: str = "file_id") -> DataFrame:
