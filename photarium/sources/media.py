@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -20,6 +21,8 @@ from photarium.session import settle
 CHUNK_BYTES = 1024 * 1024
 TASK_BYTES = 8 * 1024 ** 3
 TASK_FILES = 100_000
+# Bytes of pixels that are worked on together; a larger picture alone.
+STACK_BYTES = 8 * 1024 ** 2
 # Rec. 709 luma weights for red, green, blue, in ten-thousandths.
 LUMA_WEIGHTS = (2126, 7152, 722)
 
@@ -149,37 +152,54 @@ def image_hashes(work: DataFrame, folder: str, content: Column, compute: Callabl
     )
 
 
-def _pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """Row-major (height, width, 4) RGBA bytes from BGR, BGRA or gray rows."""
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
-    rgba = np.full((height, width, 4), 255, dtype=np.uint8)
-    if channels == 1:
-        rgba[..., :3] = raw
+def _pixels(data: np.ndarray) -> np.ndarray:
+    """RGBA bytes (pictures, height, width, 4) from BGR, BGRA or gray ones."""
+    rgba = np.full((*data.shape[:3], 4), 255, dtype=np.uint8)
+    if data.shape[3] == 1:
+        rgba[..., :3] = data
     else:
-        rgba[..., :3] = raw[..., 2::-1]
-        if channels == 4:
-            rgba[..., 3] = raw[..., 3]
+        rgba[..., :3] = data[..., 2::-1]
+        if data.shape[3] == 4:
+            rgba[..., 3] = data[..., 3]
     return rgba
 
 
+def _stacks(image: pd.DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Rows of one size and their RGBA pixels, about ``STACK_BYTES`` at a time; rows without pixels are left out."""
+    same: dict[tuple[int, int, int], list[int]] = {}
+    columns = [image[name].tolist() for name in ("data", "height", "width", "nChannels")]
+    for row, (data, *shape) in enumerate(zip(*columns)):
+        if data is not None:
+            same.setdefault(tuple(map(int, shape)), []).append(row)
+    for shape, rows in same.items():
+        step = max(1, STACK_BYTES // max(1, 4 * shape[0] * shape[1]))
+        for at in range(0, len(rows), step):
+            part = rows[at:at + step]
+            raw = np.frombuffer(b"".join(columns[0][i] for i in part), dtype=np.uint8)
+            yield part, _pixels(raw.reshape(len(part), *shape))
+
+
 def _luma(rgba: np.ndarray) -> np.ndarray:
     """Whole-number brightness of each pixel."""
-    return rgba[..., :3].astype(np.int64) @ np.array(LUMA_WEIGHTS) // 10_000
+    red, green, blue = (rgba[..., i].astype(np.int32) * LUMA_WEIGHTS[i] for i in range(3))
+    return (red + green + blue) // 10_000
+
+
+@lru_cache(maxsize=64)
+def _shares(cells: int, pixels: int) -> np.ndarray:
+    """The share of each pixel of a line in each cell laid over it."""
+    edges = np.arange(cells + 1) * (pixels / cells)
+    left = np.maximum(edges[:-1, None], np.arange(pixels)[None, :])
+    right = np.minimum(edges[1:, None], np.arange(pixels)[None, :] + 1)
+    return np.clip(right - left, 0, None) * (cells / pixels)
 
 
 def area_mean(gray: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Mean brightness of each cell of a ``height`` x ``width`` grid laid over the image.
+    """Mean brightness of each cell of a ``height`` x ``width`` grid laid over an image or a stack of images.
 
     A source pixel that crosses a cell border counts by the share that lies inside.
     """
-
-    def shares(cells: int, pixels: int) -> np.ndarray:
-        edges = np.arange(cells + 1) * (pixels / cells)
-        left = np.maximum(edges[:-1, None], np.arange(pixels)[None, :])
-        right = np.minimum(edges[1:, None], np.arange(pixels)[None, :] + 1)
-        return np.clip(right - left, 0, None) * (cells / pixels)
-
-    return shares(height, gray.shape[0]) @ gray @ shares(width, gray.shape[1]).T
+    return _shares(height, gray.shape[-2]) @ gray @ _shares(width, gray.shape[-1]).T
 
 
 def pixel_digest(hasher: Callable[[], Any] = hashlib.sha256):
@@ -187,13 +207,12 @@ def pixel_digest(hasher: Callable[[], Any] = hashlib.sha256):
 
     @F.pandas_udf(T.StringType())
     def digest(image: pd.DataFrame) -> pd.Series:
-        columns = (image["data"], image["height"], image["width"], image["nChannels"])
-        out = []
-        for data, h, w, c in zip(*columns):
-            own = hasher()
-            if data is not None:
-                own.update(_pixels(data, int(h), int(w), int(c)).tobytes())
-            out.append(None if data is None else own.hexdigest())
+        out: list[str | None] = [None] * len(image)
+        for rows, rgba in _stacks(image):
+            for row, pixels in zip(rows, rgba):
+                own = hasher()
+                own.update(pixels.tobytes())
+                out[row] = own.hexdigest()
         return pd.Series(out, dtype=object)
 
     return digest
@@ -202,11 +221,11 @@ def pixel_digest(hasher: Callable[[], Any] = hashlib.sha256):
 @F.pandas_udf(T.BinaryType())
 def rgba_bytes(image: pd.DataFrame) -> pd.Series:
     """Pixels as RGBA bytes, whatever the file's own pixel layout and metadata."""
-    columns = (image["data"], image["height"], image["width"], image["nChannels"])
-    return pd.Series([
-        None if data is None else _pixels(data, int(h), int(w), int(c)).tobytes()
-        for data, h, w, c in zip(*columns)
-    ])
+    out: list[bytes | None] = [None] * len(image)
+    for rows, rgba in _stacks(image):
+        for row, pixels in zip(rows, rgba):
+            out[row] = pixels.tobytes()
+    return pd.Series(out, dtype=object)
 
 
 def brightness_grid(width: int, height: int):
@@ -214,11 +233,11 @@ def brightness_grid(width: int, height: int):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def grid(image: pd.DataFrame) -> pd.Series:
-        columns = (image["data"], image["height"], image["width"], image["nChannels"])
-        return pd.Series([
-            None if data is None
-            else area_mean(_luma(_pixels(data, int(h), int(w), int(c))), width, height).ravel()
-            for data, h, w, c in zip(*columns)
-        ])
+        out: list[np.ndarray | None] = [None] * len(image)
+        for rows, rgba in _stacks(image):
+            grids = area_mean(_luma(rgba), width, height).reshape(len(rows), -1)
+            for row, cells in zip(rows, grids):
+                out[row] = cells
+        return pd.Series(out, dtype=object)
 
     return grid
