@@ -251,6 +251,18 @@ def _bits(comparisons: str, count: int) -> str:
     return f"CAST(CASE WHEN {total} >= (1::HUGEINT << 63) THEN {total} - (1::HUGEINT << 64) ELSE {total} END AS BIGINT)"
 
 
+def _tree_digest(leaf: int, fan: int, levels: int = 8) -> str:
+    """Digests of neighbours, level by level, while more than one is left."""
+    steps = ["""level0 AS (SELECT doc_id, strlen(text) AS size, list_transform(range(greatest(CAST(ceil(strlen(text) / {0}.0) AS BIGINT), 1)),
+               lambda i: sha256(array_slice(encode(text), i * {0} + 1, (i + 1) * {0}))) AS d FROM documents)""".format(leaf)]
+    for n in range(levels):
+        steps.append(f"""level{n + 1} AS (SELECT doc_id, size, CASE WHEN len(d) <= 1 THEN d ELSE list_transform(range((len(d) + {fan - 1}) // {fan}),
+               lambda j: CASE WHEN j * {fan} + 1 = len(d) THEN d[j * {fan} + 1]
+                              ELSE sha256(array_to_string(d[j * {fan} + 1:(j + 1) * {fan}], '')) END) END AS d FROM level{n})""")
+    return "WITH " + ",\n".join(steps) + f"""
+        SELECT doc_id + 1 AS file_id, CASE WHEN size IS NOT NULL THEN sha256(size || ':{leaf}:{fan}:' || d[1]) END AS digest FROM level{levels}"""
+
+
 def _log_entries(entries: str) -> str:
     return f"""
         SELECT e.file_id, l.stat_id, e.namespace, e.tag, e.value, TIMESTAMP '2024-02-01' AS extracted_at
@@ -359,6 +371,18 @@ ORACLES: dict[str, str] = {
         JOIN lib_files f ON NOT f.is_missing AND (n.hash_name = 'blake3' OR f.file_type = 'image')
         GROUP BY n.hash_name""", "lib_files", "lib_hashes"),
     "full_digest": "SELECT doc_id + 1 AS file_id, 'blake3' AS hash_name, sha256(text) AS hash_value FROM documents",
+    "file_versions": sql("""
+        SELECT file_id, version, root_dir, is_missing, first_seen, last_seen, observations, first_stat_id,
+               size - lag(size) OVER (PARTITION BY file_id ORDER BY version) AS size_delta
+        FROM (SELECT file_id, CAST(version AS BIGINT) AS version, any_value(root_dir) AS root_dir, any_value(is_missing) AS is_missing,
+                     min(observed_at) AS first_seen, max(observed_at) AS last_seen, count(*) AS observations,
+                     min(struct_pack(t := observed_at, s := stat_id)).s AS first_stat_id,
+                     min(struct_pack(t := observed_at, s := stat_id, b := size_bytes)).b AS size
+              FROM (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY observed_at, stat_id) AS version
+                    FROM (SELECT *, coalesce(lag(root_dir) OVER w = root_dir AND lag(is_missing) OVER w = is_missing, false) AS same
+                          FROM lib_stats WINDOW w AS (PARTITION BY file_id ORDER BY observed_at, stat_id)))
+              GROUP BY file_id, version)""", "lib_stats"),
+    "tree_digest": _tree_digest(256, 8),
     "content_digest": sql("SELECT file_id, 'content_blake3' AS hash_name, hash_value FROM pixel_digests", "pixel_digests"),
     "hash_scan_blake3": sql("""
         SELECT f.id AS file_id, f.stat_id, 'blake3' AS hash_name, sha256(d.text) AS hash_value,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.functions import bits, paths
-from photarium.operators import fingerprints, hashing, latest, metadata, observe, reports, similarity, worklist
+from photarium.operators import fingerprints, hashing, latest, metadata, observe, reports, similarity, versions, worklist
 from photarium.operators.algorithms import algorithm
 from photarium.plans import runs, scans
 from photarium.registry import adapters as a
@@ -124,6 +124,12 @@ def file_history(spark, sf_dir):
     )
 
 
+@query
+def file_versions(spark, sf_dir):
+    """Stretches of observations in which a file stays where it is and is there or missing."""
+    return versions.file_versions(a.library_stats(spark, sf_dir), ["root_dir", "is_missing"])
+
+
 @query
 def active_files(spark, sf_dir):
     """Files present at their latest observation."""
@@ -250,6 +256,17 @@ def full_digest(spark, sf_dir):
     return hashing.compute(a.tree_contents(spark, sf_dir), "blake3").select("file_id", "hash_name", "hash_value")
 
 
+# Leaves and groups small enough for documents to have trees of several levels.
+TREE_LEAF_BYTES, TREE_FAN = 256, 8
+
+
+@query
+def tree_digest(spark, sf_dir):
+    """Tree digest of every document's bytes."""
+    contents = a.tree_contents(spark, sf_dir)
+    return fingerprints.tree_digest(contents, "file_id", "content", TREE_LEAF_BYTES, TREE_FAN)
+
+
 @query
 def content_digest(spark, sf_dir):
     """Digest of every picture's pixels."""

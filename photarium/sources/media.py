@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photarium.functions.errors import HASH_DECODE_FAILED, IO_ERROR, error_text
+from photarium.operators import fingerprints
 from photarium.operators.numbering import number_rows
 from photarium.session import settle
 
 CHUNK_BYTES = 1024 * 1024
+LEAF_BYTES = 64 * 1024 ** 2
 TASK_BYTES = 8 * 1024 ** 3
 TASK_FILES = 100_000
 # Bytes of pixels that are worked on together; a larger picture alone.
@@ -37,6 +39,19 @@ def open_file(path: str):
     return open(path, "rb")
 
 
+def open_file_at(path: str, place: int):
+    """Binary stream of a file from a place in it on."""
+    if "://" in path:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        stream = system.open_input_file(inner)
+    else:
+        stream = open(path, "rb")
+    stream.seek(place)
+    return stream
+
+
 def create_file(path: str):
     """Binary stream to a new local path or URI; folders are made as needed."""
     if path.startswith("file:"):
@@ -102,6 +117,50 @@ def digest_files(work: DataFrame, hasher: Callable[[], Any] = hashlib.sha256) ->
     )
 
 
+def leaves(work: DataFrame, size: Column, leaf_bytes: int) -> DataFrame:
+    """``work`` with a row for each stretch of ``leaf_bytes`` of its contents: ``leaf`` counts from 0; an empty one has one."""
+    last = F.greatest(F.ceil(size / leaf_bytes).cast("bigint") - 1, F.lit(0).cast("bigint"))
+    return work.withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+
+
+def tree_digest_files(work: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """Tree digest of each file of a work-list (id, path, size_bytes), whose stretches are read by different tasks.
+
+    So a file of any size is no long task. A file that cannot be read, or is shorter than listed,
+    comes back with an error instead of a digest.
+    """
+    tasks = work.sparkSession.sparkContext.defaultParallelism
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, path, size, leaf in zip(*(batch[c] for c in ("id", "path", "size_bytes", "leaf"))):
+                own, left = hashlib.sha256(), min(leaf_bytes, size - leaf * leaf_bytes)
+                try:
+                    with open_file_at(path, int(leaf) * leaf_bytes) as stream:
+                        while left and (chunk := stream.read(min(CHUNK_BYTES, left))):
+                            own.update(chunk)
+                            left -= len(chunk)
+                    error = "shorter than listed" if left else None
+                except OSError as e:
+                    error = e.strerror or str(e)
+                message = error and f"{IO_ERROR}. path: {path} ({error})"
+                rows.append((file_id, size, leaf, None if error else own.hexdigest(), message))
+            yield pd.DataFrame(rows, columns=["id", "size_bytes", "leaf", "digest", "error_message"])
+
+    # Even shares of leaves, which are of one size but for the last of each file.
+    listed = leaves(work.select("id", "path", "size_bytes"), F.col("size_bytes"), leaf_bytes).repartition(4 * tasks, "id", "leaf")
+    read_leaves = settle(
+        listed.mapInPandas(read, "id bigint, size_bytes bigint, leaf bigint, digest string, error_message string"), "leaves"
+    )
+    failed = read_leaves.groupBy("id").agg(F.min("error_message").alias("error_message"))
+    digests = fingerprints.combine_leaves(read_leaves, "id", leaf_bytes)
+    lost = F.col("error_message").isNotNull()
+    return digests.join(failed, "id").select(
+        "id", F.when(~lost, F.col("digest")).alias("digest"), F.when(lost, F.lit(IO_ERROR)).alias("error_code"), "error_message"
+    )
+
+
 def stage_images(work: DataFrame, folder: str) -> DataFrame:
     """Copy each file of a work-list (id, path) to ``folder``, under its id; reports errors by id.
 
