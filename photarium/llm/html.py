@@ -2,9 +2,12 @@
 
 A page is cut into blocks of text. Markup decides what it can: menus, headers, footers,
 sidebars, forms, scripts and elements named as adverts, notices or comments go, and on a page
-that marks its article only that is kept. What markup leaves is checked against the host's
-other pages: runs of ``RUN`` tokens which stand on many distinct pages of the whole host are
-boilerplate. Tokens covered by such a run are removed, unique runs are kept.
+that marks its article only that is kept. A name is no reason to drop an element that holds the
+article or nearly all of the text around it, as layout classes on a page's frame do; nor are
+names that tell what a page has or lacks. Tags that HTML lets a page omit are implied. What markup
+leaves is checked against the host's other pages: runs of ``RUN`` tokens which stand on many
+distinct pages of the whole host are boilerplate. Tokens covered by such a run are removed, unique
+runs are kept.
 
 Inside a marked article a run must stand on most pages of the host to be removed: articles
 may quote or copy each other. Elsewhere a few pages are enough. Pages of a host with the same
@@ -16,7 +19,9 @@ pages at a time; a run on a share of the host's pages has that share in some gro
 that reach it in any group are all that can, and those are counted over the whole host.
 
 Nulls and repeats: null or empty html has no text; pages without host are dealt like those of
-one host; a page without text stays empty.
+one host; a page without text stays empty. Very long pages are cut like others. Of runs on equally
+many pages all go or stay. Given columns may have any name; ``html`` goes, and ``text`` and
+``n_chars`` are replaced.
 """
 
 from __future__ import annotations
@@ -45,92 +50,194 @@ ARTICLE_SHARE, ARTICLE_PAGES = 0.6, 10
 # Element names of HTML by their role.
 RAW = "script style noscript template textarea title iframe object svg math select".split()
 CHROME = "nav header footer aside form head button dialog menu".split() + RAW
+HEAD = "base link meta noscript script style template title".split()
 VOID = "area base br col embed hr img input link meta source track wbr param".split()
 INLINE = (
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr br input"
 ).split()
-# Words in class, id or role that name what is not the article.
-NAMED = set(
+# What a start tag ends: these elements, if none of those stands between.
+_CELL = ({"td", "th"}, {"tr", "table"})
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": _CELL, "th": _CELL,
+    "tr": ({"tr"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
+# Start tags that end an open paragraph.
+BLOCKS = set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr main menu nav ol p pre section table ul".split()
+)
+# Words in class, id or role that name what is not the article; readers' comments may be longer than it.
+READERS = set("comment comments commentlist disqus replies respond".split())
+NAMED = READERS | set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs masthead header footer sidebar aside widget related share sharing social newsletter subscribe subscription "
-    "cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus replies respond search login signup "
-    "copyright contentinfo complementary toolbar pagination pager skip alert disclaimer promoted commentlist".split()
+    "cookie cookies consent gdpr notice notices popup modal overlay search login signup "
+    "copyright contentinfo complementary toolbar pagination pager skip alert disclaimer promoted".split()
 )
+# Beginnings of class names that say what a page has or lacks, not what the element is.
+STATES = set("no not has have with without is js enable enabled disable disabled show hide".split())
+# An element that holds this share of the text it stands in is no side matter, whatever its name; comments need more.
+MOST, NEARLY_ALL = 0.8, 0.95
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>?", re.DOTALL
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>?", re.DOTALL
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PARTS = re.compile(r"[^a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 # White space separates words.
 _SPACE = re.compile(r"[\s\x00]+")
-
-
-def _named(attributes: str) -> bool:
-    """Whether class, id or role names something other than the article."""
-    for groups in _NAMES.findall(attributes):
-        words = _PARTS.split(_CAMEL.sub(" ", "".join(groups)).lower())
-        if not NAMED.isdisjoint(words):
-            return True
-    return False
+# What an element is: text, side matter by its tag, by its name, readers' comments, the article.
+PLAIN, CHROMED, CALLED, READERS_SAY, ARTICLE = range(5)
+
+
+def _kind(name: str, attributes: str) -> int:
+    """What class, id, role and tag say that an element is."""
+    kind = CHROMED if name in CHROME else ARTICLE if name in ("article", "main") else PLAIN
+    if not attributes or name in ("html", "body"):
+        return kind
+    for which, *groups in _NAMES.findall(attributes):
+        for word in "".join(groups).split():
+            if which.lower() == "role" and word.lower() in ("main", "article"):
+                return ARTICLE
+            parts = _PARTS.split(_CAMEL.sub(" ", word).lower())
+            if parts[0] in STATES and len(parts) > 1:
+                continue
+            if not READERS.isdisjoint(parts):
+                return READERS_SAY
+            if not NAMED.isdisjoint(parts) and kind != CHROMED:
+                kind = CALLED
+    return kind
+
+
+class _Page:
+    """Elements and pieces of text of a page, in order."""
+
+    def __init__(self, html: str):
+        self.names, self.parents, self.kinds = ["#page"], [0], [PLAIN]
+        self.pieces: list[tuple[int, str | None]] = []  # element and text; None ends a block
+        self.open = [0]
+        at = 0
+        while at < len(html):
+            tag = _TOKEN.search(html, at)
+            text = html[at:tag.start() if tag else len(html)]
+            if text:
+                self.pieces.append((self.open[-1], text))
+            if not tag:
+                break
+            at, name = tag.end(), (tag.group(2) or "").lower()
+            if not name:
+                continue
+            if name not in INLINE:
+                self.pieces.append((0, None))
+            elif name == "br":
+                self.pieces.append((self.open[-1], " "))
+            if tag.group(1):
+                self._end(name)
+                continue
+            self._imply_ends(name)
+            if name in VOID or tag.group(3).endswith("/"):
+                continue
+            if name in RAW:
+                end = _RAW_END[name].search(html, at)
+                at = end.end() if end else len(html)
+                continue
+            self.open.append(len(self.names))
+            self.names.append(name)
+            self.parents.append(self.open[-2])
+            self.kinds.append(_kind(name, tag.group(3)))
+
+    def _close(self, ended, across) -> None:
+        """End the innermost of some elements and all inside it, if only such as ``across`` takes stand between."""
+        for place in range(len(self.open) - 1, 0, -1):
+            name = self.names[self.open[place]]
+            if name in ended:
+                del self.open[place:]
+                return
+            if not across(name):
+                return
+
+    def _end(self, name: str) -> None:
+        if name in INLINE or name == "p":
+            self._close((name,), INLINE.__contains__)
+        elif name in ENDS:
+            limits = ENDS[name][1]
+            self._close((name,), lambda other: other not in limits)
+        else:
+            self._close((name,), lambda other: True)
+
+    def _imply_ends(self, name: str) -> None:
+        if name not in HEAD and self.names[self.open[-1]] == "head":
+            self.open.pop()
+        if name in BLOCKS:
+            self._close(("p",), INLINE.__contains__)
+        elif name in ENDS:
+            ended, limits = ENDS[name]
+            self._close(ended, lambda other: other not in limits)
+
+    def shown(self) -> tuple[list[bool], list[int]]:
+        """For each element whether its text is shown, and the number of the article it stands in (0: none)."""
+        n = len(self.names)
+        size = [0] * n
+        for element, text in self.pieces:
+            if text:
+                size[element] += len(text.strip())
+        held = [int(kind == ARTICLE) for kind in self.kinds]
+        for element in range(n - 1, 0, -1):
+            size[self.parents[element]] += size[element]
+            held[self.parents[element]] += held[element]
+        # Articles among readers' comments are comments, if there is another.
+        among = [False] * n
+        for element in range(1, n):
+            above = self.parents[element]
+            among[element] = among[above] or self.kinds[element] == READERS_SAY
+        real = sum(kind == ARTICLE and not a for kind, a in zip(self.kinds, among))
+        shown, number, within, articles = [True] * n, [0] * n, [0] * n, 0
+        for element in range(1, n):
+            above, kind, name = self.parents[element], self.kinds[element], self.names[element]
+            whole = size[within[above]]
+            if kind == READERS_SAY:
+                hides = real > 0 if held[element] else size[element] < NEARLY_ALL * whole or bool(number[above])
+            elif kind == CALLED:
+                hides = not held[element] and size[element] < MOST * whole
+            elif kind == CHROMED:
+                hides = name == "head" or not held[element] and not (name == "form" and size[element] >= MOST * whole)
+            else:
+                hides = False
+            shown[element] = shown[above] and not hides
+            number[element], within[element] = number[above], within[above]
+            begins = kind == ARTICLE or name == "article"
+            if begins and shown[element]:
+                if not number[above]:
+                    articles += 1
+                    number[element] = articles
+                within[element] = element
+        return shown, number
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
     """The text blocks that markup leaves, each with the number of its marked article, from 1; 0 is outside."""
     if not html:
         return []
+    page = _Page(html)
+    shown, number = page.shown()
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, hides its text, is an article
-    hidden = inside = articles = 0
-
-    def end_block() -> None:
-        block = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        if block:
-            out.append((block, articles if inside else 0))
-        text.clear()
-
-    at = 0
-    while at < len(html):
-        tag = _TOKEN.search(html, at)
-        if not hidden:
-            text.append(html[at:tag.start() if tag else len(html)])
-        if not tag:
-            break
-        at, name = tag.end(), (tag.group(2) or "").lower()
-        if not name:
-            continue
-        if name not in INLINE:
-            end_block()
-        elif name == "br":
-            text.append(" ")
-        if tag.group(1):
-            if any(entry[0] == name for entry in stack):
-                while True:
-                    closed, hides, article = stack.pop()
-                    hidden -= hides
-                    inside -= article
-                    if closed == name:
-                        break
-            continue
-        if name in VOID or tag.group(3).endswith("/"):
-            continue
-        if name in RAW:
-            end = _RAW_END[name].search(html, at)
-            at = end.end() if end else len(html)
+    article = 0
+    for element, piece in [*page.pieces, (0, None)]:
+        if piece is not None:
+            if shown[element]:
+                text.append(piece)
+                article = article or number[element]
             continue
-        article = name in ("article", "main")
-        if article:  # a menu that is never closed ends where the article begins
-            while stack and stack[-1][1] and stack[-1][0] in CHROME:
-                hidden -= stack.pop()[1]
-        hides = name in CHROME or (name not in ("html", "body", "article", "main") and _named(tag.group(3)))
-        articles += article and not inside
-        stack.append((name, hides, article))
-        hidden += hides
-        inside += article
-    end_block()
+        if text:
+            block = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+            if block:
+                out.append((block, article))
+            text.clear()
+        article = 0
     return [b for b in out if b[1]] if any(b[1] for b in out) else out
 
 
@@ -292,14 +399,15 @@ def main_text(found, host: int, inside: np.ndarray, outside: np.ndarray) -> str:
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars``."""
     added = {"text", "n_chars", "html"}
-    given = [F.col(f"`{c}`") for c in pages.columns if c not in added]
+    given = [c for c in pages.columns if c not in added]
 
     @F.pandas_udf("array<struct<text:string,article:int>>")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
             yield pd.Series([[{"text": t, "article": a} for t, a in blocks(h)] for h in series])
 
-    rows = settle(pages.select(*given, F.xxhash64(host_of(F.col("url"))).alias("_host"), parsed("html").alias("_blocks")), "html-blocks")
+    row = F.struct(*(F.col(f"`{c}`") for c in given)).alias("_given")
+    rows = settle(pages.select(row, F.xxhash64(host_of(F.col("url"))).alias("_host"), parsed("html").alias("_blocks")), "html-blocks")
     rows = rows.withColumn("_page", F.xxhash64("_host", "_blocks"))
     texts = rows.select("_host", "_page", "_blocks")
     marked = F.exists("_blocks", lambda b: b["article"] > 0)
@@ -335,5 +443,5 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
         for found in batches:
             yield pd.Series([main_text(b, h, *(none if r is None else np.asarray(r) for r in runs)) for b, h, *runs in zip(*found)], dtype=object)
 
-    out = joined.select(*given, cleaned("_blocks", "_host", "_inside", "_outside").alias("text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    out = joined.select("_given", cleaned("_blocks", "_host", "_inside", "_outside").alias("text"))
+    return out.select(*(F.col(f"_given.`{c}`") for c in given), "text", F.char_length("text").cast("bigint").alias("n_chars"))

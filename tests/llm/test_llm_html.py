@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from llm_cases import PAGES, with_clashes
 
 from photarium.llm import html
@@ -93,3 +94,82 @@ def test_odd_rows(spark):
     by_id = {r["page_id"]: r["text"] for r in got}
     assert by_id[2] == by_id[1] == by_id[6] == by_id[7] == "" and by_id[5].startswith("quote") and by_id[8] == "a\n\nb\n\nc"
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+REAL = "Real article text with quite a number of words in it."
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class='layout sidebar-left'><div id='sidebar'>Side menu</div><article>{}</article></div>",
+    "<body><div class='site header-fixed'><div class='header'>Top</div><article>{}</article></div>",
+    "<body><div class='layout sidebar-left'><p>{}</p></div>", "<body class='has-sidebar comments-open'><p>{}</p>",
+    "<body><div class='content no-sidebar'><p>{}</p></div><div class='sidebar'>Side</div>",
+    "<html><head><title>T</title><meta name=x><body><p>{}</p></body>", "<head><title>T</title><article>{}</article>",
+    "<html><head><title>T</title><style>p{{}}</style><div><article>{}</article></div>",
+    "<body><form action='/'><div><p>{}</p></div></form>", "<form><div><article>{}</article></div><input></form>",
+    "<main><p class='ad'>Buy<p>{}", "<!--><p>{}</p>", "<!---><p>{}</p>", "<!-- x --!><p>{}</p><!-- open",
+    "<article>{}</article><article class='comment-body'>I say so</article>", "<article class='related'>More of this</article><article>{}</article>",
+    "<article>{}</article><section id='comments'><article>One reader</article><article>Another reader says far more than the article itself says in all "
+    "of its words, and goes on and on and on about it</article></section>",
+    "<article>{}<div class='comments'>A reader says far more than the article itself does in all of its words, and goes on and on</div></article>",
+    "<nav>never closed<article>{}</article>", "<div role='main'>{}</div><div>elsewhere</div>", "<header><nav>Menu</nav></header><main>{}</main><footer>F</footer>",
+    "<ul class='nav'><li>A<li>B</ul><div>{}</div>", "<table><tr><td class='menu'>Menu<td>{}</table>", "<dl><dt class='ad'>Buy<dd>{}</dl>",
+    "<p>{}</p><div class='ad'>Buy</div><div class='x newsletter-signup'>Mail</div><div id='cookieNotice'>Cookies</div><aside>A</aside>",
+    "<article class='post no-comments'>{}</article>", "<div class='post-wrapper'><span class='ad'>Ad</span>{}</div>",
+])
+def test_markup_of_many_kinds(page):
+    assert html.blocks(page.format(REAL)) == [(REAL, html.blocks(page.format(REAL))[0][1])]
+
+
+def test_several_paragraphs_and_implied_ends():
+    page = "<main><p class='ad'>Buy<p>Real <b>one.<p>Real</b> two.<ul><li>a<li class=promo>b<li>c</ul><p>End</main>"
+    assert [t for t, _ in html.blocks(page)] == ["Real one.", "Real two.", "a", "c", "End"]
+    assert [t for t, _ in html.blocks("<p>1 <i>x<div>2</i></div></p>3")] == ["1 x", "2", "3"]
+
+
+def plain_runs(pages, least):
+    """Runs of eight words on at least so many distinct pages, by brute force."""
+    seen = {}
+    for text in set(pages):
+        words = text.split()
+        for i in range(len(words) - 7):
+            seen.setdefault(tuple(words[i:i + 8]), set()).add(text)
+    return {run for run, on in seen.items() if len(on) >= least}
+
+
+def test_extraction_without_articles_against_brute_force(spark):
+    """What the runs take away is what a plain search for repeated runs takes away; markup alone keeps it all."""
+    rng = np.random.default_rng(11)
+    common = [" ".join(f"c{k}w{j}" for j in range(8 + k)) for k in range(4)]
+    pages = []
+    for i in range(30):
+        parts = [" ".join(f"p{i}_{j}_{k}" for k in range(rng.integers(1, 12))) for j in range(4)]
+        for k, text in enumerate(common):
+            if rng.random() < (0.05, 0.1, 0.3, 0.9)[k]:
+                parts.insert(int(rng.integers(0, len(parts) + 1)), text)
+        pages.append(parts)
+    gone = plain_runs([" ".join(p) for p in pages], html.LEAST_PAGES)
+    expected, alone = [], []
+    for parts in pages:
+        words = " ".join(parts).split()
+        covered = [False] * len(words)
+        for i in range(len(words) - 7):
+            if tuple(words[i:i + 8]) in gone:
+                covered[i:i + 8] = [True] * 8
+        at, kept = 0, []
+        for part in parts:
+            own = part.split()
+            if not all(covered[at:at + len(own)]):
+                kept.append(part)
+            at += len(own)
+        expected.append("\n\n".join(kept))
+        alone.append("\n\n".join(parts))
+    got = texts(spark, [(f"http://b.org/{i}", "".join(f"<p>{t}</p>" for t in parts)) for i, parts in enumerate(pages)])
+    assert got == expected and got != alone
+
+
+def test_clashing_columns_of_all_steps(spark):
+    names = ["_host", "_blocks", "_page", "_run", "_given", "_inside", "_outside", "_pages", "_often", "_rows", "text"]
+    pages = with_clashes(spark.createDataFrame([(1, "http://a.org/", f"<p>{REAL}</p>")], PAGES), *names)
+    row = html.extract(pages).first()
+    assert row["text"] == REAL and all(row[n] == f"clash of {n}" for n in names[:-1])
