@@ -1,8 +1,11 @@
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 from llm_cases import LONG, documents, with_clashes
+from pyspark.sql import functions as F
 
 from photarium.llm import toxicity
 
@@ -21,8 +24,17 @@ def corpus(n, seed=1):
     return texts, np.array(toxic)
 
 
-def test_labels_of_documents_find_sentences():
-    model = toxicity.fit(*corpus(600))
+@pytest.fixture(scope="module")
+def model(spark):
+    return trained(spark, *corpus(750))
+
+
+def trained(spark, texts, toxic):
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    return toxicity.train(docs, spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int"))
+
+
+def test_labels_of_documents_find_sentences(model):
     texts, toxic = corpus(200, seed=9)
     for text, label in zip(texts, toxic):
         score, spans = model.score(text, {})
@@ -38,7 +50,7 @@ def test_scores_of_a_table(spark):
     labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
     sample = toxicity.training_sample(docs, labels)
     held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
-    assert len(sample) == 400 - len(held)
+    assert sample.count() == 400 - len(held)
     got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert {r["doc_id"] for r in got if r["held_out"]} == held
     assert all(r["predicted"] == toxic[r["doc_id"]] == (r["score"] >= 0.5) for r in got)
@@ -47,14 +59,75 @@ def test_scores_of_a_table(spark):
 
 
 def test_the_sample_is_bounded(spark):
-    docs = documents(spark, [(i, "x" * 100, "en", "a", 0) for i in range(100)])
-    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(1, 0), (2, None), (None, 1), (500, 1)], "doc_id long, toxic int")
-    assert len(toxicity.training_sample(docs, labels, most=10)) == 10
-    assert len(toxicity.training_sample(docs, labels, most_bytes=450)) == 4
+    docs = documents(spark, [(i, "x" * 100, "en", "a", 0) for i in range(1_000)])
+    labels = spark.createDataFrame([(i, 1) for i in range(1_000)] + [(1, 0), (2, None), (None, 1), (5_000, 1)], "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, labels, most=10).count() == 10
+    every = toxicity.training_sample(docs, labels).collect()
+    first = sorted(every, key=lambda r: (r["at"], r["doc_id"]))[:10]
+    assert {r["doc_id"] for r in toxicity.training_sample(docs, labels, most=10).collect()} == {r["doc_id"] for r in first}
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1_000))
+
+
+def test_features_against_brute_force(spark):
+    texts, toxic = corpus(300)
+    texts += [texts[0].upper(), texts[0] + " one more grumph."] * 5
+    toxic = list(toxic) + [1] * 10
+    sample = spark.createDataFrame(list(zip(texts, map(int, toxic))), "text string, toxic int")
+    label = {}
+    for text, bad in zip(texts, toxic):
+        for a, b in toxicity.sentences(text):
+            key = text[a:b].strip().lower()
+            label[key] = min(label.get(key, 1), int(bad))
+    share, counts = sum(label.values()) / len(label), {}
+    for sentence, bad in label.items():
+        for f in {f for w in toxicity._WORD.findall(sentence) for f in toxicity.word_features(w)}:
+            a, n = counts.get(f, (0, 0))
+            counts[f] = (a + bad, n + 1)
+    expected = []
+    for f, (a, n) in counts.items():
+        evidence = 2 * ((a * np.log(a / (n * share)) if a else 0) + ((n - a) * np.log((n - a) / (n * (1 - share))) if n > a else 0))
+        if evidence >= toxicity.LEAST_EVIDENCE and a >= toxicity.LEAST_SENTENCES and a > n * share:
+            expected.append(f)
+    assert toxicity.select(sample) == sorted(expected) and expected
+
+
+def test_scores_against_the_plain_formula(model):
+    """Noisy-or over sentences, each a logistic sum over its words, less the background."""
+    for text in corpus(120, seed=3)[0]:
+        none = 1.0
+        for start, end in toxicity.sentences(text):
+            logit = model.bias + sum(
+                model.weights.get(f, 0.0) for w in re.findall(r"\w+", text[start:end]) for f in toxicity.word_features(w.lower())
+            )
+            kept = min(1.0, (1 + np.exp(model.bias)) / (1 + np.exp(logit)))
+            none *= kept if 1 - kept >= toxicity.FLOOR else 1.0
+        assert abs(model.score(text, {})[0] - (1 - none)) < 1e-9
+
+
+def test_letters_whose_lower_case_is_longer(model):
+    for text in ("You GRUMPH there.", "You GRUMPH there. İstanbul", "İ you Grumph there.", "ẞ İİİ GRUMPH"):
+        score, spans = model.score(text, {})
+        assert score >= 0.5 and "GRUMPH" in text[spans[0][0]:spans[0][1]].upper()
+    mixed = [t.replace("grumph", "GrumPH").replace(".", " İ.") for t in corpus(60)[0]]
+    assert [model.score(t, {})[0] >= 0.5 for t in mixed] == [bool(b) for b in corpus(60)[1]]
+
+
+def test_one_very_long_labelled_text(spark):
+    """A labelled text of 60 MB is learned from like others, and takes nothing from them."""
+    texts, toxic = corpus(300)
+    plain = [s for t, label in zip(texts, toxic) if not label for s in t.split(". ")]
+    repeat = 60_000_000 // sum(len(s) + 2 for s in plain) + 1
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)]).unionByName(
+        documents(spark, [(1_001, ". ".join(plain), "en", "a", 0)]).withColumn("text", F.repeat(F.concat("text", F.lit(". ")), repeat))
+    )
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)] + [(1_001, 0)], "doc_id long, toxic int")
+    found = toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "predicted", F.length("text").alias("n")).collect()
+    assert max(r["n"] for r in found) >= 60_000_000
+    assert all(r["predicted"] == (toxic[r["doc_id"]] if r["doc_id"] < 300 else 0) for r in found)
 
 
 def test_odd_rows(spark):
-    docs = with_clashes(documents(spark), "score", "predicted", "offending", "held_out", "extra")
+    docs = with_clashes(documents(spark), "score", "predicted", "offending", "held_out", "extra", "row", "found", "at", "toxic", "bag")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for labels in (none, spark.createDataFrame([(1, 1), (4, 0), (8, 1)], "doc_id long, toxic int")):
         got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
@@ -64,13 +137,11 @@ def test_odd_rows(spark):
     assert toxicity.Model().score(LONG, {})[0] < 1
 
 
-def test_long_clean_texts_stay():
-    model = toxicity.fit(*corpus(600))
+def test_long_clean_texts_stay(model):
     texts, toxic = corpus(2_000, seed=4)
     plain = [s for t, label in zip(texts, toxic) if not label for s in t.split(". ")]
-    text = ". ".join((plain * 3)[:50_000])
-    assert len(toxicity.sentences(text)) == 50_000
-    for found in (model, toxicity.Model(), toxicity.Model({1: 5.0}, -9.0)):
-        assert found.score(text, {})[0] < 0.1
-    assert toxicity.Model().score(text, {}) == (0.0, [])
+    text = ". ".join((plain * 50)[:1_000_000])
+    assert len(toxicity.sentences(text)) == 1_000_000
+    assert model.score(text, {})[0] < 0.1 and toxicity.Model({1: 5.0}, -9.0).score(text[:10**6], {})[0] < 0.1
+    assert toxicity.Model().score(text[:10**6], {}) == (0.0, [])
     assert model.score(text + ". A grumphling again.", {})[0] >= 0.5
