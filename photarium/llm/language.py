@@ -16,8 +16,9 @@ of each language, those with the smallest hash of their id, with their whole tex
 their trigrams, added up by language and trigram.
 
 Nulls and repeats: a null or empty html leaves suffix and host to decide; a missing host or
-suffix is a group of its own; repeated rows are pages like others. Without labelled documents
-the result has null languages.
+suffix is a group of its own; repeated rows are pages like others; of equally likely languages the
+first by name wins. Very long pages count whole. Without labelled documents the result has null
+languages. Given columns may have any name; ``html`` goes, and the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from photarium.llm.common import settle
 from photarium.llm.html import blocks
 from photarium.llm.urls import host_of
+from photarium.operators.lookup import lookup
 
 TRAIN_DOCS = 300
 GRAMS = 1 << 16
@@ -66,6 +68,10 @@ def _sampled(docs: DataFrame, most: int) -> DataFrame:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "doc_id", "text", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text")).alias("_at")
     )
+    # Of a language with many documents only those below a hash that about twice as many reach are ranked.
+    many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 4 * most)
+    below = (F.lit(2.0**64) * (2 * most / F.col("_rows")) - F.lit(2.0**63)).cast("bigint")
+    rows = rows.join(many.select("lang", below.alias("_below")), "lang", "left").filter(F.col("_below").isNull() | (F.col("_at") < F.col("_below"))).drop("_below")
     order = Window.partitionBy("lang").orderBy("_at", "doc_id", "text")
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
 
@@ -129,16 +135,17 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     added = {"host", "suffix", "declared", "lang", "score", "html"}
     given = [c for c in pages.columns if c not in added]
     names, table = fit_table(docs)
-    columns = [F.col(f"`{c}`") for c in given]
+    row = F.struct(*(F.col(f"`{c}`") for c in given)).alias("_given")
+    columns = [F.col(f"_given.`{c}`") for c in given]
     host = host_of(F.col("url"))
     if not names:
-        return pages.select(
-            *columns, host.alias("host"), suffix_of(host).alias("suffix"), F.lit(None).cast("string").alias("declared"),
+        return pages.select(row, host.alias("_h")).select(
+            *columns, F.col("_h").alias("host"), suffix_of(F.col("_h")).alias("suffix"), F.lit(None).cast("string").alias("declared"),
             F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("score"),
         )
     n = len(names)
-    rows = pages.select(*columns, host.alias("host"), _evidence(names, table)("html").alias("_e")).select(
-        *columns, "host", suffix_of(F.col("host")).alias("suffix"), F.col("_e.declared").alias("declared"), F.col("_e.likelihood").alias("_text")
+    rows = pages.select(row, host.alias("host"), _evidence(names, table)("html").alias("_e")).select(
+        "_given", "host", suffix_of(F.col("host")).alias("suffix"), F.col("_e.declared").alias("declared"), F.col("_e.likelihood").alias("_text")
     )
     # Text and markup, before any prior.
     own = []
@@ -149,12 +156,13 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     facts = settle(rows.withColumns({f"_p{i}": s for i, s in enumerate(shares)}).drop("_text"), "language-facts")
 
     def counts(key: str, label: str) -> DataFrame:
-        return settle(facts.groupBy(F.col(key).alias(f"_{label}")).agg(*(F.sum(f"_p{i}").alias(f"_{label}{i}") for i in range(n))), f"language-{label}")
+        return settle(facts.groupBy(key).agg(*(F.sum(f"_p{i}").alias(f"_{label}{i}") for i in range(n))), f"language-{label}")
 
     everything = facts.agg(*(F.coalesce(F.sum(f"_p{i}"), F.lit(0.0)) for i in range(n))).first()
     all_pages = {f"_a{i}": F.lit(float(everything[i])) for i in range(n)}
     hosts, suffixes = counts("host", "h"), counts("suffix", "s")
-    joined = facts.join(hosts, F.col("host") == F.col("_h")).join(suffixes, F.col("suffix") == F.col("_s")).withColumns(all_pages)
+    # A host or a suffix may have a great part of all pages.
+    joined = lookup(lookup(facts, hosts, "host"), suffixes, "suffix").withColumns(all_pages)
 
     def smoothed(label: str, above: list[Column], strength: float) -> list[Column]:
         without = [F.greatest(F.col(f"_{label}{i}") - F.col(f"_p{i}"), F.lit(0.0)) for i in range(n)]

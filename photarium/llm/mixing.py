@@ -12,7 +12,8 @@ source, so texts are never shuffled.
 
 Nulls and repeats: a null text has size 0, a null source is a source of its own and comes
 last, null ids are ordinary values. Rows alike in id and text draw one key and are taken
-together. An empty table gives an empty result.
+together, and so are documents with equal keys. Very long texts are counted whole. An empty table gives
+an empty result. Given columns may have any name; the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -123,14 +124,16 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     ``copies`` says how often the mix takes a document, ``taken`` how many words that is.
     """
-    rows = keyed(docs, seed)
+    added = {"size", "source_size", "target", "copies", "taken"}
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_given")
+    rows = keyed(docs.select(given, "doc_id", "text", "source"), seed)
     facts = settle(rows.select("source", "_size", "_key"), "mix-facts")
     plan = settle(cuts(facts, settle(targets(facts), "mix-sources")), "mix-cuts")
     plan = plan.select(*(F.col(c).alias(f"_{c}") for c in plan.columns))
     chosen = (F.col("_key") < F.col("_cut")) | (F.col("_behind") & (F.col("_key") == F.col("_cut")))
     copies = (F.col("_epochs") + F.when(chosen, 1).otherwise(0)).cast("int")
     return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}),
+        *(F.col(f"_given.`{c}`") for c in docs.columns if c not in added),
         F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         copies.alias("copies"), (copies * F.col("_size")).cast("bigint").alias("taken"),
     )
@@ -138,6 +141,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    mixed = mix(docs.select("*", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), seed)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    mixed = mix(docs.select("doc_id", "text", "source", row), seed)
     copies = mixed.filter(F.col("copies") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     return copies.select("_row.*")

@@ -8,7 +8,8 @@ The shard of a record is the one with the highest seeded hash of (id, shard numb
 and the number of shards decide it, and one more shard only takes records into itself.
 
 Nulls and repeats: null ids are one id, a null text counts no bytes, rows alike in id and text
-get neighbouring slots of one bucket in any order. An empty table gives an empty result.
+get neighbouring slots of one bucket in any order. An empty table gives an empty result. A very long
+text makes its bucket longer by itself. Given columns may have any name; ``shard`` and ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHARDS = 16
 SEED = 23
 # Bytes of text in a bucket, on average.
 BUCKET_BYTES = 16 << 20
+# Buckets that a task shuffles, one after the other.
+TASK_BUCKETS = 4
 LAW = "key"
 
 
@@ -42,19 +45,20 @@ def _shuffled(seed: int):
         places = np.random.default_rng([seed, shard, bucket]).permutation(fixed.num_rows)
         moved = fixed.take(pa.array(places))
         slot = pa.array(np.arange(fixed.num_rows, dtype=np.int64) + fixed.column("_start")[0].as_py())
-        return moved.drop_columns(["_bucket", "_mix", "_id_text", "_start"]).append_column("slot", slot)
+        return moved.select(["shard", "_given"]).append_column("slot", slot)
 
     return shuffle
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot``, gapless from 0 in each shard."""
-    taken = {"shard", "slot"}
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in taken)).withColumns({
-        "shard": shard_of(F.col("doc_id"), shards, seed),
-        "_mix": F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")),
-    })
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    given = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in given)).alias("_given"), shard_of(F.col("doc_id"), shards, seed).alias("shard"),
+        F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")).alias("_mix"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id_text"),
+    )
+    size = F.coalesce(F.octet_length("_given.text"), F.lit(0)) + 1
     totals = rows.groupBy("shard").agg(F.sum(size).alias("_bytes"))
     buckets = settle(
         totals.select("shard", F.ceil(F.col("_bytes") / bucket_bytes).cast("int").alias("_buckets")), "shard-buckets"
@@ -65,11 +69,12 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     counts = scattered.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = settle(counts.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")), "shard-starts")
-    placed = scattered.join(starts, ["shard", "_bucket"]).withColumn("_id_text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    kept = [f for f in placed.schema.fields if f.name not in {"_bucket", "_mix", "_id_text", "_start"}]
-    return placed.groupBy("shard", "_bucket").applyInArrow(
-        _shuffled(seed), StructType(kept).add("slot", LongType())
-    )
+    # The texts cross the network here, once, into as many tasks as the buckets ask for.
+    tasks = -(-starts.count() // TASK_BUCKETS)
+    placed = scattered.repartition(max(1, tasks), "shard", "_bucket").join(starts, ["shard", "_bucket"])
+    kept = [placed.schema[name] for name in ("shard", "_given")]
+    moved = placed.groupBy("shard", "_bucket").applyInArrow(_shuffled(seed), StructType(kept).add("slot", LongType()))
+    return moved.select(*(F.col(f"_given.`{c}`") for c in given), "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -7,7 +7,8 @@ like all others.
 
 Nulls: a null address, or one without ``://``, has empty host and path; it is judged by the
 classifier's intercept. Repeated rows are judged alike. If the rules decide no address, or all
-alike, the classifier allows or blocks as they do, and allows without any label.
+alike, the classifier allows or blocks as they do, and allows without any label. Very long addresses
+count whole; a score of exactly 0.5 blocks. Given columns may have any name; the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photarium.llm.common import scores_of
+from photarium.llm.common import scores_of, settle
 
 # (host, path, verdict)
 RULES = (
@@ -111,24 +112,30 @@ def labelled_urls(pages: DataFrame, rules=RULES, most: int = TRAIN_URLS) -> pd.D
         "_rule", rule_of(F.col("host"), F.col("path"), rules)
     ).filter(F.col("_rule").isNotNull())
     distinct = judged.groupBy("host", "path").agg(F.first(F.col("_rule.verdict") == "block").cast("int").alias("blocked"))
-    return distinct.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most).toPandas()
+    listed = settle(distinct.withColumn("_at", F.xxhash64("host", "path")), "url-labels")
+    # Of many only those below a hash that about twice as many reach are sorted.
+    count = listed.count()
+    if count > 4 * most:
+        listed = listed.filter(F.col("_at") < int(2**64 * (2 * most / count)) - 2**63)
+    return listed.orderBy("_at", "host", "path").limit(most).drop("_at").toPandas()
 
 
 def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``block_score``, the classifier's."""
     model = model or fit(labelled_urls(pages, rules))
     added = ("host", "path", "rule", "verdict", "block_score")
-    given = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in added))
+    given = [c for c in pages.columns if c not in added]
 
     @F.pandas_udf("double")
     def block_score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in batches:
             yield pd.Series([model.score(h, p) for h, p in zip(hosts, paths)], dtype=float)
 
-    split = given.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    row = F.struct(*(F.col(f"`{c}`") for c in given)).alias("_given")
+    split = pages.select(row, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     scored = split.withColumns({"_rule": rule_of(F.col("host"), F.col("path"), rules), "block_score": block_score("host", "path")})
     own = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return scored.select(
-        *given.columns, "host", "path", F.col("_rule.rule").alias("rule"),
+        *(F.col(f"_given.`{c}`") for c in given), "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), "block_score",
     )
