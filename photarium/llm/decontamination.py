@@ -11,7 +11,8 @@ out of the array; nothing that could match is lost.
 
 Items are sent to all tasks, which is only done for a bounded number: they are split by hash
 into blocks of about ``BLOCK_BYTES``, and the documents pass through one block after another,
-in one stage and without a shuffle, each adding its matches.
+without a shuffle, each adding its matches. Of more than one block each pass is written down before
+the next, so driver and tasks hold one block whatever the number of items.
 
 Nulls and repeats: a null or empty text has no words and cannot match; a null item id counts as
 empty text; items or documents that occur twice match like one; empty tables match nothing.
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from photarium.llm.common import slices
+from photarium.llm.common import settle, slices
+from photarium.session import drop_path, scratch_path
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -152,9 +154,16 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes
     })
     schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out.schema.fields])
     of_block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    before = None
     for block in range(blocks):  # one block of bounded size at a time
         rows = tests.filter(of_block == block).distinct().collect()
         out = out.mapInArrow(_matcher(Windows([(r["item_id"], r["text"]) for r in rows], width), schema), out.schema)
+        if blocks > 1:  # the next block begins when this one has left driver and plan
+            path = scratch_path(docs.sparkSession, "decontamination")
+            out = settle(out, "decontamination", path)
+            if before:
+                drop_path(docs.sparkSession, before)
+            before = path
     return out.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
