@@ -71,7 +71,8 @@ def _sampled(docs: DataFrame, most: int) -> DataFrame:
     # Of a language with many documents only those below a hash that about twice as many reach are ranked.
     many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 4 * most)
     below = (F.lit(2.0**64) * (2 * most / F.col("_rows")) - F.lit(2.0**63)).cast("bigint")
-    rows = rows.join(many.select("lang", below.alias("_below")), "lang", "left").filter(F.col("_below").isNull() | (F.col("_at") < F.col("_below"))).drop("_below")
+    # One row per language code that is that frequent.
+    rows = rows.join(F.broadcast(many.select("lang", below.alias("_below"))), "lang", "left").filter(F.col("_below").isNull() | (F.col("_at") < F.col("_below"))).drop("_below")
     order = Window.partitionBy("lang").orderBy("_at", "doc_id", "text")
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
 
