@@ -23,6 +23,14 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     )
 
 
+def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row with the smallest ``order`` columns for each ``keys``; NULL comes last."""
+    window = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return (
+        df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1).drop("_rank")
+    )
+
+
 def latest_stats(stats: DataFrame) -> DataFrame:
     """Newest observation of each file."""
     return newest(stats, ["file_id"], ["observed_at", "stat_id"])
@@ -52,7 +60,11 @@ def files_view(master: DataFrame, stats: DataFrame) -> DataFrame:
 
     The log is cut to one row per file before the join, so the join is one to one.
     """
-    newest_rows = latest_stats(stats)
+    return with_paths(master, latest_stats(stats))
+
+
+def with_paths(master: DataFrame, newest_rows: DataFrame) -> DataFrame:
+    """Every file with its path and its row of ``newest_rows``, which has one row per file."""
     return (
         master.join(newest_rows, master["id"] == newest_rows["file_id"])
         .select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from photarium.operators.latest import newest
+from photarium.operators.latest import with_paths
+from photarium.streaming import snapshots
+from photarium.streaming.snapshots import COMPACT_AFTER
 
 
 def latest_updates(observations: DataFrame) -> DataFrame:
@@ -20,20 +22,26 @@ def latest_updates(observations: DataFrame) -> DataFrame:
     return observations.groupBy("file_id").agg(newest_row).select("file_id", "row.*")
 
 
-def maintain_latest(observations: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def maintain_latest(
+    observations: DataFrame, target: str, checkpoint: str, compact_after: int = COMPACT_AFTER
+) -> StreamingQuery:
     """Start a query that writes each batch's changed files to its own folder of ``target``."""
-    return write_batches(latest_updates(observations), target, checkpoint)
+    return write_batches(latest_updates(observations), target, checkpoint, ["file_id"], compact_after)
 
 
-def write_batches(updates: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def write_batches(
+    updates: DataFrame, target: str, checkpoint: str, keys: list[str], compact_after: int = COMPACT_AFTER
+) -> StreamingQuery:
     """Start a query that writes each batch's changed rows to its own folder of ``target``.
 
     A batch that is run again after a failure overwrites its folder, so every change is
-    there once. The query takes what is available now and ends; run it again for more.
+    there once. Every ``compact_after`` batches they are folded into a snapshot. The query
+    takes what is available now and ends; run it again for more.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        snapshots.write_batch(batch, target, batch_id)
+        snapshots.compact_when_due(batch.sparkSession, target, keys, after=compact_after)
 
     return (
         updates.writeStream.outputMode("update")
@@ -44,6 +52,11 @@ def write_batches(updates: DataFrame, target: str, checkpoint: str) -> Streaming
     )
 
 
-def read_latest(spark, target: str) -> DataFrame:
-    """The maintained table: for each file its row from the last batch that changed it."""
-    return newest(spark.read.parquet(target), ["file_id"], ["batch"]).drop("batch")
+def read_latest(spark: SparkSession, target: str) -> DataFrame:
+    """The maintained table: for each file its newest observation, from one snapshot and the batches after it."""
+    return snapshots.read(spark, target, ["file_id"])
+
+
+def read_files(spark: SparkSession, target: str, master: DataFrame) -> DataFrame:
+    """Every file with its path and latest observation, without ranking the log again."""
+    return with_paths(master, read_latest(spark, target))

@@ -1,0 +1,136 @@
+"""Snapshots of tables kept by streams, and the bound on late rows."""
+
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
+from photarium.operators import latest
+from photarium.streaming import first_hash, latest_state, snapshots
+
+STATS = (
+    "stat_id long, file_id long, root_dir string, filename string, extension string, size_bytes long, "
+    "mtime_secs long, mtime_nanos int, file_type string, is_missing boolean, observed_at timestamp"
+)
+HASHES = "file_id long, stat_id long, hash_name string, hash_value string, computed_at timestamp"
+
+
+def moment(hours):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
+
+
+def observation(stat_id, file_id, hours):
+    return (stat_id, file_id, "/r", f"f{file_id}.jpg", "jpg", stat_id, hours, 0, "image", stat_id % 3 == 0, moment(hours))
+
+
+def rows_of(df):
+    return sorted(df.select(*sorted(df.columns)).collect())
+
+
+def read_files_of(df):
+    """Input files of a plan, relative to the table."""
+    return {name.split("/latest/")[1].rsplit("/", 1)[0] for name in df.inputFiles()}
+
+
+def test_a_maintained_table_equals_the_view_after_every_batch(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("log", "latest", "progress"))
+    master = spark.createDataFrame([(i, f"/r/f{i}.jpg") for i in range(40)], "id long, path string")
+    draw = random.Random(1)
+    for run in range(8):
+        # File 0 holds a third of all rows; times go back and forth.
+        rows = [observation(run * 60 + i, 0 if i % 3 == 0 else draw.randrange(40), draw.randrange(50)) for i in range(60)]
+        spark.createDataFrame(rows, STATS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(STATS).parquet(source)
+        latest_state.maintain_latest(stream, target, progress, compact_after=3).awaitTermination()
+        log = spark.read.schema(STATS).parquet(source)
+        kept = latest_state.read_files(spark, target, master)
+        assert rows_of(kept) == rows_of(latest.files_view(master, log))
+        # One snapshot and fewer than three batches, however long the stream has run.
+        known = snapshots.snapshots(spark, target)
+        last = known[-1][0] if known else -1
+        expected = {f"batch={n}" for n in range(last + 1, run + 1)} | ({f"snapshot/{known[-1][0]}-{known[-1][1]}"} if known else set())
+        assert read_files_of(latest_state.read_latest(spark, target)) == expected and len(expected) <= 3
+    assert [n for n, _ in snapshots.snapshots(spark, target)] == [2, 5]
+    assert snapshots.batches(spark, target) == [3, 4, 5, 6, 7]
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_a_snapshot_meets_later_batches_without_a_shuffle(spark, tmp_path):
+    target = str(tmp_path / "t")
+    first = spark.range(0, 1000).select(F.col("id").alias("file_id"), F.lit("a").alias("value"))
+    snapshots.write_batch(first, target, 0)
+    assert snapshots.compact(spark, target, ["file_id"]) == 0  # as many buckets as shuffle partitions
+    later = spark.range(990, 1010).select(F.col("id").alias("file_id"), F.lit("b").alias("value"))
+    snapshots.write_batch(later, target, 1)
+    kept = snapshots.read(spark, target, ["file_id"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(kept) == 1 and "Bucketed: true" in plan  # the exchange is that of the batch
+    assert dict(kept.groupBy("value").count().collect()) == {"a": 990, "b": 20}
+    assert snapshots.compact(spark, target, ["file_id"]) == 1 and snapshots.snapshots(spark, target) == [(0, 4), (1, 4)]
+    assert snapshots.compact(spark, target, ["file_id"]) == 1  # nothing to do
+    assert exchanges(snapshots.read(spark, target, ["file_id"])) == 0
+
+
+def test_what_was_broken_off_is_not_read(spark, tmp_path):
+    target = str(tmp_path / "t")
+    rows = spark.range(5).select(F.col("id").alias("file_id"), F.lit(0).alias("value"))
+    snapshots.write_batch(rows, target, 0)
+    snapshots.compact(spark, target, ["file_id"])
+    snapshots.write_batch(rows.withColumn("value", F.lit(1)), target, 1)
+    (tmp_path / "t" / "snapshot" / "1-4").mkdir()
+    (tmp_path / "t" / "batch=2").mkdir()
+    assert rows_of(snapshots.read(spark, target, ["file_id"])) == [(i, 1) for i in range(5)]
+    assert snapshots.compact(spark, target, ["file_id"]) == 1
+    assert rows_of(snapshots.read(spark, target, ["file_id"])) == [(i, 1) for i in range(5)]
+
+
+def test_late_hashes_go_to_a_table_of_their_own(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("log", "first", "progress"))
+    draw, log = random.Random(2), []
+    for run in range(6):
+        for i in range(50):
+            late = run > 0 and i % 10 == 0
+            hours = draw.randrange(run) * 24 - 200 if late else run * 24 + draw.randrange(-30, 24)
+            log.append((draw.randrange(30), run * 50 + i, draw.choice(["blake3", "phash"]), "x", moment(hours)))
+        spark.createDataFrame(log[-50:], HASHES).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(HASHES).parquet(source)
+        first_hash.maintain_bounded(stream, target, progress, "48 HOURS", compact_after=2).awaitTermination()
+
+        newest, in_time, late = None, [], []
+        for number in range(run + 1):
+            batch = log[number * 50:number * 50 + 50]
+            for row in batch:
+                (late if newest and row[4] < newest - dt.timedelta(hours=48) else in_time).append(row)
+            newest = max([r[4] for r in batch] + ([newest] if newest else []))
+        fields = HASHES.replace(" long", "").replace(" string", "").replace(" timestamp", "").split(", ")
+        assert rows_of(first_hash.read_late(spark, target).select(*fields)) == rows_of(spark.createDataFrame(late, HASHES))
+
+        def firsts(rows):
+            best = {}
+            for row in sorted(rows, key=lambda r: (r[4], r[1])):
+                best.setdefault((row[0], row[2]), row)
+            return rows_of(spark.createDataFrame(list(best.values()), HASHES))
+
+        assert rows_of(first_hash.read_bounded(spark, target)) == firsts(in_time)
+        assert rows_of(first_hash.read_with_late(spark, target)) == firsts(log)
+        counts = first_hash.late_counts(spark, target).agg(F.sum("rows"), F.sum("late_rows")).first()
+        assert tuple(counts) == (len(log), len(late)) and (run == 0 or late)
+    assert len(snapshots.snapshots(spark, target)) == 2
+
+
+def test_a_repeated_batch_changes_nothing_and_keeps_no_state(spark, tmp_path):
+    source, target = str(tmp_path / "log"), str(tmp_path / "first")
+    rows = [(i % 5, i, "blake3", None, moment(i)) for i in range(20)] + [(9, 99, "blake3", None, None)]
+    for part in (rows[:10], rows[10:]):
+        spark.createDataFrame(part, HASHES).coalesce(1).write.mode("append").parquet(source)
+    for attempt in ("a", "b"):  # a lost checkpoint: every batch runs again over its own output
+        stream = spark.readStream.schema(HASHES).option("maxFilesPerTrigger", 1).parquet(source)
+        query = first_hash.maintain_bounded(stream, target, str(tmp_path / attempt), "1 DAYS")
+        query.awaitTermination()
+        assert all(not p["stateOperators"] for p in query.recentProgress)
+        assert sorted(r["stat_id"] for r in first_hash.read_bounded(spark, target).collect()) == [0, 1, 2, 3, 4]
+        assert [r["stat_id"] for r in first_hash.read_late(spark, target).collect()] == [99]
