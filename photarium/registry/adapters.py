@@ -114,6 +114,13 @@ def library_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashes_of(table(spark, sf_dir, "orders"))
 
 
+def arrival() -> Column:
+    """When an order's row reaches the logs, in four steps: two years each, and every tenth row last of all."""
+    step = F.floor((F.year("o_orderdate") - 1995) / 2)
+    in_turn = F.greatest(F.lit(0), F.least(F.lit(3), step)).cast("int")
+    return F.when(F.col("o_orderkey") % 10 == 0, F.lit(3)).otherwise(in_turn)
+
+
 def library_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     ns = reduce(

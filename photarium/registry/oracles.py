@@ -55,6 +55,15 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                mtime_nanos, {_type(_extension('filename'))} AS file_type, is_missing, observed_at
         FROM lib_stats0"""),
     "lib_latest": (["lib_stats"], _newest("lib_stats", "file_id", "observed_at DESC, stat_id DESC")),
+    "hash_arrivals": (["lib_hashes"], """
+        SELECT *, CAST(CASE WHEN stat_id % 10 = 0 THEN 3
+                            ELSE greatest(0, least(3, (year(computed_at) - 1995) // 2)) END AS INTEGER) AS batch
+        FROM lib_hashes"""),
+    "hash_late": (["hash_arrivals"], """
+        SELECT a.*, coalesce(computed_at < newest - INTERVAL 30 DAY, false) AS late
+        FROM hash_arrivals a JOIN (
+            SELECT b, (SELECT max(computed_at) FROM hash_arrivals x WHERE x.batch < b) AS newest
+            FROM (VALUES (0), (1), (2), (3)) t(b)) ON b = batch"""),
     "lib_files": (["lib_master", "lib_latest"], f"""
         SELECT id, path, stat_id, {_CARRIED}, is_missing, observed_at
         FROM lib_master JOIN lib_latest ON id = file_id"""),
@@ -274,6 +283,16 @@ _DISPATCHED = """(SELECT t.*, f.is_missing FROM part_tags t JOIN lib_files f ON
                   SELECT t.*, f.is_missing FROM probe_all t JOIN lib_files f ON f.id = t.file_id AND f.file_type = 'video')"""
 
 
+COVERAGE = sql(f"""
+    SELECT n.hash_name, count(*) AS files_total,
+           count(*) FILTER (WHERE EXISTS (SELECT 1 FROM lib_hashes h WHERE h.file_id = f.id AND h.hash_name = n.hash_name))
+             AS files_hashed,
+           count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lib_hashes h WHERE h.file_id = f.id AND h.hash_name = n.hash_name))
+             AS files_remaining
+    FROM (SELECT unnest({_NAMES}) AS hash_name) n
+    JOIN lib_files f ON NOT f.is_missing AND (n.hash_name = 'blake3' OR f.file_type = 'image')
+    GROUP BY n.hash_name""", "lib_files", "lib_hashes")
+
 ORACLES: dict[str, str] = {
     "inventory_scan": sql("SELECT * FROM full_listing", "full_listing"),
     "path_parts": f"""
@@ -361,15 +380,9 @@ ORACLES: dict[str, str] = {
     "needing_metadata": sql("""
         SELECT id, path, file_type FROM lib_files f WHERE NOT is_missing AND file_type IN ('image', 'video')
           AND NOT EXISTS (SELECT 1 FROM lib_metadata m WHERE m.file_id = f.id)""", "lib_files", "lib_metadata"),
-    "hash_coverage": sql(f"""
-        SELECT n.hash_name, count(*) AS files_total,
-               count(*) FILTER (WHERE EXISTS (SELECT 1 FROM lib_hashes h WHERE h.file_id = f.id AND h.hash_name = n.hash_name))
-                 AS files_hashed,
-               count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lib_hashes h WHERE h.file_id = f.id AND h.hash_name = n.hash_name))
-                 AS files_remaining
-        FROM (SELECT unnest({_NAMES}) AS hash_name) n
-        JOIN lib_files f ON NOT f.is_missing AND (n.hash_name = 'blake3' OR f.file_type = 'image')
-        GROUP BY n.hash_name""", "lib_files", "lib_hashes"),
+    "needing_hash_indexed": sql(_without_hash("blake3"), "lib_files", "lib_hashes"),
+    "hash_coverage": COVERAGE,
+    "hash_coverage_indexed": COVERAGE,
     "full_digest": "SELECT doc_id + 1 AS file_id, 'blake3' AS hash_name, sha256(text) AS hash_value FROM documents",
     "file_versions": sql("""
         SELECT file_id, version, root_dir, is_missing, first_seen, last_seen, observations, first_stat_id,
@@ -477,4 +490,9 @@ ORACLES: dict[str, str] = {
     "stream_latest_state": sql("SELECT * FROM lib_latest", "lib_latest"),
     "stream_first_hash": sql(
         _newest("lib_hashes", "file_id, hash_name", "computed_at, stat_id"), "lib_hashes"),
+    "maintained_files": sql("SELECT * FROM lib_files", "lib_files"),
+    "bounded_first_hash": sql(
+        _newest("(SELECT * EXCLUDE (batch, late) FROM hash_late WHERE NOT late)", "file_id, hash_name", "computed_at, stat_id"),
+        "hash_late"),
+    "late_hashes": sql("SELECT * EXCLUDE (late) FROM hash_late WHERE late", "hash_late"),
 }

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.functions import bits, paths
-from photarium.operators import fingerprints, hashing, latest, metadata, observe, reports, similarity, versions, worklist
+from photarium.operators import fingerprints, hash_index, hashing, latest, metadata, observe, reports, similarity, versions, worklist
 from photarium.operators.algorithms import algorithm
 from photarium.plans import runs, scans
 from photarium.registry import adapters as a
@@ -247,6 +247,21 @@ def hash_coverage(spark, sf_dir):
     return worklist.hash_coverage(_library_files(spark, sf_dir), a.library_hashes(spark, sf_dir))
 
 
+@query
+def needing_hash_indexed(spark, sf_dir):
+    """Present files without a full digest, from bitmaps of the hashed files."""
+    index = settle(hash_index.build(a.library_hashes(spark, sf_dir)), "hash-index")
+    work = hash_index.needing_hash(_library_files(spark, sf_dir), index, "blake3")
+    return work.select("id", "path", "size_bytes")
+
+
+@query
+def hash_coverage_indexed(spark, sf_dir):
+    """Done and remaining files per algorithm, by counting bits of the bitmaps."""
+    index = settle(hash_index.build(a.library_hashes(spark, sf_dir)), "hash-index")
+    return hash_index.hash_coverage(_library_files(spark, sf_dir), index)
+
+
 # --- hashes ----------------------------------------------------------------------------
 
 
@@ -544,3 +559,41 @@ def stream_first_hash(spark, sf_dir):
     stream = a.hashes_of(_order_stream(spark, sf_dir))
     first_hash.maintain_first(stream, target, f"{target}-progress").awaitTermination()
     return first_hash.read_first(spark, target)
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, log: str) -> Iterator[DataFrame]:
+    """The stream over a folder to which the orders of each step are added, one step after the other."""
+    orders = a.table(spark, sf_dir, "orders")
+    for step in range(4):
+        orders.filter(a.arrival() == step).write.mode("append").parquet(log)
+        yield spark.readStream.schema(orders.schema).parquet(log)
+
+
+@query
+def maintained_files(spark, sf_dir):
+    """Every file with its latest observation, from a snapshot and the batch after it."""
+    target = scratch_path(spark, "maintained")
+    for stream in _arrivals(spark, sf_dir, f"{target}-log"):
+        observed = a.observations_of(stream)
+        latest_state.maintain_latest(observed, target, f"{target}-progress", compact_after=3).awaitTermination()
+    return latest_state.read_files(spark, target, a.library_master(spark, sf_dir))
+
+
+def _bounded(spark: SparkSession, sf_dir: str) -> str:
+    target = scratch_path(spark, "bounded")
+    for stream in _arrivals(spark, sf_dir, f"{target}-log"):
+        hashes = a.hashes_of(stream)
+        first_hash.maintain_bounded(hashes, target, f"{target}-progress", "30 DAYS", compact_after=3).awaitTermination()
+    return target
+
+
+@query
+def bounded_first_hash(spark, sf_dir):
+    """Earliest hash row of each file and algorithm among those that were not late."""
+    return first_hash.read_bounded(spark, _bounded(spark, sf_dir))
+
+
+@query
+def late_hashes(spark, sf_dir):
+    """Hash rows that came over 30 days after newer ones, with the step they came in."""
+    return first_hash.read_late(spark, _bounded(spark, sf_dir))
