@@ -575,7 +575,7 @@ def maintained_files(spark, sf_dir):
     target = scratch_path(spark, "maintained")
     for stream in _arrivals(spark, sf_dir, f"{target}-log"):
         observed = a.observations_of(stream)
-        latest_state.maintain_latest(observed, target, f"{target}-progress", compact_after=3).awaitTermination()
+        latest_state.maintain_table(observed, target, f"{target}-progress", compact_after=3).awaitTermination()
     return latest_state.read_files(spark, target, a.library_master(spark, sf_dir))
 
 

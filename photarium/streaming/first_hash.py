@@ -15,10 +15,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from photarium.operators.latest import earliest
 from photarium.streaming import snapshots
 from photarium.streaming.latest_state import write_batches
-from photarium.streaming.snapshots import COMPACT_AFTER
+from photarium.streaming.snapshots import COMPACT_AFTER, Standing
 
 KEYS = ["file_id", "hash_name"]
 ORDER = ["computed_at", "stat_id"]
+FIRST = Standing(tuple(ORDER), largest=False)
 
 
 def first_hashes(hashes: DataFrame) -> DataFrame:
@@ -34,12 +35,12 @@ def first_hashes(hashes: DataFrame) -> DataFrame:
 
 def maintain_first(hashes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Start a query that writes each batch's changed keys below ``target``, takes what is there and ends."""
-    return write_batches(first_hashes(hashes), target, checkpoint, KEYS)
+    return write_batches(first_hashes(hashes), target, checkpoint, KEYS, FIRST)
 
 
 def read_first(spark: SparkSession, target: str) -> DataFrame:
-    """The maintained table: for each key its row from the last batch that changed it."""
-    return snapshots.read(spark, target, KEYS)
+    """The maintained table: for each key its earliest row."""
+    return snapshots.read(spark, target, KEYS, FIRST)
 
 
 def _marks(spark: SparkSession, target: str) -> DataFrame | None:
@@ -81,7 +82,7 @@ def maintain_bounded(
             snapshots.write_batch(mark, f"{target}/mark", batch_id)
         finally:
             batch.unpersist()
-        snapshots.compact_when_due(spark, target, KEYS, ORDER, compact_after)
+        snapshots.compact_when_due(spark, target, KEYS, FIRST, compact_after)
 
     return (
         hashes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
@@ -90,7 +91,7 @@ def maintain_bounded(
 
 def read_bounded(spark: SparkSession, target: str) -> DataFrame:
     """The maintained table of ``maintain_bounded``: the earliest row of each key among those in time."""
-    return snapshots.read(spark, target, KEYS, ORDER)
+    return snapshots.read(spark, target, KEYS, FIRST)
 
 
 def read_late(spark: SparkSession, target: str) -> DataFrame:

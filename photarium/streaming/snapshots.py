@@ -10,15 +10,16 @@ A folder counts once its writer has committed it (``_SUCCESS``), so a snapshot o
 a lost driver is never read; the next attempt overwrites it. Compaction keeps the snapshot before the
 new one, and the batches after that, for readers that planned with it; older folders are deleted.
 
-Which row of a key stands: that of the newest batch, or with ``first_by`` the one with the smallest
-values there (equal ones: the snapshot's, then any). Keys and those columns are never NULL, as
-``schemas`` states. A target without a committed batch is an error, as it has no columns.
+Which row of a key stands is a ``Standing``: the largest or smallest values of some columns win (equal
+ones: the snapshot's row, then any), or simply the newest batch. A batch thus need not know what
+earlier ones held. Keys and those columns are never NULL, as ``schemas`` states. A target without a committed batch is an error, as it has no columns.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ from pyspark.sql import functions as F
 from photarium.operators.latest import earliest, newest
 from photarium.session import drop_path
 
+
+class Standing(NamedTuple):
+    """The row of a key with the largest (or smallest) ``columns`` stands."""
+
+    columns: tuple[str, ...]
+    largest: bool
+
+
+NEWEST_BATCH = Standing(("batch",), True)
+
 # Folders of changes a reader may meet before they are folded into a snapshot.
 COMPACT_AFTER = 32
 
@@ -56,10 +67,11 @@ def write_batch(batch: DataFrame, target: str, batch_id: int) -> None:
 
 
 def _suffix(
-    spark: SparkSession, target: str, keys: Sequence[str], numbers: Sequence[int], first_by: Sequence[str]
+    spark: SparkSession, target: str, keys: Sequence[str], numbers: Sequence[int], standing: Standing
 ) -> DataFrame:
     rows = spark.read.option("basePath", target).parquet(*[f"{target}/batch={n}" for n in numbers])
-    return (earliest(rows, keys, first_by) if first_by else newest(rows, keys, ["batch"])).drop("batch")
+    pick = newest if standing.largest else earliest
+    return pick(rows, keys, standing.columns).drop("batch")
 
 
 def _table_name(target: str, number: int, buckets: int) -> str:
@@ -79,32 +91,33 @@ def _snapshot(spark: SparkSession, target: str, keys: Sequence[str], number: int
     return spark.table(name)
 
 
-def _fold(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], first_by: Sequence[str]) -> DataFrame:
+def _fold(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], standing: Standing) -> DataFrame:
     """``snapshot`` with the rows of ``changes`` that stand against its own, partitioned like the snapshot."""
     fields = [c for c in snapshot.columns if c not in keys]
     old = snapshot.select(*keys, F.struct(*fields).alias("_old"))
     new = changes.select(*keys, F.struct(*fields).alias("_new"))
     row = F.coalesce("_new", "_old")
-    if first_by:
-        was, now = (F.struct(*[F.col(f"{side}.{c}") for c in first_by]) for side in ("_old", "_new"))
-        row = F.when(F.col("_old").isNotNull() & (F.col("_new").isNull() | (was <= now)), F.col("_old")).otherwise(F.col("_new"))
+    if standing != NEWEST_BATCH:
+        was, now = (F.struct(*[F.col(f"{side}.{c}") for c in standing.columns]) for side in ("_old", "_new"))
+        stays = F.col("_new").isNull() | (was >= now if standing.largest else was <= now)
+        row = F.when(F.col("_old").isNotNull() & stays, F.col("_old")).otherwise(F.col("_new"))
     return old.join(new, list(keys), "full_outer").select(*keys, row.alias("_row")).select(
         *keys, *[F.col(f"_row.{c}").alias(c) for c in fields]
     )
 
 
-def read(spark: SparkSession, target: str, keys: Sequence[str], first_by: Sequence[str] = ()) -> DataFrame:
+def read(spark: SparkSession, target: str, keys: Sequence[str], standing: Standing = NEWEST_BATCH) -> DataFrame:
     """For each key its row as of the last committed batch: the newest snapshot and the batches after it."""
     last, buckets = (snapshots(spark, target) or [(-1, 0)])[-1]
     after = [n for n in batches(spark, target) if n > last]
     if last < 0:
-        return _suffix(spark, target, keys, after, first_by)
+        return _suffix(spark, target, keys, after, standing)
     base = _snapshot(spark, target, keys, last, buckets)
-    return _fold(base, _suffix(spark, target, keys, after, first_by), keys, first_by) if after else base
+    return _fold(base, _suffix(spark, target, keys, after, standing), keys, standing) if after else base
 
 
 def compact(
-    spark: SparkSession, target: str, keys: Sequence[str], first_by: Sequence[str] = (), buckets: int | None = None
+    spark: SparkSession, target: str, keys: Sequence[str], standing: Standing = NEWEST_BATCH, buckets: int | None = None
 ) -> int:
     """Fold the newest snapshot and the batches after it into a new one; the last batch it holds (-1: none).
 
@@ -118,7 +131,7 @@ def compact(
         return last
     number = after[-1]
     buckets = buckets or before or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = read(spark, target, keys, first_by)
+    rows = read(spark, target, keys, standing)
     if before != buckets:
         rows = rows.repartition(buckets, *keys)
     name = _table_name(target, number, buckets)
@@ -137,9 +150,9 @@ def compact(
 
 
 def compact_when_due(
-    spark: SparkSession, target: str, keys: Sequence[str], first_by: Sequence[str] = (), after: int = COMPACT_AFTER
+    spark: SparkSession, target: str, keys: Sequence[str], standing: Standing = NEWEST_BATCH, after: int = COMPACT_AFTER
 ) -> None:
     """Compact if there are ``after`` batches or more since the last snapshot."""
     last = (snapshots(spark, target) or [(-1, 0)])[-1][0]
     if sum(n > last for n in batches(spark, target)) >= after:
-        compact(spark, target, keys, first_by)
+        compact(spark, target, keys, standing)

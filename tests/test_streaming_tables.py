@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from photarium.operators import latest
@@ -32,7 +33,8 @@ def read_files_of(df):
     return {name.split("/latest/")[1].rsplit("/", 1)[0] for name in df.inputFiles()}
 
 
-def test_a_maintained_table_equals_the_view_after_every_batch(spark, tmp_path):
+@pytest.mark.parametrize("maintain", [latest_state.maintain_latest, latest_state.maintain_table])
+def test_a_maintained_table_equals_the_view_after_every_batch(spark, tmp_path, maintain):
     source, target, progress = (str(tmp_path / n) for n in ("log", "latest", "progress"))
     master = spark.createDataFrame([(i, f"/r/f{i}.jpg") for i in range(40)], "id long, path string")
     draw = random.Random(1)
@@ -41,7 +43,7 @@ def test_a_maintained_table_equals_the_view_after_every_batch(spark, tmp_path):
         rows = [observation(run * 60 + i, 0 if i % 3 == 0 else draw.randrange(40), draw.randrange(50)) for i in range(60)]
         spark.createDataFrame(rows, STATS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(STATS).parquet(source)
-        latest_state.maintain_latest(stream, target, progress, compact_after=3).awaitTermination()
+        maintain(stream, target, progress, compact_after=3).awaitTermination()
         log = spark.read.schema(STATS).parquet(source)
         kept = latest_state.read_files(spark, target, master)
         assert rows_of(kept) == rows_of(latest.files_view(master, log))
