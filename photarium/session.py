@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path under the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if _RELEASED:
-        _RELEASED[-1].append(path)
+    block = _RELEASED.get()
+    if block is not None:
+        block.append(path)
     return path
 
 
@@ -62,18 +64,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-# Scratch paths to delete at the end of each open ``releasing`` block.
-_RELEASED: list[list[str]] = []
+# Scratch paths to delete at the end of the innermost ``releasing`` block of this thread.
+_RELEASED: ContextVar[list[str] | None] = ContextVar("released", default=None)
 
 
 @contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
-    """Delete what is put under new scratch paths inside the block when it ends."""
-    _RELEASED.append([])
+    """Delete what is put under new scratch paths inside the block when it ends.
+
+    Blocks of threads that work side by side do not see each other's paths.
+    """
+    paths: list[str] = []
+    outer = _RELEASED.set(paths)
     try:
         yield
     finally:
-        for path in _RELEASED.pop():
+        _RELEASED.reset(outer)
+        for path in paths:
             drop_path(spark, path)
 
 
