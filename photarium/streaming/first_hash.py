@@ -43,12 +43,9 @@ def read_first(spark: SparkSession, target: str) -> DataFrame:
     return snapshots.read(spark, target, KEYS, FIRST)
 
 
-def _marks(spark: SparkSession, target: str) -> DataFrame | None:
-    """One row per committed batch of ``maintain_bounded``: newest time so far, rows, late rows."""
-    names = snapshots.batches(spark, f"{target}/mark")
-    if not names:
-        return None
-    return spark.read.option("basePath", f"{target}/mark").parquet(*[f"{target}/mark/batch={n}" for n in names])
+def _marks(spark: SparkSession, target: str, numbers: list[int]) -> DataFrame:
+    """Marks of batches of ``maintain_bounded``: newest time up to and with the batch, rows, late rows."""
+    return spark.read.option("basePath", f"{target}/mark").parquet(*[f"{target}/mark/batch={n}" for n in numbers])
 
 
 def maintain_bounded(
@@ -64,8 +61,8 @@ def maintain_bounded(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        marks = _marks(spark, target)
-        newest = None if marks is None else marks.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        before = [n for n in snapshots.batches(spark, f"{target}/mark") if n < batch_id]
+        newest = _marks(spark, target, before[-1:]).first()["newest"] if before else None
         batch.persist()
         try:
             time = F.col("computed_at")
@@ -102,7 +99,7 @@ def read_late(spark: SparkSession, target: str) -> DataFrame:
 
 def late_counts(spark: SparkSession, target: str) -> DataFrame:
     """Rows and late rows of each batch."""
-    return _marks(spark, target).select("batch", "rows", "late_rows")
+    return _marks(spark, target, snapshots.batches(spark, f"{target}/mark")).select("batch", "rows", "late_rows")
 
 
 def read_with_late(spark: SparkSession, target: str) -> DataFrame:
