@@ -14,10 +14,11 @@ sum to one.
 
 Training is noise-contrastive estimation in numpy: at both levels what was observed must be told from
 noise drawn by frequency. It runs where the texts are: in each of ``ROUNDS`` rounds every task takes
-the model over a hashed share of its documents (1 in ``SHARE``; more of a corpus that would leave less than
-``LEAST_TOKENS``, and that more than once), and the models of the tasks are averaged, row by row, weighted by their tokens. So what is
-learned from grows with the corpus. For scoring,
-batched matrix products give the token log-probabilities of all documents.
+the model over a hashed share of its documents, and the models of the tasks are averaged, row by row,
+weighted by their tokens. A share is 1 in ``SHARE`` documents, another one each round, so that all rounds
+together learn from every training document (from a small corpus, where that would leave less than
+``LEAST_TOKENS``, from more of them each round, and more than once). For scoring, batched matrix products
+give the token log-probabilities of all documents.
 
 Counts of words that stand for at least one in ``FREQUENT`` training tokens (so at most that many
 words) go to all tasks; the rest are joined, without any word that could be a hot key. Words are known
@@ -53,7 +54,7 @@ COUNT_TOKENS, CHUNK = 4_000_000, 1 << 15
 
 # Training.
 CONTEXT, DIMENSIONS = 5, 24
-ROUNDS, SHARE, LEAST_TOKENS, MOST_PASSES = 3, 16, 250_000, 30
+ROUNDS, SHARE, LEAST_TOKENS, MOST_PASSES = 3, 3, 250_000, 30
 BATCH, NOISE, RATE = 1_024, 64, 0.3
 NONE = -1e9
 
@@ -347,12 +348,12 @@ def _train_task(model: Model, known: Vocabulary, seed: int, passes: int = 1):
 
 
 def fit(train_part: DataFrame, known: Vocabulary) -> Model:
-    """The model after all rounds over hashed shares of the training documents."""
+    """The model after all rounds, which together learn from every training document."""
     model = new_model(known)
-    part = min(SHARE, max(1, known.total // LEAST_TOKENS))
+    part = min(SHARE, ROUNDS, max(1, known.total // LEAST_TOKENS))
     passes = min(MOST_PASSES, max(1, LEAST_TOKENS // max(1, known.total)))
     for turn in range(ROUNDS):
-        share = train_part.filter(F.pmod(F.xxhash64(F.lit(turn), F.col("doc_id"), F.col("text")), F.lit(part)) == 0)
+        share = train_part.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) == turn % part)
         rows = share.select("text").mapInArrow(_train_task(model, known, turn, passes), "at int, weight double, row array<double>")
         sums = [F.sum(F.col("row")[i]).alias(f"s{i}") for i in range(DIMENSIONS + 1)]
         mean = rows.groupBy("at").agg(F.sum("weight").alias("weight"), *sums).orderBy("at").toPandas()  # the rows of one model

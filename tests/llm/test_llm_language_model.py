@@ -155,3 +155,26 @@ def test_odd_rows(spark):
     held = [(i, "a b", "en", "a", 0) for i in range(200) if fold(i) == 2]
     got = check(spark, held)
     assert {r["n_known"] for r in got} == {0}
+
+
+def test_all_training_documents_are_learned_from(spark, monkeypatch):
+    """The rounds of a corpus that is cut into shares see every training document, none of them twice, and no other."""
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 1)
+    seen, task = spark.sparkContext.accumulator(0), lm._train_task
+
+    def counted(model, known, seed, passes=1):
+        inner = task(model, known, seed, passes)
+
+        def trained(batches):
+            for out in inner(batches):
+                seen.add(int(out.column("weight")[0].as_py()))
+                yield out
+
+        return trained
+
+    monkeypatch.setattr(lm, "_train_task", counted)
+    docs = documents(spark, prose(300)).select("doc_id", "text")
+    part = docs.filter(lm.bucket_of(lm.F.col("doc_id"), lm.FOLDS) != lm.HELD_OUT)
+    known = lm.vocabulary(lm.count_words(part))
+    lm.fit(part, known)
+    assert known.total > 3_000 and seen.value == known.total
