@@ -39,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +53,10 @@ LAST_BYTES = 3
 # Tokens that a task counts together before it passes counts on, and scores together.
 COUNT_TOKENS, CHUNK = 4_000_000, 1 << 15
 
-# Training.
+# Training. A batch has 1 in BATCHES of the tokens at hand, BATCH at least and MOST_BATCH at most.
 CONTEXT, DIMENSIONS = 5, 24
 ROUNDS, SHARE, LEAST_TOKENS, MOST_PASSES = 3, 3, 250_000, 30
-BATCH, NOISE, RATE = 1_024, 64, 0.3
+BATCH, MOST_BATCH, BATCHES, NOISE, RATE = 1_024, 4_096, 64, 64, 0.3
 NONE = -1e9
 
 # The end of a text is a token; no word has a blank in it.
@@ -77,20 +78,26 @@ class Tokens:
     lengths: np.ndarray
 
 
-def tokens(texts: list[bytes | None]) -> Tokens:
+def tokens(texts: pa.Array | list[bytes | None]) -> Tokens:
     """Words of texts in UTF-8, lower-cased, each text with its end."""
-    words: list[bytes] = []
-    lengths = np.empty(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        before = len(words)
-        words += (text or b"").lower().split()
-        words.append(_END)
-        lengths[i] = len(words) - before
-    codes, distinct = pd.factorize(np.array(words, dtype=object))
-    last = np.empty(len(distinct), dtype=object)
-    last[:] = [w[-LAST_BYTES:] for w in distinct]
-    shapes = (_hashes(last).view(np.uint64) % np.uint64(SHAPES)).astype(np.int32) if len(last) else np.zeros(0, np.int32)
-    return Tokens(_hashes(distinct) if len(distinct) else np.zeros(0, np.int64), shapes, codes, lengths)
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.binary()).cast(pa.string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = parts.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    distinct = coded.dictionary.cast(pa.binary())
+    # Blanks at either end of a text leave empty parts, which are no words.
+    is_word = pc.binary_length(distinct).to_numpy() > 0
+    found = is_word[codes]
+    before = np.append(0, np.cumsum(found))[parts.offsets.to_numpy()]
+    codes = (np.cumsum(is_word) - 1)[codes[found]]
+    distinct = pa.concat_arrays([distinct.filter(pa.array(is_word)), pa.array([_END])])
+    last = pc.binary_slice(distinct, -LAST_BYTES).dictionary_encode()
+    groups = (_hashes(last.dictionary.to_numpy(zero_copy_only=False)).view(np.uint64) % np.uint64(SHAPES)).astype(np.int32)
+    return Tokens(
+        _hashes(distinct.to_numpy(zero_copy_only=False)), groups[last.indices.to_numpy()],
+        np.insert(codes, before[1:], len(distinct) - 1), np.diff(before) + 1,
+    )
 
 
 @dataclass
@@ -153,29 +160,46 @@ class Model:
         return Model(*found)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        """Predictions from the entries of the tokens before (n, CONTEXT)."""
-        total = np.zeros((len(before), DIMENSIONS), dtype=np.float32)
+        """Predictions from the entries of the tokens before (n, CONTEXT), with a one for the biases."""
+        total = np.zeros((len(before), DIMENSIONS + 1), dtype=np.float32)
+        total[:, -1] = 1
         for place in range(CONTEXT):
-            total += self.context[before[:, place]] * self.positions[place]
+            total[:, :-1] += _rows(self.context * self.positions[place], before[:, place])
         return total
 
     def log_probabilities(self, before: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Natural log-probability of each entry in its context."""
-        predicted = self.predicted(before)
-        kind, within = np.divmod(entry, WIDTH)
-        total = _log_softmax(predicted @ self.classes[:, :-1].T + self.classes[:, -1], kind)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(self.classes) + 1))
+        order = _order(entry)
+        predicted = self.predicted(_rows(before, order))
+        kind, within = np.divmod(entry[order], WIDTH)
+        logs = _log_softmax(predicted, self.classes, kind)
+        bounds = np.searchsorted(kind, np.arange(len(self.classes) + 1))
         for c in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[c]:bounds[c + 1]]
-            total[rows] += _log_softmax(predicted[rows] @ self.entries[c, :, :-1].T + self.entries[c, :, -1], within[rows])
+            rows = slice(bounds[c], bounds[c + 1])
+            logs[rows] += _log_softmax(predicted[rows], self.entries[c], within[rows])
+        total = np.empty(len(entry))
+        total[order] = logs
         return total
 
 
-def _log_softmax(products: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    products -= products.max(1, keepdims=True)
-    own = products[np.arange(len(products)), chosen].astype(np.float64)
-    return own - np.log(np.exp(products, out=products).sum(1, dtype=np.float64))
+def _rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``values[at]``, which takes several times as long."""
+    return np.take(values, at, axis=0, mode="clip")
+
+
+def _order(entry: np.ndarray) -> np.ndarray:
+    """Stable order of entries; integers of 16 bits are sorted by their digits."""
+    return np.argsort(entry.astype(np.min_scalar_type(entry.max(initial=0))), kind="stable")
+
+
+def _log_softmax(predicted: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    products = predicted @ vectors.T
+    own = products[np.arange(len(products)), chosen]
+    # Sums of exponentials that could leave the range of the type are taken below the largest product.
+    if products.max() > 60 or own.min() < -60:
+        products -= products.max(1, keepdims=True)
+        own = products[np.arange(len(products)), chosen]
+    return own.astype(np.float64) - np.log(np.exp(products, out=products) @ np.ones(len(vectors), dtype=products.dtype))
 
 
 def new_model(known: Vocabulary, seed: int = 7) -> Model:
@@ -208,6 +232,11 @@ def contexts(entry: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` (dimensions, n) by ``at``."""
+    return np.stack([np.bincount(at, own, size) for own in values], axis=1).astype(np.float32)
+
+
 def contrast(
     predicted: np.ndarray, vectors: np.ndarray, share: np.ndarray, seen: np.ndarray, rng: np.random.Generator
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -216,15 +245,48 @@ def contrast(
     Each observation must be told from ``NOISE`` draws by ``share``, with products taken as log-probabilities;
     what is drawn m times counts m times.
     """
+    wide = np.concatenate([predicted, np.ones((len(predicted), 1), dtype=predicted.dtype)], axis=1)
+    back, slope = contrasts(wide, vectors[None], share[None], np.array([0, len(seen)]), seen, rng)
+    return back[:, :-1], slope[0]
+
+
+def contrasts(
+    predicted: np.ndarray, vectors: np.ndarray, share: np.ndarray, bounds: np.ndarray, seen: np.ndarray, rng: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray]:
+    """``contrast`` of several sets of vectors (sets, size, dimensions + 1), each with noise of its own.
+
+    The rows between ``bounds`` c and c + 1 belong to set c. Predictions end with a one, for the biases;
+    ``seen`` counts through all sets. Noise that was not drawn has no slope and is left out.
+    """
+    sets, size, wide = vectors.shape
     times = rng.multinomial(NOISE, share).astype(predicted.dtype)
-    surprise = vectors[:, -1] - np.log(NOISE * np.maximum(share, 1e-12)).astype(predicted.dtype)
-    belief = scores_of(predicted @ vectors[:, :-1].T + surprise)
-    slope = belief * times
-    rows = np.arange(len(seen))
-    slope[rows, seen] += belief[rows, seen] - 1
-    back = np.empty(vectors.shape, dtype=predicted.dtype)
-    back[:, :-1], back[:, -1] = slope.T @ predicted, slope.sum(0)
-    return slope @ vectors[:, :-1], back
+    against = -vectors
+    against[..., -1] += np.log(NOISE * np.maximum(share, 1e-12)).astype(predicted.dtype)
+    against = against.reshape(-1, wide)
+
+    # What was observed.
+    own = _rows(against, seen)
+    missing = np.einsum("ij,ij->i", predicted, own)
+    with np.errstate(over="ignore"):
+        missing = 1 / (1 + np.exp(-missing))  # one less the belief that it was observed
+    back = own * missing[:, None]
+    slope = -_sums(seen, predicted.T * missing, len(against)).reshape(vectors.shape)
+
+    # What was drawn.
+    drawn = times.ravel().nonzero()[0]
+    ends = np.searchsorted(drawn, np.arange(sets + 1) * size)
+    of_drawn, times = _rows(against, drawn), times.ravel()[drawn]
+    found = slope.reshape(-1, wide)
+    for c in np.flatnonzero(np.diff(bounds)):
+        part, noise = slice(bounds[c], bounds[c + 1]), slice(ends[c], ends[c + 1])
+        doubt = predicted[part] @ of_drawn[noise].T
+        with np.errstate(over="ignore"):
+            np.exp(doubt, out=doubt)
+        doubt += 1
+        belief = np.divide(times[noise], doubt, out=doubt)
+        found[drawn[noise]] += belief.T @ predicted[part]
+        back[part] -= belief @ of_drawn[noise]
+    return back, slope
 
 
 def train(model: Model, known: Vocabulary, entry: np.ndarray, before: np.ndarray, seed: int) -> Model:
@@ -237,40 +299,38 @@ def train(model: Model, known: Vocabulary, entry: np.ndarray, before: np.ndarray
     mass = mass.reshape(-1, WIDTH)
     of_class, of_entry = mass.sum(1) / mass.sum(), mass / mass.sum(1, keepdims=True)
 
-    def step(which: int, at, slope: np.ndarray) -> None:
-        past[which][at] += (slope * slope).mean(-1)
-        model.parts()[which][at] -= RATE * slope / np.sqrt(past[which][at])[..., None]
+    def step(which: int, slope: np.ndarray) -> None:
+        past[which] += np.einsum("...j,...j->...", slope, slope) / slope.shape[-1]
+        slope *= (RATE / np.sqrt(past[which]))[..., None]
+        part = model.parts()[which]
+        part -= slope
 
     order = rng.permutation(len(entry))
-    for start in range(0, len(order), BATCH):
-        rows = order[start:start + BATCH]
-        own, ahead = entry[rows], before[rows]
-        kind, within = np.divmod(own, WIDTH)
-        predicted = model.predicted(ahead)
-        back, slope = contrast(predicted, model.classes, of_class, kind, rng)
-        step(2, slice(None), slope / len(rows))
-        by_class = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[by_class], np.arange(len(model.classes) + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            part = by_class[bounds[c]:bounds[c + 1]]
-            more, slope = contrast(predicted[part], model.entries[c], of_entry[c], within[part], rng)
-            back[part] += more
-            step(3, c, slope / len(rows))
-        back /= len(rows)
-        flat = ahead.T.ravel()
-        slopes = np.concatenate([back * model.positions[p] for p in range(CONTEXT)])
-        moved = np.stack([(back * model.context[ahead[:, p]]).sum(0) for p in range(CONTEXT)])
-        sort = np.argsort(flat, kind="stable")
-        found, first = np.unique(flat[sort], return_index=True)
-        step(0, found, np.add.reduceat(slopes[sort], first, axis=0))
-        step(1, slice(None), moved)
+    batch = min(MOST_BATCH, max(BATCH, len(order) // BATCHES))
+    for start in range(0, len(order), batch):
+        rows = order[start:start + batch]
+        rows = rows[_order(entry[rows])]
+        own, ahead = entry[rows], _rows(before, rows).T.astype(np.int64)
+        kind = own // WIDTH
+        stood = [_rows(model.context, ahead[p]) for p in range(CONTEXT)]
+        predicted = np.ones((len(rows), DIMENSIONS + 1), dtype=np.float32)
+        predicted[:, :-1] = sum(s * model.positions[p] for p, s in enumerate(stood))
+        back, of_classes = contrast(predicted[:, :-1], model.classes, of_class, kind, rng)
+        bounds = np.searchsorted(kind, np.arange(len(model.classes) + 1))
+        more, of_entries = contrasts(predicted, model.entries, of_entry, bounds, own, rng)
+        # A batch of more tokens takes as long a step as several of BATCH tokens.
+        scale = np.float32(1 / min(len(rows), BATCH))
+        back = (back + more[:, :-1]) * scale
+        moved = np.stack([np.einsum("ij,ij->j", back, s) for s in stood])
+        # Summed over the places where an entry stood.
+        by_place = (back.T[:, None, :] * model.positions.T[:, :, None]).reshape(DIMENSIONS, -1)
+        step(2, of_classes * scale)
+        step(3, of_entries * scale)
+        step(0, _sums(ahead.ravel(), by_place, len(model.context)))
+        step(1, moved)
     return model
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of a batch of texts, with their groups."""
     waiting: list[Tokens] = []
@@ -285,7 +345,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(words), pa.array(shapes), pa.array(total)], names=["word", "shape", "n"])
 
     for batch in slices(batches):
-        waiting.append(tokens(_texts(batch)))
+        waiting.append(tokens(batch.column("text")))
         size += len(waiting[-1].codes)
         if size >= COUNT_TOKENS:
             yield counted()
@@ -332,7 +392,7 @@ def _train_task(model: Model, known: Vocabulary, seed: int, passes: int = 1):
         """The rows of the model after the task's texts, with the number of its tokens; none without texts."""
         own, seen, end = model, 0, int(known.entries(np.array([_END_HASH]), np.zeros(1, np.int64))[0][0])
         for batch in slices(batches):
-            found = tokens(_texts(batch))
+            found = tokens(batch.column("text"))
             entry = _entry_of(known, found)
             for turn in range(passes):
                 own = train(own, known, entry, contexts(entry, found.lengths, end), seed * MOST_PASSES + turn)
@@ -370,7 +430,7 @@ def _score(known: Vocabulary, model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(known.entries(np.array([_END_HASH]), np.zeros(1, np.int64))[0][0])
         for batch in slices(batches):
-            rows, found = batch.column("row").to_numpy(), tokens(_texts(batch))
+            rows, found = batch.column("row").to_numpy(), tokens(batch.column("text"))
             n_texts = len(rows)
             at = np.repeat(np.arange(n_texts), found.lengths)
             counts = known.known(found.hashes)
@@ -384,8 +444,9 @@ def _score(known: Vocabulary, model: Model):
                 model.log_probabilities(before[i:i + CHUNK], entry[i:i + CHUNK]) for i in range(0, len(entry), CHUNK)
             ]) / np.log(10) + extra[found.codes]
             joined = np.flatnonzero(counts[found.codes] < 0)
-            pairs, times = np.unique(np.stack([at[joined], found.codes[joined]]), axis=1, return_counts=True)
-            m = pairs.shape[1]
+            pairs, times = np.unique(at[joined] * len(found.hashes) + found.codes[joined], return_counts=True)
+            pairs = np.divmod(pairs, len(found.hashes))
+            m = len(times)
             add = lambda values: np.bincount(at, values, n_texts)
             some = lambda values, kind: pa.concat_arrays([pa.array(values, type=kind), pa.nulls(m, kind)])
             yield pa.RecordBatch.from_arrays([

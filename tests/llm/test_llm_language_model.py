@@ -178,3 +178,30 @@ def test_all_training_documents_are_learned_from(spark, monkeypatch):
     known = lm.vocabulary(lm.count_words(part))
     lm.fit(part, known)
     assert known.total > 3_000 and seen.value == known.total
+
+
+def test_tokens_against_a_plain_loop():
+    texts = [b"", None, b" \t ", b" A  b\x0b\x0c c\r\n", "\u00dcn\u00ef x\u00a0y \u00c9".encode(), b"a\x00b \x1cc A", b"x"]
+    found = lm.tokens(texts)
+    expected = [[*(t or b"").lower().split(), b" "] for t in texts]
+    assert found.lengths.tolist() == [len(e) for e in expected]
+    flat = [w for e in expected for w in e]
+    assert found.hashes[found.codes].tolist() == [int(lm._hashes(np.array([w], dtype=object))[0]) for w in flat]
+    alike = dict(zip(found.shapes[found.codes].tolist(), (w[-lm.LAST_BYTES:] for w in flat)))
+    assert all(alike[s] == w[-lm.LAST_BYTES:] for s, w in zip(found.shapes[found.codes].tolist(), flat))
+
+
+def test_slopes_of_several_sets_are_those_of_each():
+    rng = np.random.default_rng(4)
+    vectors, share = rng.normal(size=(3, 6, 5)), rng.dirichlet(np.ones(6), size=3)
+    predicted, bounds = np.concatenate([rng.normal(size=(7, 4)), np.ones((7, 1))], axis=1), np.array([0, 3, 3, 7])
+    seen = np.array([0, 5, 5, 12, 13, 13, 17])
+    back, slope = lm.contrasts(predicted, vectors, share, bounds, seen, np.random.default_rng(9))
+    times = np.random.default_rng(9).multinomial(lm.NOISE, share)
+    for c, part in ((0, slice(0, 3)), (2, slice(3, 7))):
+        belief = 1 / (1 + np.exp(np.log(lm.NOISE * share[c]) - predicted[part] @ vectors[c].T))
+        dense = belief * times[c]
+        dense[np.arange(len(belief)), seen[part] - 6 * c] += belief[np.arange(len(belief)), seen[part] - 6 * c] - 1
+        assert np.allclose(back[part, :-1], (dense @ vectors[c])[:, :-1])
+        assert np.allclose(slope[c], dense.T @ predicted[part], atol=1e-5)
+    assert not slope[1].any()
