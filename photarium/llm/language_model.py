@@ -13,7 +13,8 @@ of the group, in which all unseen words are one. So the probabilities of everyth
 sum to one.
 
 Training is noise-contrastive estimation in numpy: at both levels what was observed must be told from
-noise drawn by frequency. It runs where the texts are: in each of ``ROUNDS`` rounds every task takes
+noise drawn by frequency. Batches are of random stretches of ``STRETCH`` tokens, as neighbours share most
+of their contexts and so the work on them. Training runs where the texts are: in each of ``ROUNDS`` rounds every task takes
 the model over a hashed share of its documents, and the models of the tasks are averaged, row by row,
 weighted by their tokens. A share is 1 in ``SHARE`` documents, another one each round, so that all rounds
 together learn from every training document (from a small corpus, where that would leave less than
@@ -57,6 +58,8 @@ COUNT_TOKENS, CHUNK = 4_000_000, 1 << 15
 CONTEXT, DIMENSIONS = 5, 24
 ROUNDS, SHARE, LEAST_TOKENS, MOST_PASSES = 3, 3, 250_000, 30
 BATCH, MOST_BATCH, BATCHES, NOISE, RATE = 1_024, 4_096, 64, 64, 0.3
+# Tokens in a row that go into a batch together; more than the CONTEXT - 1 ends between texts.
+STRETCH = 8
 NONE = -1e9
 
 # The end of a text is a token; no word has a blank in it.
@@ -159,12 +162,18 @@ class Model:
             at += n
         return Model(*found)
 
+    def wide(self) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of contexts and positions with one more column, in which predictions get a one for the biases."""
+        context, positions = np.ones((len(self.context), DIMENSIONS + 1), np.float32), np.zeros((CONTEXT, DIMENSIONS + 1), np.float32)
+        context[:, :-1], positions[:, :-1], positions[0, -1] = self.context, self.positions, 1
+        return context, positions
+
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """Predictions from the entries of the tokens before (n, CONTEXT), with a one for the biases."""
-        total = np.zeros((len(before), DIMENSIONS + 1), dtype=np.float32)
-        total[:, -1] = 1
-        for place in range(CONTEXT):
-            total[:, :-1] += _rows(self.context * self.positions[place], before[:, place])
+        context, positions = self.wide()
+        total = _rows(context * positions[0], before[:, 0])
+        for place in range(1, CONTEXT):
+            total += _rows(context * positions[place], before[:, place])
         return total
 
     def log_probabilities(self, before: np.ndarray, entry: np.ndarray) -> np.ndarray:
@@ -187,6 +196,13 @@ def _rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take(values, at, axis=0, mode="clip")
 
 
+def _before(values: np.ndarray, place: int) -> np.ndarray:
+    """Of values of stretches (n, STRETCH + CONTEXT, width), those at ``place`` + 1 before each token, as (n, STRETCH * width)."""
+    width = values.shape[2]
+    first = (CONTEXT - 1 - place) * width
+    return values.reshape(len(values), -1)[:, first:first + STRETCH * width]
+
+
 def _order(entry: np.ndarray) -> np.ndarray:
     """Stable order of entries; integers of 16 bits are sorted by their digits."""
     return np.argsort(entry.astype(np.min_scalar_type(entry.max(initial=0))), kind="stable")
@@ -232,9 +248,26 @@ def contexts(entry: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
+def laid_out(entry: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens in a row with ``CONTEXT`` ends before each text, and the place of each token there.
+
+    The ``CONTEXT`` before a token are those of ``contexts``; the end of a text is one of the ends before the next.
+    """
+    at = np.arange(len(entry)) + CONTEXT + np.repeat(np.arange(len(lengths)) * (CONTEXT - 1), lengths)
+    row = np.full(at[-1] + 1 if len(at) else CONTEXT, end, dtype=np.int32)
+    row[at] = entry
+    return row, at
+
+
 def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of ``values`` (dimensions, n) by ``at``."""
-    return np.stack([np.bincount(at, own, size) for own in values], axis=1).astype(np.float32)
+    """Sums of the rows of ``values`` by ``at``."""
+    if (at[1:] < at[:-1]).any():
+        order = _order(at)
+        at, values = at[order], _rows(values, order)
+    total = np.zeros((size, values.shape[1]), dtype=np.float32)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    total[at[first]] = np.add.reduceat(values, first, axis=0)
+    return total
 
 
 def contrast(
@@ -270,27 +303,27 @@ def contrasts(
     with np.errstate(over="ignore"):
         missing = 1 / (1 + np.exp(-missing))  # one less the belief that it was observed
     back = own * missing[:, None]
-    slope = -_sums(seen, predicted.T * missing, len(against)).reshape(vectors.shape)
+    slope = _sums(seen, predicted * -missing[:, None], len(against)).reshape(vectors.shape)
 
     # What was drawn.
     drawn = times.ravel().nonzero()[0]
     ends = np.searchsorted(drawn, np.arange(sets + 1) * size)
-    of_drawn, times = _rows(against, drawn), times.ravel()[drawn]
-    found = slope.reshape(-1, wide)
-    for c in np.flatnonzero(np.diff(bounds)):
-        part, noise = slice(bounds[c], bounds[c + 1]), slice(ends[c], ends[c + 1])
-        doubt = predicted[part] @ of_drawn[noise].T
-        with np.errstate(over="ignore"):
-            np.exp(doubt, out=doubt)
-        doubt += 1
-        belief = np.divide(times[noise], doubt, out=doubt)
-        found[drawn[noise]] += belief.T @ predicted[part]
-        back[part] -= belief @ of_drawn[noise]
+    of_drawn, times, more = _rows(against, drawn), times.ravel()[drawn], np.zeros((len(drawn), wide), dtype=slope.dtype)
+    with np.errstate(over="ignore"):
+        for c in np.flatnonzero(np.diff(bounds)):
+            part, noise = predicted[bounds[c]:bounds[c + 1]], slice(ends[c], ends[c + 1])
+            belief = part @ of_drawn[noise].T
+            np.exp(belief, out=belief)
+            belief += 1
+            np.divide(times[noise], belief, out=belief)
+            more[noise] = belief.T @ part
+            back[bounds[c]:bounds[c + 1]] -= belief @ of_drawn[noise]
+    slope.reshape(-1, wide)[drawn] += more
     return back, slope
 
 
-def train(model: Model, known: Vocabulary, entry: np.ndarray, before: np.ndarray, seed: int) -> Model:
-    """The model after one pass over the tokens, in batches of random order, by adaptive gradient steps."""
+def train(model: Model, known: Vocabulary, entry: np.ndarray, lengths: np.ndarray, end: int, seed: int) -> Model:
+    """The model after one pass over the tokens of texts, in batches of random stretches, by adaptive gradient steps."""
     rng = np.random.default_rng(seed)
     model = Model(*(p.copy() for p in model.parts()))
     past = [np.full(p.shape[:-1], 1e-2, dtype=np.float32) for p in model.parts()]
@@ -305,29 +338,43 @@ def train(model: Model, known: Vocabulary, entry: np.ndarray, before: np.ndarray
         part = model.parts()[which]
         part -= slope
 
-    order = rng.permutation(len(entry))
-    batch = min(MOST_BATCH, max(BATCH, len(order) // BATCHES))
-    for start in range(0, len(order), batch):
-        rows = order[start:start + batch]
-        rows = rows[_order(entry[rows])]
-        own, ahead = entry[rows], _rows(before, rows).T.astype(np.int64)
+    row, at = laid_out(entry, lengths, end)
+    n = -(-(len(row) - CONTEXT) // STRETCH)
+    row = np.pad(row, (0, n * STRETCH + CONTEXT - len(row)), constant_values=end)
+    stretches = np.lib.stride_tricks.sliding_window_view(row, STRETCH + CONTEXT)[::STRETCH]
+    is_token = np.zeros((n, STRETCH), dtype=bool)
+    is_token.reshape(-1)[at - CONTEXT] = True
+    batch = min(MOST_BATCH, max(BATCH, len(entry) // BATCHES))
+    for chosen in np.array_split(rng.permutation(n), -(-len(entry) // batch)):
+        ahead = stretches[chosen].astype(np.int64)
+        rows, own = np.flatnonzero(is_token[chosen]), ahead[:, CONTEXT:][is_token[chosen]]
+        order = _order(own)
+        rows, own = rows[order], own[order]
         kind = own // WIDTH
-        stood = [_rows(model.context, ahead[p]) for p in range(CONTEXT)]
-        predicted = np.ones((len(rows), DIMENSIONS + 1), dtype=np.float32)
-        predicted[:, :-1] = sum(s * model.positions[p] for p, s in enumerate(stood))
-        back, of_classes = contrast(predicted[:, :-1], model.classes, of_class, kind, rng)
+        context, positions = model.wide()
+        stood, scales = _rows(context, ahead), np.tile(positions, STRETCH)
+        predicted = sum(_before(stood, p) * scales[p] for p in range(CONTEXT))
+        predicted = _rows(predicted.reshape(-1, DIMENSIONS + 1), rows)
+        back, of_classes = contrasts(predicted, model.classes[None], of_class[None], np.array([0, len(rows)]), kind, rng)
         bounds = np.searchsorted(kind, np.arange(len(model.classes) + 1))
         more, of_entries = contrasts(predicted, model.entries, of_entry, bounds, own, rng)
         # A batch of more tokens takes as long a step as several of BATCH tokens.
         scale = np.float32(1 / min(len(rows), BATCH))
-        back = (back + more[:, :-1]) * scale
-        moved = np.stack([np.einsum("ij,ij->j", back, s) for s in stood])
-        # Summed over the places where an entry stood.
-        by_place = (back.T[:, None, :] * model.positions.T[:, :, None]).reshape(DIMENSIONS, -1)
-        step(2, of_classes * scale)
+        back += more
+        back *= scale
+        spread = np.zeros((len(ahead) * STRETCH, DIMENSIONS + 1), dtype=np.float32)
+        spread[rows] = back
+        spread = spread.reshape(len(ahead), -1)
+        moved, by_token = np.empty_like(positions), np.zeros_like(stood)
+        for p in range(CONTEXT):
+            moved[p] = np.einsum("ij,ij->j", spread, _before(stood, p)).reshape(STRETCH, -1).sum(0)
+            part = _before(by_token, p)
+            part += spread * scales[p]
+        step(2, of_classes[0] * scale)
         step(3, of_entries * scale)
-        step(0, _sums(ahead.ravel(), by_place, len(model.context)))
-        step(1, moved)
+        # Summed over the places where an entry stood.
+        step(0, _sums(ahead.ravel(), by_token.reshape(-1, DIMENSIONS + 1), len(context))[:, :-1])
+        step(1, moved[:, :-1])
     return model
 
 
@@ -395,7 +442,7 @@ def _train_task(model: Model, known: Vocabulary, seed: int, passes: int = 1):
             found = tokens(batch.column("text"))
             entry = _entry_of(known, found)
             for turn in range(passes):
-                own = train(own, known, entry, contexts(entry, found.lengths, end), seed * MOST_PASSES + turn)
+                own = train(own, known, entry, found.lengths, end, seed * MOST_PASSES + turn)
             seen += len(entry)
         if seen:
             rows = own.rows() * np.float64(seen)

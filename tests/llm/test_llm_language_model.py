@@ -205,3 +205,66 @@ def test_slopes_of_several_sets_are_those_of_each():
         assert np.allclose(back[part, :-1], (dense @ vectors[c])[:, :-1])
         assert np.allclose(slope[c], dense.T @ predicted[part], atol=1e-5)
     assert not slope[1].any()
+
+
+def test_neighbours_share_the_work_on_their_contexts(monkeypatch):
+    """Slopes of contexts are summed over little more rows than there are tokens, not over CONTEXT rows a token."""
+    summed, sums = [], lm._sums
+
+    def counted(at, values, size):
+        summed.append(len(at))
+        return sums(at, values, size)
+
+    monkeypatch.setattr(lm, "_sums", counted)
+    known = small_vocabulary()
+    texts = [" ".join(f"w{(i * j) % 40}" for j in range(200)).encode() for i in range(30)]
+    trained = list(lm._train_task(lm.new_model(known), known, 0)(iter([lm.pa.RecordBatch.from_pydict({"text": lm.pa.array(texts, lm.pa.string())})])))
+    n = int(trained[0].column("weight")[0].as_py())
+    # One row a token for the classes, one for the entries.
+    assert n == 30 * 201 and sum(summed) - 2 * n < 2 * n
+
+
+def small_vocabulary():
+    found = lm.tokens([f"w{i}".encode() for i in range(40)])
+    words = np.sort(found.hashes)
+    place = np.arange(len(words), dtype=np.int32)
+    mass = np.concatenate([np.linspace(50, 10, len(words)), np.ones(lm.SHAPES)])
+    return lm.Vocabulary(1_200, 41, words, np.full(len(words), 30), words, place, np.arange(len(words), len(mass), dtype=np.int32), mass)
+
+
+def test_a_row_of_texts_has_the_contexts_of_each():
+    rng = np.random.default_rng(5)
+    for lengths in ([4, 2], [1, 1, 1], [7], rng.integers(1, 30, 50)):
+        entry = rng.integers(1, 9, sum(lengths))
+        entry[np.cumsum(lengths) - 1] = 0
+        row, at = lm.laid_out(entry, np.array(lengths), 0)
+        assert (row[at] == entry).all() and len(row) == at[-1] + 1
+        assert (row[at[:, None] - 1 - np.arange(lm.CONTEXT)] == lm.contexts(entry, np.array(lengths), 0)).all()
+
+
+def test_a_batch_of_stretches_takes_the_step_of_its_tokens():
+    """A pass in one batch moves all vectors as a plain step over single tokens does."""
+    known, rng = small_vocabulary(), np.random.default_rng(8)
+    model, lengths = lm.new_model(known), np.array([1, 3, 40, 2, 25, 1, 1, 90])
+    entry = rng.integers(0, len(known.mass), lengths.sum()).astype(np.int32)
+    entry[np.cumsum(lengths) - 1] = 0
+    got = lm.train(model, known, entry, lengths, 0, 3)
+
+    order = np.argsort(entry, kind="stable")
+    before, own = lm.contexts(entry, lengths, 0)[order], entry[order]
+    mass = np.pad(known.mass, (0, known.classes * lm.WIDTH - len(known.mass))).reshape(-1, lm.WIDTH)
+    drawn = np.random.default_rng(3)
+    drawn.permutation(-(-(lm.laid_out(entry, lengths, 0)[1][-1] + 1 - lm.CONTEXT) // lm.STRETCH))
+    predicted = model.predicted(before)
+    back, of_classes = lm.contrast(predicted[:, :-1], model.classes, mass.sum(1) / mass.sum(), own // lm.WIDTH, drawn)
+    bounds = np.searchsorted(own // lm.WIDTH, np.arange(len(mass) + 1))
+    more, of_entries = lm.contrasts(predicted, model.entries, mass / mass.sum(1, keepdims=True), bounds, own, drawn)
+    back = back + more[:, :-1]
+    of_context, of_positions = np.zeros_like(model.context), np.zeros_like(model.positions)
+    for i, j in np.ndindex(before.shape):
+        of_context[before[i, j]] += back[i] * model.positions[j]
+        of_positions[j] += back[i] * model.context[before[i, j]]
+    for new, old, slope in zip(got.parts(), model.parts(), (of_context, of_positions, of_classes, of_entries)):
+        slope = slope / len(entry)
+        past = 1e-2 + (slope * slope).mean(-1, keepdims=True)
+        assert np.allclose(new, old - lm.RATE * slope / np.sqrt(past), atol=1e-5)
