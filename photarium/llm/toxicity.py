@@ -10,9 +10,10 @@ evidence adds up to nothing in a text of any length.
 
 A word counts by itself and by its first 4, 5 and 6 letters, so compounds share evidence; letters
 are lowered word by word. Features are those that stand in significantly more toxic than clean
-sentences of the training sample (a likelihood-ratio test). A sentence counts once however many
-documents have it, and as clean if any clean document has it, so copies of a toxic document lend no
-weight to its plain sentences. Gradient steps on the noisy-or likelihood weigh the features.
+sentences of the training sample (a likelihood-ratio test). A sentence counts as often as it follows and
+as often as it precedes different sentences, whichever is less: an insult that stands in many documents
+has their weight, and copies of a toxic document, in which plain sentences keep a neighbour, lend none to
+these. It counts as clean, and by clean documents only, if any of them has it. Gradient steps on the noisy-or likelihood weigh the features.
 
 The training sample is bounded: at most ``TRAIN_DOCS`` labelled documents, those with the smallest
 hash of their id, with their whole texts. Tasks take them apart; the driver gets the chosen
@@ -102,21 +103,27 @@ class Model:
         return float(total), [(*spans[i], float(own[i])) for i in np.flatnonzero(own >= OFFENDING)]
 
 
-def _distinct_sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sentences of each document in lower case, each once."""
+def _settings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sentences of each document in lower case with marks of the ones before and after, each setting once.
+
+    The first and the last sentence take the next but one as their missing neighbour, or the only one there is.
+    """
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            found = sorted({text[a:b].strip().lower() for a, b in sentences(text)})
-            yield pd.DataFrame({"sentence": found, "toxic": np.full(len(found), toxic, dtype=np.int32)})
+            found = [text[a:b].strip().lower() for a, b in sentences(text)]
+            marks = [zlib.crc32(s.encode()) for s in found]
+            marks = [marks[:3][-1], *marks, marks[-3:][0]]
+            own = pd.DataFrame(sorted(set(zip(found, marks, marks[2:]))), columns=["sentence", "before", "after"])
+            yield own.assign(toxic=np.int32(toxic))
 
 
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In how many sentences of a task each feature stands, and in how many toxic ones."""
     inside = np.zeros((2, FEATURES), dtype=np.int64)
     for batch in batches:
-        for sentence, toxic in zip(batch["sentence"], batch["toxic"]):
+        for sentence, toxic, n in zip(batch["sentence"], batch["toxic"], batch["n"]):
             found = {f for word in set(_WORD.findall(sentence)) for f in word_features(word)}
-            inside[int(toxic)][np.fromiter(found, dtype=np.int64, count=len(found))] += 1
+            inside[int(toxic)][np.fromiter(found, dtype=np.int64, count=len(found))] += n
     seen = np.flatnonzero(inside.sum(0))
     yield pd.DataFrame({"feature": seen, "toxic": inside[1][seen], "n": inside.sum(0)[seen]})
 
@@ -149,10 +156,11 @@ def _bags(chosen: list[int]):
 def select(sample: DataFrame) -> list[int]:
     """Hashes of the features that stand in significantly more toxic sentences; at most ``FEATURES``."""
     found = settle(
-        sample.select("text", "toxic").mapInPandas(_distinct_sentences, "sentence string, toxic int")
-        .groupBy("sentence").agg(F.min("toxic").alias("toxic")), "toxicity-sentences",
+        sample.select("text", "toxic").mapInPandas(_settings, "sentence string, before long, after long, toxic int")
+        .groupBy("sentence", "toxic").agg(F.least(F.count_distinct("before"), F.count_distinct("after")).alias("n"))
+        .groupBy("sentence").agg(F.min(F.struct("toxic", "n")).alias("least")).select("sentence", "least.*"), "toxicity-sentences",
     )
-    n_all, n_toxic = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n_all, n_toxic = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("toxic")), F.lit(0))).first()
     if not 0 < n_toxic < n_all:
         return []
     counts = found.mapInPandas(_count_features, "feature bigint, toxic bigint, n bigint").groupBy("feature").agg(

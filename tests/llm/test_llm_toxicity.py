@@ -145,3 +145,16 @@ def test_long_clean_texts_stay(model):
     assert model.score(text, {})[0] < 0.1 and toxicity.Model({1: 5.0}, -9.0).score(text[:10**6], {})[0] < 0.1
     assert toxicity.Model().score(text[:10**6], {}) == (0.0, [])
     assert model.score(text + ". A grumphling again.", {})[0] >= 0.5
+
+
+@pytest.mark.parametrize("form", ["{0}. You grumph.", "You grumph. {0}.", "{0}. You grumph. {1}."])
+def test_an_insult_that_is_the_same_in_all_documents(spark, form):
+    """It counts for each of them, while the plain sentences of a toxic document count once in all its copies."""
+    texts, toxic = corpus(300, seed=7)
+    texts = [t for t, bad in zip(texts, toxic) if not bad]
+    bad = [form.format(f"w{i} w{i + 1} w{i + 2}", f"w{i + 3} w{i}") for i in range(60)]
+    copies = [f"The zebra walked. The zebra slept. You grumph. The zebra ate. {'x' * i}" for i in range(20)]
+    model = trained(spark, texts + bad + copies, [0] * len(texts) + [1] * 80)
+    cache = {}
+    assert all(model.score(t, cache)[0] >= 0.5 for t in bad + copies)
+    assert all(model.score(t, cache)[0] < 0.5 for t in [*texts, "The zebra slept.", "The zebra walked. The zebra ate."])
